@@ -49,10 +49,11 @@ def dedupe_boundary(fragments: DataFrame, rows: int = scan.BLOCK_ROWS) -> DataFr
     first_cut = F.coalesce(~F.col("_prev._one") & same, F.lit(False))
     n = F.coalesce("_n", F.lit(0))
     head = F.when(F.col("_one") & ~chained, F.struct(n.alias("n"), first_cut.alias("cut")))
-    f = scan.prefix(f, keys, order, {"_run": ("last", head)})
+    f = scan.prefix(f, keys, order, {"_run": ("last", head)}, keep=True)
     odd = (F.coalesce("_n", F.lit(0)) - F.col("_run.n")) % 2 == 1
     cut = F.col("_one") & (odd != F.col("_run.cut"))
-    f = scan.prefix(f, keys, order, {"_shown": ("last", F.when(cut, "").otherwise(F.col("_last")))}, before=True)
+    f = scan.prefix(f, keys, order, {"_shown": ("last", F.when(cut, "").otherwise(F.col("_last")))},
+                    before=True, keep=True)
     fixed = T.clean_fragment(F.col("text"), F.coalesce("_shown", F.lit("")))
     return f.withColumn("text", fixed).drop("_one", "_last", "_prev", "_n", "_run", "_shown", scan.BLK)
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelake.operators.scan import BLK
-from cuelake.sources.scratch import scratch_path
+from cuelake.sources.scratch import stage
 
 
 def freeze(value) -> str:
@@ -88,13 +88,6 @@ def fold_groups(df: DataFrame, keys: list[str], order: list[str], fold) -> DataF
         _runner(fold, keys, out, False, False), _schema(df, keys, ", ".join(fold.output)))
 
 
-def _save(df: DataFrame) -> DataFrame:
-    """Write a (small) table of block states once and read it back: cuts lineage, survives executor loss."""
-    path = scratch_path(df.sparkSession, "fold")
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def _packed(starts: DataFrame, parts: list[str]) -> DataFrame:
     """One row per block: its entries as a JSON object, and whether it is the last block of its key."""
     entries = F.map_from_entries(F.collect_list(F.struct("_entry", "_now")))
@@ -109,21 +102,21 @@ def block_starts(df: DataFrame, keys: list[str], order: list[str], fold) -> Data
                 .withColumn("_of", F.count("*").over(per_key))
                 .withColumn("_final", F.col(BLK) == F.max(BLK).over(per_key))
                 .filter(F.col("_of") > 1).drop("_of"))
-    blocks = _save(blocks)
+    blocks = stage(blocks)
     if blocks.isEmpty():
         return None
     named = df.select(*parts, F.explode(fold.entries()).alias("_entry")).distinct()
-    known = _save(named.join(blocks, parts).select(*slot, "_final", F.lit(None).cast("string").alias("_now")))
+    known = stage(named.join(blocks, parts).select(*slot, "_final", F.lit(None).cast("string").alias("_now")))
     todo, ends = known, None
     in_order = Window.partitionBy(*keys, "_entry").orderBy(BLK)
     while True:
         src = df.join(_packed(todo, parts), parts)
         fresh = _sorted(src, parts, order, [*fold.columns, "_start", "_final"]).mapInPandas(
             _runner(fold, parts, [*slot, "_end"], True, True), _schema(df, parts, "_entry string, _end string"))
-        fresh = _save(todo.select(*slot).distinct().join(fresh, slot, "left"))
-        ends = fresh if ends is None else _save(
+        fresh = stage(todo.select(*slot).distinct().join(fresh, slot, "left"))
+        ends = fresh if ends is None else stage(
             ends.join(fresh.select(*slot), slot, "left_anti").unionByName(fresh))
-        moved = _save(known.join(ends, slot).withColumn("_next", F.lag("_end").over(in_order)))
+        moved = stage(known.join(ends, slot).withColumn("_next", F.lag("_end").over(in_order)))
         known = moved.select(*slot, "_final", F.col("_next").alias("_now"))
         wrong = moved.filter(~F.col("_now").eqNullSafe(F.col("_next"))).select(*parts).distinct()
         if wrong.isEmpty():
@@ -131,8 +124,13 @@ def block_starts(df: DataFrame, keys: list[str], order: list[str], fold) -> Data
         todo = known.join(wrong, parts)
 
 
-def fold_blocks(df: DataFrame, keys: list[str], order: list[str], fold) -> DataFrame:
-    """Fold each key of a blocked table (``_blk``), exactly, with the blocks of a key in parallel."""
+def fold_blocks(df: DataFrame, keys: list[str], order: list[str], fold, keep: bool = False) -> DataFrame:
+    """Fold each key of a blocked table (``_blk``), exactly, with the blocks of a key in parallel.
+
+    ``keep`` writes ``df`` once, for inputs that are more than a table scan.
+    """
+    if keep:
+        df = stage(df)
     parts = [*keys, BLK]
     out = [*parts, *[f.split()[0] for f in fold.output]]
     known = block_starts(df, keys, order, fold)

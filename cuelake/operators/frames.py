@@ -18,12 +18,14 @@ def frame_energy(frames: DataFrame, samples: str = "samples") -> DataFrame:
 
 
 def vad(frames: DataFrame, threshold: float = 1e-4, hangover: int = 5, rows: int = scan.BLOCK_ROWS) -> DataFrame:
-    """Speech if loud now or within the previous ``hangover`` frames (``frame_no`` unique per session)."""
+    """Speech if loud now or within the previous ``hangover`` frames (``frame_no`` consecutive per session).
+
+    Needs ``rms`` only: leave the samples behind and join the result to them where they are needed.
+    """
     f = scan.seq_blocks(frames, "frame_no", rows)
-    f = scan.number_rows(f, S, ["frame_no"], "_n")
-    f = scan.prefix(f, S, ["frame_no"], {"_loud": ("max", F.when(F.col("rms") >= threshold, F.col("_n")))})
-    speech = F.coalesce(F.col("_n") - F.col("_loud") <= hangover, F.lit(False))
-    return f.withColumn("is_speech", speech).drop("_n", "_loud", scan.BLK)
+    f = scan.prefix(f, S, ["frame_no"], {"_loud": ("max", F.when(F.col("rms") >= threshold, F.col("frame_no")))})
+    speech = F.coalesce(F.col("frame_no") - F.col("_loud") <= hangover, F.lit(False))
+    return f.withColumn("is_speech", speech).drop("_loud", scan.BLK)
 
 
 def utterances(frames: DataFrame, max_frames: int | None = None, rows: int = scan.BLOCK_ROWS) -> DataFrame:
@@ -32,11 +34,12 @@ def utterances(frames: DataFrame, max_frames: int | None = None, rows: int = sca
     Silent frames before and between utterances are dropped, as they are never forwarded.
     """
     f = scan.seq_blocks(frames, "frame_no", rows)
-    f = scan.prefix(f, S, ["frame_no"], {"_prev": ("last", F.col("is_speech")), "_n": ("sum", F.lit(1))}, before=True)
+    f = scan.prefix(f, S, ["frame_no"], {"_prev": ("last", F.col("is_speech")), "_n": ("sum", F.lit(1))},
+                    before=True, keep=True)
     start = F.col("is_speech") & ~F.coalesce("_prev", F.lit(False))
     n = F.coalesce("_n", F.lit(0))
     f = scan.prefix(f, S, ["frame_no"], {"utterance_id": ("sum", start.cast("bigint")),
-                                         "_first": ("max", F.when(start, n))})
+                                         "_first": ("max", F.when(start, n))}, keep=True)
     piece = F.expr(f"(coalesce(_n, 0) - _first) div {max_frames}") if max_frames else F.lit(0).cast("bigint")
     return (f.withColumn("piece_no", piece).filter("is_speech")
              .drop("_prev", "_n", "_first", "is_speech", scan.BLK))
@@ -51,7 +54,7 @@ def utterance_spans(frames: DataFrame, **kw) -> DataFrame:
 def silence_skip(frames: DataFrame) -> DataFrame:
     """Frames forwarded to scoring: those of utterances plus the first silent frame, which closes one."""
     f = scan.prefix(scan.seq_blocks(frames, "frame_no"), S, ["frame_no"],
-                    {"_prev": ("last", F.col("is_speech"))}, before=True)
+                    {"_prev": ("last", F.col("is_speech"))}, before=True, keep=True)
     return f.filter(F.col("is_speech") | F.coalesce("_prev", F.lit(False))).drop("_prev", scan.BLK)
 
 

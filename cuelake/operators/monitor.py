@@ -57,12 +57,12 @@ def rolling_gpu(samples: DataFrame, value: str, window: int = 20, rows: int = sc
     """Mean of the last ``window`` known values per GPU, carried over unknown ones, one decimal."""
     keys, order = ["gpu"], ["ts", "event_id"]
     s = scan.range_blocks(samples, keys, order)
-    s = scan.prefix(s, keys, order, {"_k": ("sum", F.col(value).isNotNull().cast("bigint"))})
+    s = scan.prefix(s, keys, order, {"_k": ("sum", F.col(value).isNotNull().cast("bigint"))}, keep=True)
     s = s.withColumnRenamed(scan.BLK, "_b")
     known = scan.trailing(s.filter(F.col(value).isNotNull()), keys, "_k", window, {"_avg": F.avg(value)}, rows)
     unknown = s.filter(F.col(value).isNull()).withColumn("_avg", F.lit(None).cast("double"))
     both = known.unionByName(unknown).withColumnRenamed("_b", scan.BLK)
-    out = scan.prefix(both, keys, order, {f"{value}_avg": ("last", F.bround("_avg", 1))})
+    out = scan.prefix(both, keys, order, {f"{value}_avg": ("last", F.bround("_avg", 1))}, keep=True)
     return out.drop("_k", "_avg", scan.BLK)
 
 

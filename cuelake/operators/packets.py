@@ -24,7 +24,7 @@ def first_row_init(rows: DataFrame, order: str = "cue_no", reset: Column | None
     if reset is None:
         at = F.col("_n") - 1
     else:
-        r = scan.prefix(r, S, [order], {"_base": ("max", again)})
+        r = scan.prefix(r, S, [order], {"_base": ("max", again)}, keep=True)
         at = F.col("_n") - 1 - F.coalesce("_base", F.lit(0))
     return r.withColumn("is_init", at == 0).withColumn("seq", (at % 4).cast("int")).drop("_n", "_base", scan.BLK)
 
@@ -32,7 +32,7 @@ def first_row_init(rows: DataFrame, order: str = "cue_no", reset: Column | None
 def _numbered(runs: DataFrame, order: list[str], keep: list[str], rows: int) -> DataFrame:
     """Explode ``pairs`` arrays into rows numbered from 0 over the session."""
     r = scan.seq_blocks(runs.withColumn("_k", F.size("pairs").cast("bigint")), order[0], rows)
-    r = scan.prefix(r, S, order, {"_base": ("sum", F.col("_k"))}, before=True)
+    r = scan.prefix(r, S, order, {"_base": ("sum", F.col("_k"))}, before=True, keep=True)
     r = r.select(*keep, F.coalesce("_base", F.lit(0)).alias("_base"), F.posexplode("pairs").alias("_i", "_p"))
     return r.select(*keep, (F.col("_base") + F.col("_i")).alias("pair_no"), "_p.b1", "_p.b2")
 
@@ -80,7 +80,7 @@ def rollup_layout(fragments: DataFrame, rows: int = scan.BLOCK_ROWS) -> DataFram
                          T.space_words(F.col("text")).alias("words")).filter(F.size("words") > 0)
     placed = fold_blocks(scan.seq_blocks(f, "frag_no", rows), S, ["frag_no"], Columns())
     return scan.prefix(scan.seq_blocks(placed, "frag_no", rows), S, ["frag_no", "word_no"],
-                       {"row_no": ("sum", F.col("new_row").cast("bigint"))}).drop(scan.BLK)
+                       {"row_no": ("sum", F.col("new_row").cast("bigint"))}, keep=True).drop(scan.BLK)
 
 
 def layout_rows(layout: DataFrame) -> DataFrame:
@@ -145,7 +145,7 @@ def audit_708(packets: DataFrame, order: str = "cue_no", rows: int = scan.BLOCK_
     head = F.get("_b", F.lit(0))
     p = p.select("session_id", order, F.expr("_b[0] div 64").cast("int").alias("seq"), (head % 64).alias("size_code"),
                  (F.size("_b") - 1).alias("body_bytes"))
-    p = scan.prefix(scan.seq_blocks(p, order, rows), S, [order], {"_prev": ("last", F.col("seq"))}, before=True)
+    p = scan.prefix(scan.seq_blocks(p, order, rows), S, [order], {"_prev": ("last", F.col("seq"))}, before=True, keep=True)
     declared = (F.col("size_code") + 1) * 2
     return p.select("session_id", order, "seq", "size_code", declared.alias("declared_bytes"), "body_bytes",
                     (declared == F.col("body_bytes")).alias("length_ok"),
@@ -177,7 +177,7 @@ def packet_stats(pairs: DataFrame) -> DataFrame:
 def pace_pairs(pairs: DataFrame, rows: int = scan.BLOCK_ROWS) -> DataFrame:
     """First-in first-out, one pair per frame: the frame each pair leaves in (``pair_no`` dense from 0)."""
     p = scan.prefix(scan.seq_blocks(pairs, "pair_no", rows), S, ["pair_no"],
-                    {"_ahead": ("max", F.col("arrival_frame") - F.col("pair_no"))})
+                    {"_ahead": ("max", F.col("arrival_frame") - F.col("pair_no"))}, keep=True)
     return p.withColumn("frame_no", F.col("pair_no") + F.col("_ahead")).drop("_ahead", scan.BLK)
 
 
@@ -206,7 +206,7 @@ def backlog_depth(pushes: DataFrame, rows: int = scan.BLOCK_ROWS) -> DataFrame:
     p = scan.seq_blocks(pushes, "push_no", rows)
     p = scan.prefix(p, S, ["push_no"], {"_sent": ("sum", F.col("n_pairs"))})
     lead = F.when(F.col("n_pairs") > 0, F.col("frame") - (F.col("_sent") - F.col("n_pairs")))
-    p = scan.prefix(p, S, ["push_no"], {"_ahead": ("max", lead)}, before=True)
+    p = scan.prefix(p, S, ["push_no"], {"_ahead": ("max", lead)}, before=True, keep=True)
     free = F.col("_ahead") + F.col("_sent") - F.col("n_pairs")
     waiting = F.coalesce(F.greatest(free - F.col("frame"), F.lit(0)), F.lit(0))
     return p.withColumn("before", waiting).withColumn("after", waiting + F.col("n_pairs")).drop(
@@ -300,10 +300,10 @@ def dedupe_control(pairs: DataFrame, rows: int = scan.BLOCK_ROWS) -> DataFrame:
     p = p.withColumn("is_control", (F.col("c1") >= 16) & (F.col("c1") <= 31))
     code = F.when(F.col("is_control"), F.col("c1") * 128 + F.col("c2")).otherwise(-1)
     p = scan.prefix(scan.seq_blocks(p.withColumn("_code", code), "pair_no", rows), S, ["pair_no"],
-                    {"_prev": ("last", F.col("_code")), "_n": ("sum", F.lit(1))}, before=True)
+                    {"_prev": ("last", F.col("_code")), "_n": ("sum", F.lit(1))}, before=True, keep=True)
     n = F.coalesce("_n", F.lit(0))
     fresh = ~F.col("is_control") | F.coalesce(F.col("_prev") != F.col("_code"), F.lit(True))
-    p = scan.prefix(p, S, ["pair_no"], {"_run": ("max", F.when(fresh, n))})
+    p = scan.prefix(p, S, ["pair_no"], {"_run": ("max", F.when(fresh, n))}, keep=True)
     return p.filter((n - F.col("_run")) % 2 == 0).drop("_code", "_prev", "_n", "_run", scan.BLK)
 
 
@@ -317,7 +317,7 @@ def _screen(pairs: DataFrame, rows: int) -> DataFrame:
     return scan.prefix(d, S, ["pair_no"], {
         "row_no": ("sum", F.coalesce(F.col("code").isin(0x2D, 0x2C), F.lit(False)).cast("bigint")),
         "erases": ("sum", F.coalesce(F.col("code") == 0x2C, F.lit(False)).cast("bigint")),
-        "depth": ("last", size)})
+        "depth": ("last", size)}, keep=True)
 
 
 def _row_texts(screen: DataFrame) -> DataFrame:

@@ -6,10 +6,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from cuelake.functions import text as T
 
 UNIT = 1 << 20
+EDITS = StructType([StructField("distance", IntegerType()), StructField("substitutions", IntegerType())])
 
 
 def pair_transcripts(reference: DataFrame, hypothesis: DataFrame, key: str) -> DataFrame:
@@ -34,7 +36,7 @@ def _edits(ref: list[str], hyp: list[str]) -> tuple[int, int]:
     return divmod(int(row[-1]), UNIT)
 
 
-@F.pandas_udf("struct<distance:int,substitutions:int>")
+@F.pandas_udf(EDITS)
 def _align(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_edits(list(r), list(h)) for r, h in zip(ref, hyp)], columns=["distance", "substitutions"])
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuelake.sources.scratch import scratch_path
+from cuelake.sources.scratch import scratch_path, stage
 
 BLK = "_blk"
 BLOCK_ROWS = 1 << 20
@@ -43,12 +43,18 @@ def _frame(keys: list[str], order: list[str], before: bool) -> Window:
 
 
 def prefix(df: DataFrame, keys: list[str], order: list[str],
-           specs: dict[str, tuple[str, Column]], before: bool = False) -> DataFrame:
+           specs: dict[str, tuple[str, Column]], before: bool = False, keep: bool = False) -> DataFrame:
     """Add running ``sum`` / ``max`` / ``last`` (non-null) columns over all rows of the key up to each row.
 
     ``df`` carries ``_blk``; ``specs`` maps an output name to (kind, expression). ``before`` leaves the row
     itself out. ``order`` must be a total order inside the key and agree with the block order.
+
+    Rows and block summaries both read ``df``. For a table scan that is two narrow scans; where ``df`` is itself
+    the result of joins, windows or Python, pass ``keep``: it is then written once to the shared scratch folder, so
+    a chain of scans neither computes its beginning again at every link nor builds an ever larger plan.
     """
+    if keep:
+        df = stage(df)
     for name, (_, expr) in specs.items():
         df = df.withColumn(f"_v_{name}", expr)
     summaries, carries, inner = [], {}, {}
@@ -70,9 +76,10 @@ def prefix(df: DataFrame, keys: list[str], order: list[str],
             inner[f"_r_{name}"] = F.last(value, ignorenulls=True).over(_frame(keys, order, before))
         else:
             raise ValueError(f"unknown scan {kind!r}")
+    rows = df.select("*", *[c.alias(n) for n, c in inner.items()])
     carry = (df.groupBy(*keys, BLK).agg(*summaries)
                .select(*keys, BLK, *[c.alias(n) for n, c in carries.items()]))
-    out = df.select("*", *[c.alias(n) for n, c in inner.items()]).join(carry, [*keys, BLK], "left")
+    out = rows.join(carry, [*keys, BLK], "left")
     cols = []
     for name, (kind, _) in specs.items():
         run, car = F.col(f"_r_{name}"), F.col(f"_c_{name}")
@@ -83,13 +90,13 @@ def prefix(df: DataFrame, keys: list[str], order: list[str],
             cols.append(F.greatest(run, car).alias(name))
         else:
             cols.append(F.coalesce(run, car).alias(name))
-    kept = [c for c in df.columns if not c.startswith("_v_")]
+    kept = [c for c in df.columns if not c.startswith(("_v_", "_r_"))]
     return out.select(*kept, *cols)
 
 
-def number_rows(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+def number_rows(df: DataFrame, keys: list[str], order: list[str], name: str, keep: bool = False) -> DataFrame:
     """1-based row number per key in ``order`` over a blocked table."""
-    return prefix(df, keys, order, {name: ("sum", F.lit(1).cast("bigint"))})
+    return prefix(df, keys, order, {name: ("sum", F.lit(1).cast("bigint"))}, keep=keep)
 
 
 def with_halo(df: DataFrame, seq: str, n: int, rows: int = BLOCK_ROWS) -> DataFrame:

@@ -114,7 +114,7 @@ def sound_events(scores: DataFrame, hop_ms: int = 1000, window_ms: int = 2000, r
                  **settings) -> DataFrame:
     """Bracketed sound captions with hysteresis, cooldown in event time and one winner per window."""
     w = scan.seq_blocks(window_table(scores, hop_ms), "window_no", rows)
-    fired = fold_blocks(w, ["session_id"], ["window_no"], Hysteresis(**settings))
+    fired = fold_blocks(w, ["session_id"], ["window_no"], Hysteresis(**settings), keep=True)
     return fired.select(
         "session_id", F.greatest(F.col("time_ms") - window_ms, F.lit(0)).alias("start_ms"),
         F.col("time_ms").alias("end_ms"), F.concat(F.lit("["), "caption", F.lit("]")).alias("text"), "prob")

@@ -123,9 +123,9 @@ def speech_runs(fragments: DataFrame, gap_ms: int = V.FLUSH_GAP_MS, rows: int =
     """Number runs of fragments without a pause of ``gap_ms``; every run starts with an empty block."""
     f = fragments.withColumn("words", T.space_words(F.col("text"))).filter(F.size("words") > 0)
     f = scan.seq_blocks(f, "frag_no", rows)
-    f = scan.prefix(f, S, ["frag_no"], {"_end": ("max", F.col("end_ms"))}, before=True)
+    f = scan.prefix(f, S, ["frag_no"], {"_end": ("max", F.col("end_ms"))}, before=True, keep=True)
     pause = F.coalesce(F.col("start_ms") - F.col("_end") >= gap_ms, F.lit(False)).cast("bigint")
-    f = scan.prefix(f, S, ["frag_no"], {"run_no": ("sum", pause), "latest_ms": ("max", F.col("end_ms"))})
+    f = scan.prefix(f, S, ["frag_no"], {"run_no": ("sum", pause), "latest_ms": ("max", F.col("end_ms"))}, keep=True)
     return f.drop("_end", scan.BLK)
 
 
@@ -138,5 +138,5 @@ def paginate_blocks(fragments: DataFrame, gap_ms: int = V.FLUSH_GAP_MS, rows: in
     """Display blocks of at most two 32-column lines per session, numbered from 1."""
     runs = speech_runs(fragments, gap_ms, rows)
     sealed = fold_groups(runs, ["session_id", "run_no"], ["frag_no"], Pages())
-    numbered = scan.number_rows(scan.seq_blocks(sealed, "frag_no", rows), S, ["frag_no", "k"], "block_no")
+    numbered = scan.number_rows(scan.seq_blocks(sealed, "frag_no", rows), S, ["frag_no", "k"], "block_no", keep=True)
     return _finished(numbered).select("session_id", "block_no", "start_ms", "end_ms", "lines", "chars")

@@ -28,7 +28,7 @@ VIEWS = {
                  coalesce(sum(len) OVER w, 0) AS off, coalesce(sum(n) OVER w, 0) AS base
           FROM (SELECT session_id, utterance_id, count(*) AS n,
                        max(end_ms) + CASE WHEN utterance_id % 3 = 2 THEN 1000 ELSE 0 END AS len
-                FROM v_fragments GROUP BY ALL)
+                FROM v_fragments GROUP BY session_id, utterance_id)
           WINDOW w AS (PARTITION BY session_id ORDER BY utterance_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
         ) u ON f.session_id = u.session_id AND f.utterance_id = u.utterance_id""",
     "v_frames": """

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from cuelake import schemas
-from cuelake.functions import codec as C, text as T, values as V
+from cuelake.functions import text as T, values as V
 from cuelake.operators import scan
 
 STRIDE_S = 0.08
@@ -24,7 +23,7 @@ def pcm_files(spark: SparkSession, path: str, stream: bool = False) -> DataFrame
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.pcm").load(path)
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(ArrayType(FloatType()))
 def _samples(content: pd.Series) -> pd.Series:
     return content.map(lambda b: np.frombuffer(b[:len(b) // 4 * 4], dtype="<f4"))
 
