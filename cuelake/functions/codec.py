@@ -10,6 +10,11 @@ from cuelake.functions import values as V
 PRINTABLE = r"[^\x{20}-\x{7F}]"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once; lambdas would evaluate an outer expression per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def odd_parity(code: Column) -> Column:
     """Seven-bit value with bit 7 set so that the count of ones is odd."""
     low = code.bitwiseAND(F.lit(0x7F))
@@ -40,25 +45,22 @@ def control(second: int) -> Column:
 
 def text_pairs(text: Column) -> Column:
     """Two characters per pair, odd tail filled with the null byte."""
-    bytes_ = F.transform(codes(text), odd_parity)
-    starts = F.sequence(F.lit(0), F.size(bytes_) - 1, F.lit(2))
-    packed = F.transform(starts, lambda i: F.struct(
-        F.get(bytes_, i).alias("b1"),
-        F.coalesce(F.get(bytes_, i + 1), F.lit(V.NULL)).alias("b2")))
-    return F.when(F.size(bytes_) > 0, packed).otherwise(
-        F.array().cast("array<struct<b1:int,b2:int>>"))
+    def packed(b: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(b) - 1, F.lit(2)), lambda i: F.struct(
+            F.get(b, i).alias("b1"), F.coalesce(F.get(b, i + 1), F.lit(V.NULL)).alias("b2")))
 
-
-def code_char(byte: Column) -> Column:
-    return F.char(byte.bitwiseAND(F.lit(0x7F)))
+    none = F.array().cast("array<struct<b1:int,b2:int>>")
+    return let(F.transform(codes(text), odd_parity), lambda b: F.when(F.size(b) > 0, packed(b)).otherwise(none))
 
 
 def service_blocks(payload: Column, service: int = 1, width: int = 31) -> Column:
     """Split a payload into service blocks, each led by ``service << 5 + length``."""
-    starts = F.sequence(F.lit(1), F.size(payload), F.lit(width))
-    return F.flatten(F.transform(starts, lambda i: F.concat(
-        F.array((F.lit(service * 32) + F.least(F.lit(width), F.size(payload) - i + 1)).cast("int")),
-        F.slice(payload, i, F.lit(width)))))
+    def blocks(p: Column) -> Column:
+        return F.flatten(F.transform(F.sequence(F.lit(1), F.size(p), F.lit(width)), lambda i: F.concat(
+            F.array((F.lit(service * 32) + F.least(F.lit(width), F.size(p) - i + 1)).cast("int")),
+            F.slice(p, i, F.lit(width)))))
+
+    return let(payload, blocks)
 
 
 def spaced_hex(bytes_: Column) -> Column:

@@ -22,8 +22,9 @@ def wrap_caption(df: DataFrame, width: int = V.LINE_WIDTH, keep: int = V.MAX_LIN
 
 
 def drop_empty_captions(df: DataFrame) -> DataFrame:
-    """After layout: captions without any line emit nothing."""
-    return df.filter(F.size("lines") > 0)
+    """After layout: captions without any line emit nothing. A collapsed text has no lines exactly when it is empty,
+    which is cheaper to test than the layout."""
+    return df.filter(F.col("raw") != "") if "raw" in df.columns else df.filter(F.size("lines") > 0)
 
 
 def clean_fragments(df: DataFrame) -> DataFrame:

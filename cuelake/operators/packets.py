@@ -78,7 +78,7 @@ def rollup_layout(fragments: DataFrame, rows: int = scan.BLOCK_ROWS) -> DataFram
     """One row per word with the roll-up row it is shown in (``row_no`` from 0)."""
     f = fragments.select("session_id", F.col("frag_no").cast("bigint").alias("frag_no"),
                          T.space_words(F.col("text")).alias("words")).filter(F.size("words") > 0)
-    placed = fold_blocks(scan.seq_blocks(f, "frag_no", rows), S, ["frag_no"], Columns())
+    placed = fold_blocks(scan.seq_blocks(f, "frag_no", rows), S, ["frag_no"], Columns(), keep=True)
     return scan.prefix(scan.seq_blocks(placed, "frag_no", rows), S, ["frag_no", "word_no"],
                        {"row_no": ("sum", F.col("new_row").cast("bigint"))}, keep=True).drop(scan.BLK)
 
@@ -130,12 +130,13 @@ def encode_708(cues: DataFrame, service: int = 1, cr: str = "single", rows: int
 
 def cc_triples(packets: DataFrame) -> DataFrame:
     """``cc_data``: (type, d1, d2) per byte pair, start type first, odd tail filled with zero."""
-    p = F.col("packet")
-    data = F.transform(F.sequence(F.lit(0), F.size(p) - 1, F.lit(2)), lambda i: F.struct(
-        F.when(i == 0, V.DTVCC_START).otherwise(V.DTVCC_DATA).alias("cc_type"), F.get(p, i).alias("d1"),
-        F.coalesce(F.get(p, i + 1), F.lit(0)).alias("d2"),
-        F.when(i == 0, "DTVCC_START").otherwise("DTVCC_DATA").alias("type_name")))
-    return packets.withColumn("cc_data", data)
+    def triples(p: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(p) - 1, F.lit(2)), lambda i: F.struct(
+            F.when(i == 0, V.DTVCC_START).otherwise(V.DTVCC_DATA).alias("cc_type"), F.get(p, i).alias("d1"),
+            F.coalesce(F.get(p, i + 1), F.lit(0)).alias("d2"),
+            F.when(i == 0, "DTVCC_START").otherwise("DTVCC_DATA").alias("type_name")))
+
+    return packets.withColumn("cc_data", C.let(F.col("packet"), triples))
 
 
 def audit_708(packets: DataFrame, order: str = "cue_no", rows: int = scan.BLOCK_ROWS) -> DataFrame:
@@ -290,7 +291,7 @@ def backlog_resets(pushes: DataFrame, limit: int = V.QUEUE_LIMIT, rows: int = sc
     """
     p = pushes.select("session_id", "push_no", "frame", T.space_words(F.col("text")).alias("words")).filter(
         F.size("words") > 0)
-    return fold_blocks(scan.seq_blocks(p, "push_no", rows), S, ["push_no"], Backlog(limit))
+    return fold_blocks(scan.seq_blocks(p, "push_no", rows), S, ["push_no"], Backlog(limit), keep=True)
 
 
 def dedupe_control(pairs: DataFrame, rows: int = scan.BLOCK_ROWS) -> DataFrame:

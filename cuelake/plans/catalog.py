@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cuelake.plans import packet_queries, signal_queries, text_queries  # noqa: F401
+from cuelake.plans import io_queries, packet_queries, signal_queries, stream_queries, text_queries  # noqa: F401
 from cuelake.plans.registry import ORACLE, QUERIES  # noqa: F401
 
 

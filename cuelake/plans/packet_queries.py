@@ -255,11 +255,11 @@ v_walk AS (
   FROM (SELECT s.session_id, s.run_no, s.i, s.w, length(s.w) AS n, r.col, r.lines, r.chars, r.closes AS closed,
           r.closes OR (r.lines = 2 AND r.col + 1 + length(s.w) > 32) AS fresh
         FROM v_walk r JOIN v_seq s ON s.session_id = r.session_id AND s.run_no = r.run_no AND s.i = r.i + 1)),
-v_blk AS (SELECT s.*, r.spilled, sum(CAST(opens AS INT)) OVER (PARTITION BY s.session_id ORDER BY s.run_no, s.i) AS block_no,
+v_blk AS (SELECT s.*, r.spilled, r.closes, sum(CAST(opens AS INT)) OVER (PARTITION BY s.session_id ORDER BY s.run_no, s.i) AS block_no,
     lead(CASE WHEN r.spilled THEN latest_ms END) OVER (PARTITION BY s.session_id, s.run_no ORDER BY s.i) AS spill_ms
   FROM v_seq s JOIN v_walk r ON s.session_id = r.session_id AND s.run_no = r.run_no AND s.i = r.i),
 v_pages AS (SELECT session_id, CAST(block_no AS BIGINT) AS block_no, min(start_ms) AS start_ms,
-    max(coalesce(spill_ms, latest_ms)) AS end_ms, string_agg(w, ' ' ORDER BY run_no, i) AS text FROM v_blk GROUP BY 1, 2)"""
+    max(coalesce(spill_ms, latest_ms)) AS end_ms, string_agg(w, ' ' ORDER BY run_no, i) AS text, bool_or(closes) AS closed FROM v_blk GROUP BY 1, 2)"""
 
 
 @query("paginate_blocks", with_views("v_session_fragments", "SELECT session_id, block_no, start_ms, end_ms, length(text) AS chars "

@@ -1,7 +1,5 @@
 """Schemas of the records that live in files; readers never infer."""
 
-CUE = "start DOUBLE, end DOUBLE, text STRING"
-
 PACKET_LOG_608 = "ts DOUBLE, text STRING, frames ARRAY<STRUCT<b1: INT, b2: INT, note: STRING>>"
 
 PACKET_LOG_708 = ("ts DOUBLE, text STRING, raw_hex STRING, "
@@ -13,11 +11,9 @@ BACKEND_WORDS = ("session_id BIGINT, utterance_id BIGINT, step INT, ok BOOLEAN,
 ARCHIVE = ("id STRING, url STRING, video_id STRING, source_type STRING, created_at DOUBLE, status STRING, "
            "accuracy DOUBLE, segment_count INT, cue_count INT, accuracy_summary STRUCT<wer: DOUBLE, accuracy: DOUBLE, "
            "ref_words: BIGINT, substitutions: BIGINT, deletions: BIGINT, insertions: BIGINT, segment_count: BIGINT>, "
-           f"records ARRAY<STRING>, cues ARRAY<STRUCT<start: DOUBLE, end: DOUBLE, text: STRING>>")
+           "records ARRAY<STRING>, first_cue BIGINT, cues ARRAY<STRUCT<start: DOUBLE, end: DOUBLE, text: STRING>>")
 
 INDEX_FIELDS = ["id", "url", "video_id", "source_type", "created_at", "status", "accuracy", "segment_count", "cue_count"]
 
-FEED = "text STRING, lines ARRAY<STRING>, start STRING, end STRING"
-
 GPU_COLUMNS = ["index", "name", "util_gpu", "util_mem", "mem_used_mb", "mem_total_mb", "temp_c", "power_w",
                "power_limit_w", "fan_pct", "clock_sm_mhz", "clock_mem_mhz"]

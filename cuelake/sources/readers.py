@@ -70,14 +70,17 @@ def read_packet_log_708(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_session_archive(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(sessions, cues) of archived session documents; ids other than letters and digits are refused."""
-    a = spark.read.schema(schemas.ARCHIVE).option("multiLine", True).json(path)
+    """(sessions, cues) of archived session documents, one per line; ids other than letters and digits are refused.
+
+    A long session is spread over several documents, each with the number of its first cue.
+    """
+    a = spark.read.schema(schemas.ARCHIVE).json(path).withColumn("first_cue", F.coalesce("first_cue", F.lit(1)))
     a = a.filter(F.col("id").rlike(r"^[\p{L}\p{N}]+$"))
     ms = lambda c: F.round(F.col(c) * 1000).cast("bigint")
-    cues = a.select("id", F.posexplode("cues").alias("pos", "c")).select(
-        F.col("id").alias("session_id"), (F.col("pos") + 1).alias("cue_no"), ms("c.start").alias("start_ms"),
+    cues = a.select("id", "first_cue", F.posexplode("cues").alias("pos", "c")).select(
+        F.col("id").alias("session_id"), (F.col("pos") + F.col("first_cue")).alias("cue_no"), ms("c.start").alias("start_ms"),
         ms("c.end").alias("end_ms"), "c.text")
-    return a.drop("cues", "records"), cues
+    return a.filter("first_cue = 1").drop("cues", "records", "first_cue"), cues
 
 
 def read_transcript(spark: SparkSession, path: str, jsonl: bool = False, part_lines: int = 100_000) -> DataFrame:

@@ -67,13 +67,13 @@ def hex_dump_708(packets: DataFrame) -> DataFrame:
 
 def archive_documents(sessions: DataFrame, cues: DataFrame, part_cues: int = 100_000) -> DataFrame:
     """Ended sessions as nested documents. A session with more than ``part_cues`` cues becomes several documents
-    with the same id and the cue range in ``part_no``."""
-    part = F.expr(f"CAST((cue_no - 1) div {part_cues} AS BIGINT)").alias("part_no")
+    with the same id; ``first_cue`` numbers the first cue of each."""
+    part = F.expr(f"CAST((cue_no - 1) div {part_cues} * {part_cues} + 1 AS BIGINT)").alias("first_cue")
     item = F.struct("cue_no", (F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end"), "text")
     c = cues.groupBy(F.col("session_id").cast("string").alias("id"), part).agg(
         F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(
             x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"))).alias("cues"))
-    return sessions.join(c, "id", "left").withColumn("part_no", F.coalesce("part_no", F.lit(0))).withColumn(
+    return sessions.join(c, "id", "left").withColumn("first_cue", F.coalesce("first_cue", F.lit(1))).withColumn(
         "cues", F.coalesce("cues", F.array().cast("array<struct<start:double,end:double,text:string>>"))).withColumn(
         "records", F.array().cast("array<string>"))
 
