@@ -54,15 +54,18 @@ def rolling_latency(samples: DataFrame, window: int = V.LATENCY_WINDOW, rows: in
 
 
 def rolling_gpu(samples: DataFrame, value: str, window: int = 20, rows: int = scan.BLOCK_ROWS) -> DataFrame:
-    """Mean of the last ``window`` known values per GPU, carried over unknown ones, one decimal."""
+    """Mean of the last ``window`` known values per GPU, carried over unknown ones, one decimal (half to even).
+
+    The mean is taken in decimals, so that the rounding does not depend on the order of additions.
+    """
     keys, order = ["gpu"], ["ts", "event_id"]
     s = scan.range_blocks(samples, keys, order)
     s = scan.prefix(s, keys, order, {"_k": ("sum", F.col(value).isNotNull().cast("bigint"))}, keep=True)
     s = s.withColumnRenamed(scan.BLK, "_b")
-    known = scan.trailing(s.filter(F.col(value).isNotNull()), keys, "_k", window, {"_avg": F.avg(value)}, rows)
-    unknown = s.filter(F.col(value).isNull()).withColumn("_avg", F.lit(None).cast("double"))
+    known = scan.trailing(s.filter(F.col(value).isNotNull()), keys, "_k", window, {"_avg": F.avg(F.col(value).cast("decimal(18,6)"))}, rows)
+    unknown = s.filter(F.col(value).isNull()).withColumn("_avg", F.lit(None).cast("decimal(22,10)"))
     both = known.unionByName(unknown).withColumnRenamed("_b", scan.BLK)
-    out = scan.prefix(both, keys, order, {f"{value}_avg": ("last", F.bround("_avg", 1))}, keep=True)
+    out = scan.prefix(both, keys, order, {f"{value}_avg": ("last", F.bround("_avg", 1).cast("double"))}, keep=True)
     return out.drop("_k", "_avg", scan.BLK)
 
 

@@ -173,9 +173,41 @@ def top_sounds(spark, sf):
         "session_id", "window_no", "caption", F.round("prob", 6).alias("prob"))
 
 
-@query("sound_events")
+def _ready(x: str, gate: str = "false") -> str:
+    return f"coalesce(p{x} >= 0.45, false) AND NOT a{x} AND coalesce(t - f{x} >= 8, true) AND NOT {gate}"
+
+
+def _next(x: str, name: str) -> str:
+    return (f"CASE WHEN win = '{name}' THEN true WHEN p{x} < 0.25 AND c{x} + 1 >= 2 THEN false ELSE a{x} END AS a{x}, "
+            f"CASE WHEN p{x} >= 0.45 THEN 0 WHEN p{x} < 0.25 THEN c{x} + 1 ELSE c{x} END AS c{x}, "
+            f"CASE WHEN win = '{name}' THEN t ELSE f{x} END AS f{x}")
+
+
+# The hysteresis of the three captions of the view, window by window, all sessions side by side.
+FIRED = SCORED + f""", v_win AS (
+  SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY t) AS i FROM (
+    SELECT session_id, window_no AS t, max(CASE WHEN caption = 'APPLAUSE' THEN prob END) AS pa,
+      max(CASE WHEN caption = 'MUSIC' THEN prob END) AS pm, max(CASE WHEN caption = 'SIREN' THEN prob END) AS ps,
+      max(speech) >= 0.5 AS gate FROM v_scored GROUP BY 1, 2)),
+v_state AS (
+  SELECT session_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS t, CAST(NULL AS VARCHAR) AS win, CAST(NULL AS DOUBLE) AS prob,
+    false AS aa, 0 AS ca, CAST(NULL AS BIGINT) AS fa, false AS am, 0 AS cm, CAST(NULL AS BIGINT) AS fm,
+    false AS "as", 0 AS cs, CAST(NULL AS BIGINT) AS fs FROM v_win WHERE i = 1
+  UNION ALL
+  SELECT session_id, i, t, win, CASE win WHEN 'SIREN' THEN ps WHEN 'MUSIC' THEN pm WHEN 'APPLAUSE' THEN pa END,
+    {_next('a', 'APPLAUSE')}, {_next('m', 'MUSIC')}, {_next('s', 'SIREN')}
+  FROM (SELECT *, CASE WHEN rs AND (NOT rm OR ps >= pm) AND (NOT ra OR ps >= pa) THEN 'SIREN'
+        WHEN rm AND (NOT ra OR pm >= pa) THEN 'MUSIC' WHEN ra THEN 'APPLAUSE' END AS win
+    FROM (SELECT *, {_ready('a')} AS ra, {_ready('m')} AS rm, {_ready('s', 'gate')} AS rs
+      FROM (SELECT w.*, aa, ca, fa, am, cm, fm, "as", cs, fs FROM v_state s
+        JOIN v_win w ON w.session_id = s.session_id AND w.i = s.i + 1))))"""
+FIRED = FIRED.replace("NOT as ", 'NOT "as" ').replace("ELSE as END AS as", 'ELSE "as" END AS "as"')
+
+
+@query("sound_events", with_views("v_sounds", """
+SELECT session_id, greatest(t * 1000 - 2000, 0) AS start_ms, t * 1000 AS end_ms, '[' || win || ']' AS text, round(prob, 6) AS prob
+FROM v_state WHERE win IS NOT NULL""", recursive=True, extra=FIRED))
 def sound_events(spark, sf):
-    """Path-dependent (a winner changes the state of all later windows): checked against a row loop in the tests."""
     return L.sound_events(v.sounds(spark, sf)).withColumn("prob", F.round("prob", 6))
 
 
@@ -219,10 +251,13 @@ def rolling_latency(spark, sf):
 
 
 @query("rolling_gpu", with_views("v_gpu", """
-SELECT gpu, event_id, util, round(last_value(a IGNORE NULLS) OVER (PARTITION BY gpu ORDER BY ts, event_id), 1) AS util_avg
+SELECT gpu, event_id, util, last_value(a IGNORE NULLS) OVER (PARTITION BY gpu ORDER BY ts, event_id) / 10.0 AS util_avg
 FROM (SELECT g.*, k.a FROM v_gpu g LEFT JOIN (
-  SELECT event_id, round_even(avg(util) OVER (PARTITION BY gpu ORDER BY ts, event_id
-     ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 1) AS a FROM v_gpu WHERE util IS NOT NULL) k ON g.event_id = k.event_id)"""))
+  SELECT event_id, s // (10 * n) + CASE WHEN 2 * (s % (10 * n)) > 10 * n THEN 1
+      WHEN 2 * (s % (10 * n)) = 10 * n THEN s // (10 * n) % 2 ELSE 0 END AS a
+  FROM (SELECT event_id, CAST(sum(CAST(round(util * 100) AS BIGINT)) OVER w AS BIGINT) AS s, count(*) OVER w AS n
+    FROM v_gpu WHERE util IS NOT NULL
+    WINDOW w AS (PARTITION BY gpu ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))) k ON g.event_id = k.event_id)"""))
 def rolling_gpu(spark, sf):
     return M.rolling_gpu(v.gpu(spark, sf), "util").select("gpu", "event_id", "util", "util_avg")
 

@@ -23,9 +23,10 @@ def late_words_stream(spark, sf):
     return J.drain(X.late_words_stream(h, 0)).groupBy("session_id", "utterance_id", "step").agg(F.count("*").alias("late"))
 
 
-@query("sound_events_stream")
+@query("sound_events_stream", with_views("v_sounds", """
+SELECT session_id, t AS window_no, t * 1000 AS time_ms, win AS caption, round(prob, 6) AS prob FROM v_state WHERE win IS NOT NULL""",
+                                         recursive=True, extra=G.FIRED))
 def sound_events_stream(spark, sf):
-    """Rows are compared with the batch form in the tests."""
     w = J.replay(L.window_table(v.sounds(spark, sf)), ["session_id"], "window_no")
     return J.drain(X.sound_events_stream(w)).withColumn("prob", F.round("prob", 6))
 

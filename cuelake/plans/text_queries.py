@@ -56,18 +56,25 @@ STUTTER = f"""
     FROM (SELECT *, {tok('text')} AS t0 FROM v_cues))"""
 
 
-@query("clean_fragment", with_views("v_cues", f"""
-SELECT session_id, cue_no, trim({"".join("regexp_replace(" for _ in range(7))}string_agg(w, ' ' ORDER BY i),
-    {", ".join(f"'[{m}]+', '{m}', 'g')" for m in [",", ".", "!", "?", ";", ":"]).replace("), ", "),")}
-    , '\\s+([,.!?;:])', '\\1', 'g')) AS text
-FROM (SELECT *, min(i) OVER r AS first_i, count(*) OVER r AS n FROM (
-    SELECT *, sum(CASE WHEN joined THEN 0 ELSE 1 END) OVER (PARTITION BY session_id, cue_no ORDER BY i) AS run FROM (
+def collapse_sql(tokens: str, keys: str) -> str:
+    """Tokens (keys, i, w) with 3+ equal neighbours as one (islands; the last may end in marks), joined per key, then
+    one replacement per punctuation mark."""
+    marks = "string_agg(w, ' ' ORDER BY i)"
+    for m in ",.!?;:":
+        marks = f"regexp_replace({marks}, '[{m}]+', '{m}', 'g')"
+    return f"""
+SELECT {keys}, trim(regexp_replace({marks}, '\\s+([,.!?;:])', '\\1', 'g')) AS text FROM (
+  SELECT {keys}, i, CASE WHEN n >= 3 THEN w || regexp_replace(last_w, '^{W}+', '') ELSE w END AS w
+  FROM (SELECT *, first_value(i) OVER r AS first_i, last_value(w) OVER r AS last_w, count(*) OVER r AS n FROM (
+    SELECT *, sum(CASE WHEN joined THEN 0 ELSE 1 END) OVER (PARTITION BY {keys} ORDER BY i) AS run FROM (
       SELECT *, coalesce(lower(regexp_extract(w, '^{W}+')) = lower(regexp_extract(pw, '{W}+$'))
              AND regexp_extract(w, '^{W}+') <> '' AND regexp_full_match(pw, '{W}+'), false) AS joined
-      FROM (SELECT *, lag(w) OVER (PARTITION BY session_id, cue_no ORDER BY i) AS pw FROM stutter)))
-    WINDOW r AS (PARTITION BY session_id, cue_no, run))
-WHERE NOT (n >= 3 AND i > first_i AND regexp_full_match(w, '{W}+'))
-GROUP BY session_id, cue_no""", extra=f"stutter AS ({STUTTER})"))
+      FROM (SELECT *, lag(w) OVER (PARTITION BY {keys} ORDER BY i) AS pw FROM {tokens})))
+    WINDOW r AS (PARTITION BY {keys}, run ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+  WHERE n < 3 OR i = first_i) GROUP BY {keys}"""
+
+
+@query("clean_fragment", with_views("v_cues", collapse_sql("stutter", "session_id, cue_no"), extra=f"stutter AS ({STUTTER})"))
 def clean_fragment(spark, sf):
     """Text with injected stutters and runs of marks; the SQL twin collapses runs of equal words by islands."""
     c = v.cues(spark, sf).select("session_id", "cue_no", "text")
@@ -154,15 +161,19 @@ def drop_empty_captions(spark, sf):
     return kept.select("conv_id", "turn", F.size(v.tokens(F.col("text"))).cast("bigint").alias("words"))
 
 
-@query("dedupe_boundary", with_views("v_fragments", rf"""
-SELECT session_id, utterance_id, frag_no,
+BOUNDARY = rf"""shown AS (SELECT session_id, utterance_id, frag_no,
   CASE WHEN prev <> '' AND lower(head) = lower(prev) AND rest <> '' THEN rest ELSE text END AS text
 FROM (SELECT *, regexp_extract(text, '^({W}+)', 1) AS head, regexp_replace(text, '^{W}+\s*', '') AS rest,
         lag(regexp_extract_all(text, '{W}+')[-1], 1, '') OVER (PARTITION BY session_id, utterance_id ORDER BY frag_no) AS prev
   FROM (SELECT session_id, utterance_id, frag_no,
         CASE WHEN frag_no % 3 = 1 THEN lag(lw) OVER (PARTITION BY session_id, utterance_id ORDER BY frag_no) || ' ' || text
              ELSE text END AS text
-        FROM (SELECT *, coalesce(regexp_extract_all(text, '{W}+')[-1], '') AS lw FROM v_fragments)))"""))
+        FROM (SELECT *, coalesce(regexp_extract_all(text, '{W}+')[-1], '') AS lw FROM v_fragments)))),
+pieces AS (SELECT session_id, utterance_id, frag_no, unnest(range(len(t))) AS i, unnest(t) AS w
+  FROM (SELECT *, {tok('text')} AS t FROM shown))"""
+
+
+@query("dedupe_boundary", with_views("v_fragments", collapse_sql("pieces", "session_id, utterance_id, frag_no"), extra=BOUNDARY))
 def dedupe_boundary(spark, sf):
     """Every third fragment starts with the last word of the one before it. The view has no one-word fragments with
     a mark that repeat; those runs are tested against a row loop."""
