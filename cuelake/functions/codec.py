@@ -6,15 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from cuelake.functions import values as V
+from cuelake.functions.text import let
 
 PRINTABLE = r"[^\x{20}-\x{7F}]"
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated once; lambdas would evaluate an outer expression per element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def odd_parity(code: Column) -> Column:
     """Seven-bit value with bit 7 set so that the count of ones is odd."""
     low = code.bitwiseAND(F.lit(0x7F))

@@ -13,6 +13,11 @@ from cuelake.functions import values as V
 BREAK = "\u0001"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once; lambdas would evaluate an outer expression per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def collapse_space(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
@@ -120,9 +125,12 @@ def wrap_caption(text: Column, width: int = V.LINE_WIDTH, keep: int = V.MAX_LINE
     return F.aggregate(_layout_pieces(text), start, place, lambda acc: push(acc["lines"], acc["cur"]))
 
 
-def wrap_lines(text: Column, width: int = V.LINE_WIDTH, keep: int | None = None) -> Column:
-    """Wrap to ``width`` with over-long words kept whole; optionally keep the last ``keep`` lines."""
-    start = F.struct(F.array().cast("array<string>").alias("lines"), F.lit("").alias("cur"))
+def wrap_lines(text: Column, width: int = V.LINE_WIDTH, keep: int | None = None, chunk: int = 64) -> Column:
+    """Wrap to ``width`` with over-long words kept whole; optionally keep the last ``keep`` lines.
+
+    Words are folded ``chunk`` at a time, so that the lines so far are copied once per chunk and not once per word.
+    """
+    none = F.array().cast("array<string>")
 
     def push(lines: Column, line: Column) -> Column:
         more = F.array_append(lines, line)
@@ -136,7 +144,21 @@ def wrap_lines(text: Column, width: int = V.LINE_WIDTH, keep: int | None = None)
             F.length(both) <= width, F.struct(acc["lines"].alias("lines"), both.alias("cur"))
         ).otherwise(F.struct(push(acc["lines"], acc["cur"]).alias("lines"), word.alias("cur")))
 
-    return F.aggregate(space_words(text), start, place, lambda acc: push(acc["lines"], acc["cur"]))
+    def take(acc: Column, words: Column) -> Column:
+        part = F.aggregate(words, F.struct(none.alias("lines"), acc["cur"].alias("cur")), place)
+        return let(part, lambda p: F.struct(
+            F.array_append(acc["parts"], p["lines"]).alias("parts"), p["cur"].alias("cur")))
+
+    def fold(words: Column) -> Column:
+        if keep:
+            return F.aggregate(words, F.struct(none.alias("lines"), F.lit("").alias("cur")), place,
+                               lambda acc: push(acc["lines"], acc["cur"]))
+        chunks = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)), F.lit(chunk)),
+                             lambda i: F.slice(words, i, F.lit(chunk)))
+        start = F.struct(F.array().cast("array<array<string>>").alias("parts"), F.lit("").alias("cur"))
+        return F.aggregate(chunks, start, take, lambda acc: push(F.flatten(acc["parts"]), acc["cur"]))
+
+    return let(space_words(text), fold)
 
 
 def display_text(lines: Column) -> Column:

@@ -136,7 +136,7 @@ def cc_triples(packets: DataFrame) -> DataFrame:
             F.coalesce(F.get(p, i + 1), F.lit(0)).alias("d2"),
             F.when(i == 0, "DTVCC_START").otherwise("DTVCC_DATA").alias("type_name")))
 
-    return packets.withColumn("cc_data", C.let(F.col("packet"), triples))
+    return packets.withColumn("cc_data", T.let(F.col("packet"), triples))
 
 
 def audit_708(packets: DataFrame, order: str = "cue_no", rows: int = scan.BLOCK_ROWS) -> DataFrame:

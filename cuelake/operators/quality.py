@@ -11,6 +11,8 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from cuelake.functions import text as T
 
 UNIT = 1 << 20
+LANE_CELLS = 1 << 18
+GLYPHS = "".join(chr(0x4E00 + i) for i in range(20_000))
 EDITS = StructType([StructField("distance", IntegerType()), StructField("substitutions", IntegerType())])
 
 
@@ -22,37 +24,58 @@ def unpaired_transcripts(reference: DataFrame, hypothesis: DataFrame, key: str)
     return reference.join(hypothesis, key, "left_anti")
 
 
-def _edits(ref: list[str], hyp: list[str]) -> tuple[int, int]:
-    """(distance, substitutions) of the cheapest alignment with the fewest substitutions, row by row."""
-    names = {w: i for i, w in enumerate(dict.fromkeys([*ref, *hyp]))}
-    h = np.array([names[w] for w in hyp], dtype=np.int64)
-    steps = np.arange(len(hyp) + 1, dtype=np.int64) * UNIT
-    row = steps.copy()
-    for i, w in enumerate(ref, 1):
+def _edit_batch(refs: list, hyps: list) -> np.ndarray:
+    """Cheapest alignment cost ``distance * UNIT + substitutions`` of several pairs at once.
+
+    One table row per step, one lane per pair; shorter pairs are padded and read off at their own corner.
+    """
+    n, m = np.array([len(r) for r in refs]), np.array([len(h) for h in hyps])
+    ids: dict[str, int] = {}
+    number = lambda words: [ids.setdefault(w, len(ids)) for w in words]
+    ref = np.full((len(refs), n.max()), -1)
+    hyp = np.full((len(refs), m.max()), -2)
+    for k, (r, h) in enumerate(zip(refs, hyps)):
+        ref[k, :len(r)], hyp[k, :len(h)] = number(r), number(h)
+    steps = np.arange(hyp.shape[1] + 1, dtype=np.int64) * UNIT
+    row = np.tile(steps, (len(refs), 1))
+    cost = row[np.arange(len(refs)), m]
+    for i in range(ref.shape[1]):
         best = np.empty_like(row)
-        best[0] = i * UNIT
-        best[1:] = np.minimum(row[:-1] + np.where(h == names[w], 0, UNIT + 1), row[1:] + UNIT)
-        row = np.minimum.accumulate(best - steps) + steps
-    return divmod(int(row[-1]), UNIT)
+        best[:, 0] = (i + 1) * UNIT
+        best[:, 1:] = np.minimum(row[:, :-1] + np.where(hyp == ref[:, i:i + 1], 0, UNIT + 1), row[:, 1:] + UNIT)
+        row = np.minimum.accumulate(best - steps, axis=1) + steps
+        ends = np.flatnonzero(n == i + 1)
+        cost[ends] = row[ends, m[ends]]
+    return cost
 
 
 @F.pandas_udf(EDITS)
 def _align(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_edits(list(r), list(h)) for r, h in zip(ref, hyp)], columns=["distance", "substitutions"])
+    cost = np.zeros(len(ref), dtype=np.int64)
+    size = np.array([[len(r), len(h)] if r is not None else [0, 0] for r, h in zip(ref, hyp)]).reshape(-1, 2)
+    order = np.lexsort((size[:, 1], size[:, 0]))
+    order = order[size[order, 0] > 0]
+    at = 0
+    while at < len(order):
+        lanes = max(1, min(1024, LANE_CELLS // int(size[order[at:at + 1024], 1].max() + 1)))
+        some = order[at:at + lanes]
+        cost[some] = _edit_batch([ref.iloc[k] for k in some], [hyp.iloc[k] for k in some])
+        at += lanes
+    return pd.DataFrame({"distance": cost // UNIT, "substitutions": cost % UNIT})
 
 
 def wer(pairs: DataFrame, strict: bool = False) -> DataFrame:
-    """Alignment counts per pair (``ref``, ``hyp``). Equal texts never reach Python.
+    """Alignment counts per pair (``ref``, ``hyp``). Equal texts are not sent to Python; pairs are spread over the
+    tasks by hash first, since the work of a pair grows with the product of its lengths.
 
     An empty reference has no rate: ``error`` says so, or the job fails in strict mode.
     """
     p = pairs.withColumn("_r", T.wer_tokens(F.col("ref"))).withColumn("_h", T.wer_tokens(F.col("hyp")))
+    p = p.repartition(F.xxhash64("_r", "_h"))
     n, m = F.size("_r"), F.size("_h")
     empty = n == 0
-    same = (F.col("_r") == F.col("_h")) | empty
-    equal, rest = p.filter(same), p.filter(~same)
-    zero = F.struct(F.lit(0).alias("distance"), F.lit(0).alias("substitutions"))
-    both = rest.withColumn("_a", _align("_r", "_h")).unionByName(equal.withColumn("_a", zero))
+    work = ~empty & (F.col("_r") != F.col("_h"))
+    both = p.withColumn("_a", _align(F.when(work, F.col("_r")), F.when(work, F.col("_h"))))
     sub, dist = F.col("_a.substitutions"), F.col("_a.distance")
     ins = F.expr("(_a.distance - _a.substitutions - (size(_r) - size(_h))) div 2").cast("int")
     problem = F.raise_error(F.lit("Reference transcript is empty")).cast("string") if strict else F.lit(
@@ -70,7 +93,7 @@ def wer_distance(pairs: DataFrame) -> DataFrame:
     """
     p = pairs.withColumn("_r", T.wer_tokens(F.col("ref"))).withColumn("_h", T.wer_tokens(F.col("hyp")))
     p = p.withColumn("_d", F.array_distinct(F.concat("_r", "_h")))
-    glyph = lambda w: F.decode(F.unhex(F.hex(F.array_position("_d", w) + 0x4DFF)), "UTF-16BE")
+    glyph = lambda w: F.substr(F.lit(GLYPHS), F.array_position("_d", w).cast("int"), F.lit(1))
     line = lambda c: F.array_join(F.transform(c, glyph), "")
     fits = F.size("_d") <= 20000
     far = F.when(fits, F.levenshtein(line("_r"), line("_h"))).otherwise(

@@ -38,8 +38,8 @@ def wrap_caption(spark, sf):
        f"FROM (SELECT doc_id, string_split({SQL_WRAP.format('t')}, chr(10)) AS l FROM "
        f"(SELECT doc_id, {tok('text')} AS t FROM documents) WHERE len(t) > 0)")
 def wrap_lines(spark, sf):
-    d = v.table(spark, sf, "documents").select("doc_id", T.wrap_lines(F.col("text")).alias("l"))
-    return d.filter(F.size("l") > 0).select(
+    d = v.table(spark, sf, "documents").filter(F.col("text").rlike(r"\S")).select("doc_id", T.wrap_lines(F.col("text")).alias("l"))
+    return d.select(
         "doc_id", F.size("l").cast("bigint").alias("n_lines"), F.get("l", F.lit(0)).alias("first_line"),
         F.array_join(F.slice("l", F.greatest(F.size("l") - 1, F.lit(1)), F.lit(2)), "|").alias("tail"))
 

@@ -8,8 +8,18 @@ from pyspark.sql import functions as F
 from cuelake.operators import scan
 
 
+TEXT_KEYS = {"conversations": "conv_id", "documents": "doc_id"}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A given table. Text is expensive per row: a small text file that would be read by fewer tasks than there are
+    cores is spread first (large inputs have more splits than cores and are left alone)."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in TEXT_KEYS and df.rdd.getNumPartitions() < cores:
+        more = ["turn"] if name == "conversations" else []
+        df = df.repartition(cores, TEXT_KEYS[name], *more)
+    return df
 
 
 def tokens(text) -> F.Column:
@@ -117,9 +127,7 @@ def sounds(spark: SparkSession, sf: str) -> DataFrame:
 def transcript_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Reference text (first 40 ASCII words) and a damaged copy: drops, substitutions and insertions."""
     d = table(spark, sf, "documents")
-    clean = F.filter(F.transform(tokens(F.lower("text")), lambda w: F.regexp_replace(w, "[^a-z]", "")),
-                     lambda w: w != "")
-    ref = F.slice(clean, 1, 40)
+    ref = F.slice(tokens(F.regexp_replace(F.lower("text"), r"[^a-z\s]", "")), 1, 40)
     rows = d.select("doc_id", "lang", "source", ref.alias("r")).filter(F.size("r") > 0)
     hyp = F.flatten(F.transform("r", lambda w, i: F.when(i % 11 == 5, F.array().cast("array<string>"))
                     .when(i % 13 == 7, F.array(F.lit("zz")))
