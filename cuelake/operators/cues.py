@@ -76,9 +76,9 @@ def drop_hallucinations(segments: DataFrame, limit: float = 0.5) -> DataFrame:
     return s.filter(~spam).join(phrases, "_bare", "left_anti").drop("_bare")
 
 
-def number_cues(cues: DataFrame, keys: list[str], order: list[str], name: str = "cue_no") -> DataFrame:
+def number_cues(cues: DataFrame, keys: list[str], order: list[str], name: str = "cue_no", keep: bool = False) -> DataFrame:
     """1-based cue index per key over a blocked table (``seq_blocks`` or ``range_blocks``)."""
-    return scan.number_rows(cues, keys, order, name).drop(scan.BLK)
+    return scan.number_rows(cues, keys, order, name, keep).drop(scan.BLK)
 
 
 def recent_cues(cues: DataFrame, n: int = 10) -> DataFrame:

@@ -18,8 +18,8 @@ BLOCK_ROWS = 1 << 20
 
 
 def seq_blocks(df: DataFrame, seq: str, rows: int = BLOCK_ROWS) -> DataFrame:
-    """Blocks for a key whose ``seq`` column is a unique integer: at most ``rows`` rows per (key, block)."""
-    return df.withColumn(BLK, F.expr(f"CAST(floor({seq} / {rows}) AS BIGINT)"))
+    """Blocks for a key whose ``seq`` column is a unique integer from 0 or 1: at most ``rows`` rows per block."""
+    return df.withColumn(BLK, F.expr(f"CAST({seq} AS BIGINT) div {rows}"))
 
 
 def range_blocks(df: DataFrame, keys: list[str], order: list[str], partitions: int | None = None) -> DataFrame:
@@ -104,7 +104,7 @@ def with_halo(df: DataFrame, seq: str, n: int, rows: int = BLOCK_ROWS) -> DataFr
 
     ``seq`` is dense per key. Copies carry ``_halo = true`` and are dropped after the window.
     """
-    blk = F.expr(f"CAST(floor({seq} / {rows}) AS BIGINT)")
+    blk = F.expr(f"CAST({seq} AS BIGINT) div {rows}")
     own = F.struct(blk.alias(BLK), F.lit(False).alias("_halo"))
     copy = F.struct((blk + 1).alias(BLK), F.lit(True).alias("_halo"))
     tail = F.expr(f"pmod({seq}, {rows})") >= rows - n
@@ -141,7 +141,7 @@ def ordered_parts(df: DataFrame, keys: list[str], seq: str, text: str, sep: str,
 
     A whole text of an unlimited key cannot be one value; the parts in order are the whole text.
     """
-    part = F.expr(f"CAST(floor({seq} / {rows}) AS BIGINT)").alias("part_no")
+    part = F.expr(f"CAST({seq} AS BIGINT) div {rows}").alias("part_no")
     items = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(text).alias("t"))))
     return (df.groupBy(*keys, part)
               .agg(F.array_join(F.transform(items, lambda x: x["t"]), sep).alias(name)))

@@ -23,11 +23,15 @@ def classify_source(sources: DataFrame) -> DataFrame:
                    .withColumn("scheme", scheme))
 
 
+def cue_stats(cues: DataFrame) -> DataFrame:
+    """Cue count, last cue and newest caption time of sessions that have cues."""
+    return cues.groupBy("session_id").agg(F.count("*").alias("cue_count"), F.max_by("text", "cue_no").alias("last_cue"),
+                                          F.max("end_ms").alias("uptime_ms"))
+
+
 def session_rollup(sessions: DataFrame, cues: DataFrame) -> DataFrame:
-    """Sessions with cue count, last cue and newest caption time; sessions without cues stay with count 0."""
-    c = cues.groupBy("session_id").agg(F.count("*").alias("cue_count"), F.max_by("text", "cue_no").alias("last_cue"),
-                                       F.max("end_ms").alias("uptime_ms"))
-    return sessions.join(c, "session_id", "left").withColumn("cue_count", F.coalesce("cue_count", F.lit(0)))
+    """Sessions with their cue statistics; sessions without cues stay with count 0."""
+    return sessions.join(cue_stats(cues), "session_id", "left").withColumn("cue_count", F.coalesce("cue_count", F.lit(0)))
 
 
 def service_totals(rollup: DataFrame) -> DataFrame:

@@ -7,4 +7,4 @@ from cuelake.plans.registry import ORACLE, QUERIES  # noqa: F401
 
 
 def flagship(spark, sf):
-    return text_queries.webvtt_document(spark, sf)
+    return text_queries.caption_documents(spark, sf)

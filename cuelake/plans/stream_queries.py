@@ -103,7 +103,7 @@ def sliding_windows_stream(spark, sf):
 def live_captions(spark, sf):
     """Chain of the live path: stable words by stream, then fragments and their clean text."""
     h = J.replay(v.hypotheses(spark, sf), ["session_id", "utterance_id"], "step")
-    frags = A.committed_fragments(J.drain(X.local_agreement_stream(h, 0)))
-    shown = Q.drop_empty_captions(Q.wrap_caption(Q.dedupe_boundary(frags)))
+    frags = Q.dedupe_boundary(A.committed_fragments(J.drain(X.local_agreement_stream(h, 0))))
+    shown = Q.drop_empty_captions(Q.wrap_caption(frags))
     return shown.groupBy("session_id", "utterance_id").agg(
         F.sum(F.size(T.space_words(F.col("raw")))).alias("words"), F.count("*").alias("fragments"))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from cuelake.functions import clock, text as T
 from cuelake.operators import cues as Q, scan
-from cuelake.plans import views as v
+from cuelake.plans import live, views as v
 from cuelake.plans.registry import query
 from cuelake.plans.view_sql import tok, with_views
 
@@ -267,3 +267,20 @@ def merge_captions(spark, sf):
         "session_id", (F.col("window_no") * 1000).alias("start_ms"), (F.col("window_no") * 1000 + 2000).alias("end_ms"),
         F.concat(F.lit("["), F.upper("label"), F.lit("]")).alias("text"))
     return Q.merge_captions(v.cues(spark, sf), s)
+
+
+CHAIN = f"""pieces AS (SELECT session_id, cue_no, unnest(range(len(t))) AS i, unnest(t) AS w
+  FROM (SELECT *, {tok('text')} AS t FROM v_cues)),
+cleaned AS ({collapse_sql("pieces", "session_id, cue_no")}),
+shown AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY cue_no) AS cue_no, start_ms, end_ms,
+    array_to_string(string_split({SQL_WRAP.format(tok('c.text'))}, chr(10))[-2:], chr(10)) AS text
+  FROM cleaned c JOIN v_cues USING (session_id, cue_no) WHERE c.text <> '')"""
+
+
+@query("caption_documents", with_views("v_cues", f"""
+SELECT session_id, 0 AS part_no, 'WEBVTT' || chr(10) || chr(10)
+  || string_agg({VTT.format('text')}, chr(10) ORDER BY cue_no) AS document,
+  count(*) AS cue_count, max_by(text, cue_no) AS last_cue, max(end_ms) AS uptime_ms FROM shown GROUP BY session_id""", extra=CHAIN))
+def caption_documents(spark, sf):
+    """Flagship: texts cleaned, laid out, numbered, written as WebVTT next to the session's roll-up."""
+    return live.documents(live.caption_cues(v.cues(spark, sf).withColumnRenamed("cue_no", "seq")))
