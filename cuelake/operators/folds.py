@@ -36,7 +36,7 @@ def thaw(start: str | None, fold) -> dict:
     return state
 
 
-def _runner(fold, parts: list[str], out: list[str], states: bool, blocked: bool):
+def _runner(fold, parts: list[str], out: list[str], states: bool):
     """Batch iterator function: fold each run of equal ``parts`` in a sorted partition."""
     names = list(fold.columns)
 
@@ -53,7 +53,7 @@ def _runner(fold, parts: list[str], out: list[str], states: bool, blocked: bool)
         for pdf in batches:
             groups = zip(*[pdf[c].tolist() for c in parts])
             values = zip(*[pdf[c].tolist() for c in names])
-            heads = zip(pdf["_start"], pdf["_final"]) if blocked else iter(lambda: (None, True), None)
+            heads = zip(pdf["_start"], pdf["_final"])
             for group, vals, (start, final) in zip(groups, values, heads):
                 if group != current:
                     if current is not None:
@@ -81,13 +81,6 @@ def _sorted(df: DataFrame, parts: list[str], order: list[str], cols: list[str])
     return df.select(*seen).repartition(*parts).sortWithinPartitions(*parts, *order)
 
 
-def fold_groups(df: DataFrame, keys: list[str], order: list[str], fold) -> DataFrame:
-    """Fold each key, for keys that are bounded by nature (an utterance, a run without pause)."""
-    out = [*keys, *[f.split()[0] for f in fold.output]]
-    return _sorted(df, keys, order, list(fold.columns)).mapInPandas(
-        _runner(fold, keys, out, False, False), _schema(df, keys, ", ".join(fold.output)))
-
-
 def _packed(starts: DataFrame, parts: list[str]) -> DataFrame:
     """One row per block: its entries as a JSON object, and whether it is the last block of its key."""
     entries = F.map_from_entries(F.collect_list(F.struct("_entry", "_now")))
@@ -112,7 +105,7 @@ def block_starts(df: DataFrame, keys: list[str], order: list[str], fold) -> Data
     while True:
         src = df.join(_packed(todo, parts), parts)
         fresh = _sorted(src, parts, order, [*fold.columns, "_start", "_final"]).mapInPandas(
-            _runner(fold, parts, [*slot, "_end"], True, True), _schema(df, parts, "_entry string, _end string"))
+            _runner(fold, parts, [*slot, "_end"], True), _schema(df, parts, "_entry string, _end string"))
         fresh = stage(todo.select(*slot).distinct().join(fresh, slot, "left"))
         ends = fresh if ends is None else stage(
             ends.join(fresh.select(*slot), slot, "left_anti").unionByName(fresh))
@@ -139,4 +132,4 @@ def fold_blocks(df: DataFrame, keys: list[str], order: list[str], fold, keep: bo
     else:
         src = df.join(_packed(known, parts), parts, "left").withColumn("_final", F.coalesce("_final", F.lit(True)))
     return _sorted(src, parts, order, [*fold.columns, "_start", "_final"]).mapInPandas(
-        _runner(fold, parts, out, False, True), _schema(df, parts, ", ".join(fold.output))).drop(BLK)
+        _runner(fold, parts, out, False), _schema(df, parts, ", ".join(fold.output))).drop(BLK)

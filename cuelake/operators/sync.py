@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cuelake.functions import text as T, values as V
 from cuelake.operators import cues as Q, scan
-from cuelake.operators.folds import fold_groups
+from cuelake.operators.folds import fold_blocks
 
 S = ["session_id"]
 
@@ -89,6 +89,9 @@ class Pages:
     def start(self):
         return {"open": None, "frag": None}
 
+    def entries(self):
+        return F.array(F.lit("open"), F.lit("frag"))
+
     def step(self, s, frag_no, words, start_ms, latest_ms):
         block, out = s["open"], []
 
@@ -137,6 +140,6 @@ def _finished(blocks: DataFrame) -> DataFrame:
 def paginate_blocks(fragments: DataFrame, gap_ms: int = V.FLUSH_GAP_MS, rows: int = scan.BLOCK_ROWS) -> DataFrame:
     """Display blocks of at most two 32-column lines per session, numbered from 1."""
     runs = speech_runs(fragments, gap_ms, rows)
-    sealed = fold_groups(runs, ["session_id", "run_no"], ["frag_no"], Pages())
+    sealed = fold_blocks(scan.seq_blocks(runs, "frag_no", rows), ["session_id", "run_no"], ["frag_no"], Pages(), keep=True)
     numbered = scan.number_rows(scan.seq_blocks(sealed, "frag_no", rows), S, ["frag_no", "k"], "block_no", keep=True)
     return _finished(numbered).select("session_id", "block_no", "start_ms", "end_ms", "lines", "chars")

@@ -10,12 +10,12 @@ from cuelake.operators import agreement as G, folds, packets as P, scan, sounds
 W = "array<struct<text:string,start_ms:bigint,end_ms:bigint>>"
 
 
-def run_agreement(spark, steps, delay=0):
+def run_agreement(spark, steps, delay=0, block=1000):
     """``steps``: (step, [(text, start s, end s)], buffer end s, flush)."""
     rows = [(1, 1, k, [(t, int(a * 1000), int(b * 1000)) for t, a, b in ws], int(end * 1000), flush)
             for k, ws, end, flush in steps]
     df = spark.createDataFrame(rows, f"session_id int, utterance_id int, step int, words {W}, buffer_end_ms bigint, utterance_end boolean")
-    out = G.local_agreement(df, int(delay * 1000)).orderBy("n").collect()
+    out = G.local_agreement(df, int(delay * 1000), block).orderBy("n").collect()
     return [(r.step, r.text) for r in out], out
 
 
@@ -25,9 +25,9 @@ def hyp(*words, start=0.0):
 
 def test_agreement_cases(spark):
     none, _ = run_agreement(spark, [(1, hyp("Hello", "there"), 9, False)])
-    assert none == [(None, " Hello"), (None, " there")]          # only the closing flush of an open input
+    assert none == [(2, " Hello"), (2, " there")]                # only the flush after the last step of an open input
     got, _ = run_agreement(spark, [(1, hyp("Hello", "there"), 9, False), (2, hyp("Hello", "there", "world"), 9, False)])
-    assert got == [(2, " Hello"), (2, " there"), (None, " world")]
+    assert got == [(2, " Hello"), (2, " there"), (3, " world")]
     got, _ = run_agreement(spark, [(1, hyp("the", "cat"), 9, False), (2, hyp("the", "hat"), 9, True)])
     assert got == [(2, " the"), (2, " hat")]
     got, _ = run_agreement(spark, [(1, hyp("end", "of", "sentence"), 9, True)])
@@ -40,6 +40,49 @@ def test_agreement_cases(spark):
     assert [t for _, t in got] == [" one", " two", " three"]     # repeated head is dropped
 
 
+def agreement_loop(steps, delay):
+    """Word lists step by step, written without the fold."""
+    shown, before, at, out = [], [], 0, []
+    for k, ws, end, flush in steps:
+        new = [w for w in ws if w[1] * 1000 > at - 100]
+        if new and shown and abs(new[0][1] * 1000 - at) < 1000:
+            for i in range(1, min(5, len(shown), len(new)) + 1):
+                if [x.strip().lower() for x in shown[-i:]] == [w[0].strip().lower() for w in new[:i]]:
+                    new = new[i:]
+                    break
+        done = []
+        while len(done) < min(len(new), len(before)):
+            w = new[len(done)]
+            if w[2] * 1000 > end * 1000 - delay or w[0].strip().lower() != before[len(done)][0].strip().lower():
+                break
+            done.append(w)
+        before = new[len(done):]
+        if flush:
+            done, before = done + before, []
+        if done:
+            at = int(done[-1][2] * 1000)
+            shown = (shown + [w[0] for w in done])[-50:]
+            out += [(k, w[0]) for w in done]
+    return out + [(steps[-1][0] + 1, w[0]) for w in before]
+
+
+@pytest.mark.parametrize("block", [3, 1000])
+def test_agreement_any_block(spark, block):
+    """A moving buffer over noisy speech with flushes now and then."""
+    r = random.Random(12)
+    spoken = [r.choice(["the", "cat", "sat", "on", "mats"]) for _ in range(160)]
+    steps = []
+    for k in range(1, 60):
+        last = k * 2.5
+        near = [(i, w) for i, w in enumerate(spoken) if last - 12 <= i < last]
+        heard = [(" " + (w if r.random() < 0.93 else "noise"), i * 0.5 + r.choice([0, 0.04]), i * 0.5 + 0.4) for i, w in near]
+        steps.append((k, heard if r.random() < 0.95 else [], last * 0.5, k % 17 == 0))
+    got, _ = run_agreement(spark, steps, 0.6, block)
+    want = agreement_loop([(k, [(t, int(a * 1000) / 1000, int(b * 1000) / 1000) for t, a, b in ws], int(e * 1000) / 1000, f)
+                           for k, ws, e, f in steps], 600)
+    assert got == want and len(got) > 60
+
+
 def test_agreement_lost_carry(spark):
     """A step without new words loses the carried ones unless they are heard again."""
     got, _ = run_agreement(spark, [(1, hyp("a", "b"), 9, False), (2, [], 9, False), (3, [], 9, True)])
