@@ -77,8 +77,13 @@ def _schema(df: DataFrame, cols: list[str], more: str) -> str:
 
 
 def _sorted(df: DataFrame, parts: list[str], order: list[str], cols: list[str]) -> DataFrame:
+    """All rows of a block in one task, in order.
+
+    The shuffle is on a hash of the block key, not on its columns: after a join on the same columns Spark would drop
+    a ``repartition(*parts)`` as redundant, and adaptive execution might then split a skewed block over tasks.
+    """
     seen = list(dict.fromkeys([*parts, *order, *cols]))
-    return df.select(*seen).repartition(*parts).sortWithinPartitions(*parts, *order)
+    return df.select(*seen).repartition(F.xxhash64(*parts)).sortWithinPartitions(*parts, *order)
 
 
 def _packed(starts: DataFrame, parts: list[str]) -> DataFrame:

@@ -81,3 +81,15 @@ def test_dump_line(spark):
     pairs = spark.createDataFrame([(1, 1, 0, 0x94, 0x25), (1, 1, 1, 0xC8, 0xE9)],
                                   "session_id int, cue_no int, pair_no bigint, b1 int, b2 int")
     assert O.hex_dump_608(pairs).first().dump == "  0000: 94 25  [RU2 — Roll-Up 2 rows]\n  0001: C8 E9  [text: Hi]"
+
+
+def test_only_speech_is_scored(spark):
+    from cuelake.plans import live
+
+    def load():
+        return lambda x: [{"text": "w", "start_ms": 0, "end_ms": 1}]
+
+    rows = [(1, i, i * 100, i * 100 + 100, [0.5 if i in (3, 4, 9) else 0.0] * 4) for i in range(12)]
+    f = spark.createDataFrame(rows, "session_id int, frame_no bigint, start_ms bigint, end_ms bigint, samples array<double>")
+    got = {r.frame_no: r.utterance_id for r in live.score_speech(f, load, 0.1, 1).collect()}
+    assert got == {3: 1, 4: 1, 5: 1, 9: 2, 10: 2}

@@ -278,3 +278,38 @@ def test_blocks_settle_in_few_rounds(spark, monkeypatch):
         "session_id", "frag_no", F.split("text", " ").alias("words"))
     folds.block_starts(scan.seq_blocks(df, "frag_no", 10), ["session_id"], ["frag_no"], P.Columns())
     assert len(rounds) <= 4
+
+
+def test_fold_input_is_shuffled_after_the_join(spark):
+    """The shuffle of a fold must not be dropped as redundant: only then no skewed join can split a block."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        a = spark.range(9).select("id", F.lit(0).cast("bigint").alias("_blk"))
+        b = folds._sorted(a.join(a.withColumn("x", F.lit(1)), ["id", "_blk"]), ["id", "_blk"], ["x"], [])
+        plan = b._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "hashpartitioning(xxhash64(" in plan and "REPARTITION_BY_COL" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_skewed_join_does_not_split_a_block(spark):
+    """With adaptive skew splitting forced on, a block must still be folded by one task."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, x in conf.items():
+            spark.conf.set(k, x)
+        n = 20_000
+        df = spark.range(0, n, 1, 16).select(
+            F.when(F.col("id") % 10 == 0, F.col("id") % 7 + 1).otherwise(0).alias("session_id"), F.col("id").alias("frag_no"),
+            F.concat(F.lit("word"), F.col("id").cast("string")).alias("text"))
+        for block in (4_000, 1 << 20):
+            got = P.rollup_layout(df, block)
+            assert got.count() == n
+            firsts = got.filter("first").groupBy("session_id").count().collect()
+            assert len(firsts) == 8 and all(r["count"] == 1 for r in firsts)
+    finally:
+        for k, x in old.items():
+            spark.conf.set(k, x) if x is not None else spark.conf.unset(k)
