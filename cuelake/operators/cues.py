@@ -44,7 +44,7 @@ def dedupe_boundary(fragments: DataFrame, rows: int = scan.BLOCK_ROWS) -> DataFr
     f = f.select("*", single.alias("_one"), F.lower(T.last_word(F.col("text"))).alias("_last"))
     f = scan.seq_blocks(f, "frag_no", rows)
     f = scan.prefix(f, keys, order, {
-        "_prev": ("last", F.struct("_one", "_last")), "_n": ("sum", F.lit(1))}, before=True)
+        "_prev": ("last", F.struct("_one", "_last")), "_n": ("sum", F.lit(1))}, before=True, keep=True)
     same = F.col("_prev._last") == F.col("_last")
     chained = F.coalesce(F.col("_prev._one") & same, F.lit(False))
     first_cut = F.coalesce(~F.col("_prev._one") & same, F.lit(False))
