@@ -100,8 +100,13 @@ def frames(spark: SparkSession, sf: str) -> DataFrame:
                     F.transform("embedding", lambda x: x.cast("double") * gain).alias("samples"))
 
 
+def utc(column: str) -> F.Column:
+    """A zone-less timestamp read as UTC, whatever the zone of the session."""
+    return F.timestamp_micros(F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {column})"))
+
+
 def events(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return table(spark, sf, "events").withColumn("ts", utc("ts"))
 
 
 def latency(spark: SparkSession, sf: str) -> DataFrame:
@@ -151,7 +156,7 @@ def urls(spark: SparkSession, sf: str) -> DataFrame:
 def archive(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select(
         F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("seq"),
-        F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("created_at"),
+        F.unix_millis(utc("o_orderdate")).alias("created_at"),
         F.col("o_orderstatus").alias("status"))
 
 
