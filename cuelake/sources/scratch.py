@@ -11,9 +11,12 @@ SETTING = "spark.checkpoint.dir"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """This application's part of the folder the cluster names; a temporary one only where none is set (tests)."""
+    """This application's part of the folder the cluster names. A temporary one only in local mode, where all share a disk."""
     root = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"{SETTING} must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="cuelake-")
         spark.conf.set(SETTING, root)
     return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
