@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cuelake.llm import chat, exact, mixing
+from cuelake.llm import bpe, chat, exact, mixing
 from cuelake.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
+TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 
@@ -89,3 +91,8 @@ SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken,
 FROM shared""")
 def op6(spark, sf):
     return mixing.mix_totals(documents(spark, sf))
+
+
+@query("op10_rank_queue_bpe")
+def op10(spark, sf):
+    return bpe.token_digests(documents(spark, sf), public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
