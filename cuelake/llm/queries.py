@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cuelake.llm import bpe, chat, exact, mixing
+from cuelake.llm import bpe, chat, exact, mixing, toxicity
 from cuelake.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,8 @@ def op6(spark, sf):
 @query("op10_rank_queue_bpe")
 def op10(spark, sf):
     return bpe.token_digests(documents(spark, sf), public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
+
+
+@query("op7_crf_toxicity")
+def op7(spark, sf):
+    return toxicity.document_scores(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
