@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+_LOCAL: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -17,8 +18,7 @@ def scratch_root(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise ValueError(f"{SETTING} must name a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="cuelake-")
-        spark.conf.set(SETTING, root)
+        root = _LOCAL.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="cuelake-"))
     return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
