@@ -36,7 +36,7 @@ FIT_TOXIC, FIT_CLEAN = 6000, 12000
 SEGMENTS, SEGMENT_WORDS, SEGMENTS_PER_DOC = 40_000, 24, 4
 LEXICON, MIN_G2 = 20_000, 25.0
 BITS = 17
-EPOCHS, RATE, DECAY = 60, 0.5, 1e-6
+EPOCHS, RATE, DECAY = 40, 0.5, 1e-6
 WORDS_KEPT = 400_000
 _WORD = re.compile(r"\w+")
 _PREFIXES = (3, 4, 5, 6)
