@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cuelake.llm import bpe, chat, exact, mixing, toxicity
+from cuelake.llm import bpe, chat, exact, minhash, mixing, toxicity
 from cuelake.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,8 @@ def op10(spark, sf):
 @query("op7_crf_toxicity")
 def op7(spark, sf):
     return toxicity.document_scores(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
+
+
+@query("op2_multi_index_hamming")
+def op2(spark, sf):
+    return minhash.near_duplicates(documents(spark, sf))
