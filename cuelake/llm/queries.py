@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cuelake.llm import bpe, chat, exact, minhash, mixing, toxicity
+from cuelake.llm import bpe, chat, exact, maxent, minhash, mixing, toxicity
 from cuelake.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,8 @@ def op7(spark, sf):
 @query("op2_multi_index_hamming")
 def op2(spark, sf):
     return minhash.near_duplicates(documents(spark, sf))
+
+
+@query("op9_hashed_maxent")
+def op9(spark, sf):
+    return maxent.language_scores(documents(spark, sf))
