@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cuelake.llm import bpe, chat, exact, maxent, minhash, mixing, toxicity
+from cuelake.llm import ann, bpe, chat, exact, maxent, minhash, mixing, toxicity
 from cuelake.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,7 +58,6 @@ WITH normal AS (SELECT doc_id, translate(coalesce(text, ''), {AZ}) AS t FROM doc
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
 FROM normal WINDOW g AS (PARTITION BY t)""")
 def op3(spark, sf):
-    from pyspark.sql import functions as F
     marks = exact.mark_copies(documents(spark, sf), exact.new_index(spark))
     return marks.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
@@ -111,3 +111,8 @@ def op2(spark, sf):
 @query("op9_hashed_maxent")
 def op9(spark, sf):
     return maxent.language_scores(documents(spark, sf))
+
+
+@query("op8_multiprobe_lsh")
+def op8(spark, sf):
+    return ann.nearest(spark.read.parquet(f"{sf}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
