@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm import ann, bpe, chat, exact, maxent, minhash, mixing, toxicity
+from cuelake.llm import ann, bpe, chat, exact, maxent, minhash, mixing, separators, toxicity, wrappers
 from cuelake.llm.common import documents
+from cuelake.sources.scratch import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -116,3 +117,23 @@ def op9(spark, sf):
 @query("op8_multiprobe_lsh")
 def op8(spark, sf):
     return ann.nearest(spark.read.parquet(f"{sf}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
+@query("op4_separator_scan")
+def op4(spark, sf):
+    path = scratch_path(spark, "flat-tokens")
+    separators.write_token_files(documents(spark, sf), path, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 50256)
+    counts = separators.document_tokens(separators.token_blocks(spark, path))
+    shard = F.regexp_extract("file", r"part-(\d+)", 1).cast("int")
+    return counts.select(shard.alias("shard"), "doc_no", "first_token", "n_tokens", "ended")
+
+
+@query("op5_wrapper_text")
+def op5(spark, sf):
+    return wrappers.main_texts(spark.read.parquet(f"{sf}/pages.parquet"))
+
+
+@query("pipeline")
+def pipeline(spark, sf):
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf)
