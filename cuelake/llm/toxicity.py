@@ -39,7 +39,7 @@ BITS = 17
 EPOCHS, RATE, DECAY = 40, 0.5, 1e-6
 WORDS_KEPT = 400_000
 _WORD = re.compile(r"\w+")
-_PREFIXES = (3, 4, 5, 6)
+_PREFIXES = (3, 4, 5, 6, 7, 8)
 
 
 def words_of(text: str | None) -> list[str]:
