@@ -77,9 +77,10 @@ def mark_copies(docs: DataFrame, index: DigestIndex) -> DataFrame:
 
 def drop_copies(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """The rows of a batch that stay, with all their columns."""
-    kept = stage(mark_copies(docs, index).where("kept").groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-                 .agg(F.count(F.lit(1)).alias("_rows")), "digest-kept")
-    mine = F.col("doc_id").eqNullSafe(F.col("_id")) & (text_digest(F.col("text")) == F.col("_digest"))
-    once = docs.join(kept.where("_rows = 1"), mine, "left_semi")
-    again = docs.join(kept.where("_rows > 1"), mine, "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.unionByName(again)
+    kept = stage(mark_copies(docs, index).where("kept").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("rows")), "digest-kept")
+
+    def mine(side: DataFrame) -> Column:
+        return docs["doc_id"].eqNullSafe(side["doc_id"]) & (text_digest(docs["text"]) == side["digest"])
+
+    one, more = kept.where("rows = 1"), kept.where("rows > 1")
+    return docs.join(one, mine(one), "left_semi").unionByName(docs.join(more, mine(more), "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -13,7 +13,8 @@ Candidates within DISTANCE are confirmed exactly on their shingle sets, which ar
 concerned; a fixed-size bit map of their ids keeps the others from being shuffled.
 
 Defined cases: texts without words (null, empty, white space) have empty sets and are linked with nothing; fewer than five words are one
-shingle; rows that repeat a doc_id are separate documents; a null doc_id takes part and is never the smallest of a group; other columns are kept.
+shingle; rows that repeat a doc_id are separate documents; a null doc_id takes part and is never the smallest of a group, and rows with a null id stay
+or go together; other columns are kept.
 """
 
 from __future__ import annotations
@@ -216,8 +217,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each group, the smallest doc_id, with all its columns; of rows that repeat it, one with the same text."""
-    kept = stage(near_duplicates(docs).where("kept").groupBy(F.col("doc_id").alias("_near_id")).agg(F.count(F.lit(1)).alias("_near_rows")), "near-kept")
-    mine = docs["doc_id"].eqNullSafe(F.col("_near_id"))
-    once = docs.join(kept.where("_near_rows = 1").hint("merge"), mine, "left_semi")
-    again = docs.join(kept.where("_near_rows > 1").hint("merge"), mine, "left_semi").dropDuplicates(["doc_id", "text"])
+    kept = stage(near_duplicates(docs).where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "near-kept")
+    one, more = kept.where("rows = 1").hint("merge"), kept.where("rows > 1").hint("merge")
+    once = docs.join(one, docs["doc_id"].eqNullSafe(one["doc_id"]), "left_semi")
+    again = docs.join(more, docs["doc_id"].eqNullSafe(more["doc_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
     return once.unionByName(again)

@@ -132,12 +132,13 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     Rows that repeat doc_id, source and size all get the copies of the first of them.
     """
-    key = [F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("size").alias("_mix_size")]
-    places = (curriculum(docs).where(F.col("taken") * 2 >= F.col("size")).groupBy(*key, "slot")
-              .agg(F.collect_list("position").alias("_mix_at"))
-              .groupBy("_mix_id", "_mix_source", "_mix_size").agg(F.min_by("_mix_at", "slot").alias("_mix_at")))
+    places = (curriculum(docs).where(F.col("taken") * 2 >= F.col("size")).groupBy("doc_id", "source", "size", "slot")
+              .agg(F.collect_list("position").alias("at"))
+              .groupBy("doc_id", "source", "size").agg(F.min_by("at", "slot").alias("at")))
     size = F.regexp_count(F.coalesce(docs["text"], F.lit("")), F.lit(WORD))
-    mine = docs["doc_id"].eqNullSafe(F.col("_mix_id")) & docs["source"].eqNullSafe(F.col("_mix_source")) & (size == F.col("_mix_size"))
-    at = F.explode("_mix_at").alias("_mix_at")
-    return (docs.join(places, mine).select(*[docs[c] for c in docs.columns], at)
-            .repartitionByRange("_mix_at").sortWithinPartitions("_mix_at").drop("_mix_at"))
+    mine = docs["doc_id"].eqNullSafe(places["doc_id"]) & docs["source"].eqNullSafe(places["source"]) & (size == places["size"])
+    order = "_position"
+    while order in docs.columns:
+        order = "_" + order
+    return (docs.join(places, mine).select(*[docs[c] for c in docs.columns], F.explode(places["at"]).alias(order))
+            .repartitionByRange(order).sortWithinPartitions(order).drop(order))
