@@ -168,7 +168,8 @@ def display_text(lines: Column) -> Column:
 def youtube_id(url: Column) -> Column:
     host = F.lower(F.try_parse_url(url, F.lit("HOST")))
     path = F.regexp_replace(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), "^/+", "")
-    query = F.coalesce(F.try_parse_url(url, F.lit("QUERY"), F.lit("v")), F.lit(""))
+    raw = F.try_parse_url(url, F.lit("QUERY"), F.lit("v"))
+    query = F.coalesce(F.try_url_decode(raw), raw, F.lit(""))
     return (F.when(host == "youtu.be", path)
              .when(F.contains(host, F.lit("youtube")), query)
              .otherwise(F.lit("")))

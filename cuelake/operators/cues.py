@@ -67,13 +67,16 @@ def suppress_repeats(captions: DataFrame, order: str = "cue_no", rows: int = sca
 
 
 def drop_hallucinations(segments: DataFrame, limit: float = 0.5) -> DataFrame:
-    """Drop segments with a high no-speech probability, a known invented phrase, or one word said 3+ times."""
+    """Drop segments with a high no-speech probability, a known invented phrase, or one word said 3+ times.
+
+    An unknown probability or text is no reason to drop a segment.
+    """
     spark = segments.sparkSession
     phrases = F.broadcast(spark.createDataFrame([(p,) for p in V.SILENCE_PHRASES], "_bare string"))
-    s = segments.filter(~(F.col("no_speech_prob") > limit)).withColumn("_bare", T.bare_text(F.col("text")))
+    s = segments.filter(~F.coalesce(F.col("no_speech_prob") > limit, F.lit(False))).withColumn("_bare", T.bare_text(F.col("text")))
     words = T.space_words(F.col("_bare"))
     spam = (F.size(words) >= 3) & (F.size(F.array_distinct(words)) == 1)
-    return s.filter(~spam).join(phrases, "_bare", "left_anti").drop("_bare")
+    return s.filter(~F.coalesce(spam, F.lit(False))).join(phrases, "_bare", "left_anti").drop("_bare")
 
 
 def number_cues(cues: DataFrame, keys: list[str], order: list[str], name: str = "cue_no", keep: bool = False) -> DataFrame:

@@ -98,9 +98,8 @@ def check_video_spec(inputs: DataFrame, max_w: int = 1920, max_h: int = 1080, ma
     show = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("0"))
     rate = F.when(F.coalesce(F.col("fps"), F.lit(0)) > 0,
                   F.concat(F.lit("@"), F.bround("fps").cast("int").cast("string"), F.lit("fps"))).otherwise("")
-    reason = F.concat(F.lit("Input is "), show("width"), F.lit("x"), show("height"), rate,
-                      F.lit(f" — exceeds the {max_w}x{max_h}@{max_fps} limit. Lower your encoder/OBS output "
-                            "resolution or framerate."))
+    reason = F.concat(F.lit("Source has "), show("width"), F.lit("x"), show("height"), rate,
+                      F.lit(f", over {max_w}x{max_h}@{max_fps}"))
     return inputs.withColumn("ok", ~bad).withColumn("reason", F.when(bad, reason))
 
 

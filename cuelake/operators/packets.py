@@ -322,12 +322,13 @@ def _screen(pairs: DataFrame, rows: int) -> DataFrame:
 
 
 def _row_texts(screen: DataFrame) -> DataFrame:
-    t = F.concat(F.char(F.col("c1")), F.when(F.col("c2") >= 32, F.char(F.col("c2"))).otherwise(""))
+    shown = lambda c: F.when(F.col(c) >= 32, F.char(F.col(c))).otherwise("")  # codes below 0x20 are never printed
+    t = F.concat(shown("c1"), shown("c2"))
     t = F.when(F.col("is_control"), "").otherwise(t)
     items = F.array_sort(F.collect_list(F.struct("pair_no", t.alias("t"))))
     return screen.groupBy("session_id", "row_no").agg(
         F.array_join(F.transform(items, lambda x: x["t"]), "").alias("text"), F.max("erases").alias("erases"),
-        F.max_by("depth", F.when(F.col("depth").isNotNull(), F.col("pair_no"))).alias("depth"))
+        F.min(F.coalesce("depth", F.lit(2))).alias("depth"))
 
 
 def decode_rollup(pairs: DataFrame, rows: int = scan.BLOCK_ROWS) -> DataFrame:
@@ -339,14 +340,18 @@ def decode_rollup(pairs: DataFrame, rows: int = scan.BLOCK_ROWS) -> DataFrame:
 
 
 def visible_rows(pairs: DataFrame, rows: int = scan.BLOCK_ROWS) -> DataFrame:
-    """Rows on screen after the last pair of each session: the last 2..4 since the last erase."""
+    """Rows on screen after the last pair of each session: the last 2..4 since the last erase.
+
+    A row stays as long as it lies within the smallest depth that was set during it and each later row; what a smaller screen
+    has dropped does not come back. The screen has four rows at most, so the last four decide.
+    """
     texts = _row_texts(_screen(pairs, rows).drop(scan.BLK))
     last = scan.last_rows(texts, S, [F.col("row_no").desc()], "row_no", 4)
     ends = last.groupBy("session_id").agg(
-        F.max("row_no").alias("_r"), F.max("erases").alias("_e"), F.max_by("depth", "row_no").alias("_d"))
-    return last.join(ends, "session_id").filter(
-        (F.col("erases") == F.col("_e")) & (F.col("row_no") > F.col("_r") - F.coalesce("_d", F.lit(2)))
-        & (F.col("text") != "")).select("session_id", "row_no", "text")
+        F.max("erases").alias("_e"), F.collect_list(F.struct(F.col("row_no").alias("r"), F.col("depth").alias("d"))).alias("_later"))
+    kept = F.forall("_later", lambda q: q["r"] - F.col("row_no") < q["d"])
+    return last.join(ends, "session_id").filter((F.col("erases") == F.col("_e")) & kept & (F.col("text") != "")).select(
+        "session_id", "row_no", "text")
 
 
 def roundtrip_check(fragments: DataFrame, rows: int = scan.BLOCK_ROWS) -> DataFrame:

@@ -10,48 +10,48 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from cuelake.functions import text as T
 
-UNIT = 1 << 20
 LANE_CELLS = 1 << 18
 GLYPHS = "".join(chr(0x4E00 + i) for i in range(20_000))
 EDITS = StructType([StructField("distance", IntegerType()), StructField("substitutions", IntegerType())])
 
 
-def pair_transcripts(reference: DataFrame, hypothesis: DataFrame, key: str) -> DataFrame:
+def pair_transcripts(reference: DataFrame, hypothesis: DataFrame, key: str | list[str]) -> DataFrame:
     return reference.join(hypothesis, key)
 
 
-def unpaired_transcripts(reference: DataFrame, hypothesis: DataFrame, key: str) -> DataFrame:
+def unpaired_transcripts(reference: DataFrame, hypothesis: DataFrame, key: str | list[str]) -> DataFrame:
     return reference.join(hypothesis, key, "left_anti")
 
 
-def _edit_batch(refs: list, hyps: list) -> np.ndarray:
-    """Cheapest alignment cost ``distance * UNIT + substitutions`` of several pairs at once.
+def _edit_batch(refs: list, hyps: list) -> tuple[np.ndarray, np.ndarray]:
+    """Distance and substitutions of the cheapest alignments of several pairs at once.
 
-    One table row per step, one lane per pair; shorter pairs are padded and read off at their own corner.
+    The cost is one number: the distance times more than there can be substitutions, plus the substitutions. One table row per step, one lane per pair; shorter pairs are padded and read off at their own corner.
     """
     n, m = np.array([len(r) for r in refs]), np.array([len(h) for h in hyps])
+    unit = int(max(n.max(), m.max())) + 1
     ids: dict[str, int] = {}
     number = lambda words: [ids.setdefault(w, len(ids)) for w in words]
     ref = np.full((len(refs), n.max()), -1)
     hyp = np.full((len(refs), m.max()), -2)
     for k, (r, h) in enumerate(zip(refs, hyps)):
         ref[k, :len(r)], hyp[k, :len(h)] = number(r), number(h)
-    steps = np.arange(hyp.shape[1] + 1, dtype=np.int64) * UNIT
+    steps = np.arange(hyp.shape[1] + 1, dtype=np.int64) * unit
     row = np.tile(steps, (len(refs), 1))
     cost = row[np.arange(len(refs)), m]
     for i in range(ref.shape[1]):
         best = np.empty_like(row)
-        best[:, 0] = (i + 1) * UNIT
-        best[:, 1:] = np.minimum(row[:, :-1] + np.where(hyp == ref[:, i:i + 1], 0, UNIT + 1), row[:, 1:] + UNIT)
+        best[:, 0] = (i + 1) * unit
+        best[:, 1:] = np.minimum(row[:, :-1] + np.where(hyp == ref[:, i:i + 1], 0, unit + 1), row[:, 1:] + unit)
         row = np.minimum.accumulate(best - steps, axis=1) + steps
         ends = np.flatnonzero(n == i + 1)
         cost[ends] = row[ends, m[ends]]
-    return cost
+    return np.divmod(cost, unit)
 
 
 @F.pandas_udf(EDITS)
 def _align(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
-    cost = np.zeros(len(ref), dtype=np.int64)
+    distance, substitutions = np.zeros(len(ref), dtype=np.int64), np.zeros(len(ref), dtype=np.int64)
     size = np.array([[len(r), len(h)] if r is not None else [0, 0] for r, h in zip(ref, hyp)]).reshape(-1, 2)
     order = np.lexsort((size[:, 1], size[:, 0]))
     order = order[size[order, 0] > 0]
@@ -59,19 +59,20 @@ def _align(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     while at < len(order):
         lanes = max(1, min(1024, LANE_CELLS // int(size[order[at:at + 1024], 1].max() + 1)))
         some = order[at:at + lanes]
-        cost[some] = _edit_batch([ref.iloc[k] for k in some], [hyp.iloc[k] for k in some])
+        distance[some], substitutions[some] = _edit_batch([ref.iloc[k] for k in some], [hyp.iloc[k] for k in some])
         at += lanes
-    return pd.DataFrame({"distance": cost // UNIT, "substitutions": cost % UNIT})
+    return pd.DataFrame({"distance": distance, "substitutions": substitutions})
 
 
 def wer(pairs: DataFrame, strict: bool = False) -> DataFrame:
     """Alignment counts per pair (``ref``, ``hyp``). Equal texts are not sent to Python; pairs are spread over the
-    tasks by hash first, since the work of a pair grows with the product of its lengths.
+    tasks by a hash of the whole row first, since the work of a pair grows with the product of its lengths. Rows that repeat a pair under
+    different keys so go to different tasks.
 
     An empty reference has no rate: ``error`` says so, or the job fails in strict mode.
     """
     p = pairs.withColumn("_r", T.wer_tokens(F.col("ref"))).withColumn("_h", T.wer_tokens(F.col("hyp")))
-    p = p.repartition(F.xxhash64("_r", "_h"))
+    p = p.repartition(F.xxhash64(*[c for c in p.columns if p.schema[c].dataType.typeName() != "map"]))
     n, m = F.size("_r"), F.size("_h")
     empty = n == 0
     work = ~empty & (F.col("_r") != F.col("_h"))
@@ -87,17 +88,17 @@ def wer(pairs: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def wer_distance(pairs: DataFrame) -> DataFrame:
-    """Distance only, without Python: each word of a pair becomes one character, then ``levenshtein``.
+    """Distance only: each word of a pair becomes one character, then ``levenshtein``, without Python.
 
-    Up to 20,000 different words per pair; longer pairs need ``wer``.
+    Pairs of more different words than there are glyphs go through the edit table of ``wer``.
     """
     p = pairs.withColumn("_r", T.wer_tokens(F.col("ref"))).withColumn("_h", T.wer_tokens(F.col("hyp")))
     p = p.withColumn("_d", F.array_distinct(F.concat("_r", "_h")))
     glyph = lambda w: F.substr(F.lit(GLYPHS), F.array_position("_d", w).cast("int"), F.lit(1))
     line = lambda c: F.array_join(F.transform(c, glyph), "")
-    fits = F.size("_d") <= 20000
-    far = F.when(fits, F.levenshtein(line("_r"), line("_h"))).otherwise(
-        F.raise_error(F.lit("more than 20000 different words in one pair")).cast("int"))
+    fits = F.size("_d") <= len(GLYPHS)
+    table = _align(F.when(~fits & (F.size("_r") > 0), F.col("_r")), F.when(~fits, F.col("_h")))["distance"]
+    far = F.when(fits, F.levenshtein(line("_r"), line("_h"))).when(F.size("_r") > 0, table).otherwise(F.size("_h"))
     return p.withColumn("distance", far).drop("_r", "_h", "_d")
 
 

@@ -24,15 +24,17 @@ def _pcm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 @query("read_pcm_frames", """
 SELECT CAST(vec_id % 10 AS VARCHAR) AS session_id, vec_id // 10 AS frame_no, (vec_id // 10) * 4 AS start_ms,
-  (vec_id // 10) * 4 + 4 AS end_ms, len(embedding) AS n,
-  round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 5) AS total FROM embeddings""")
+  (vec_id // 10) * 4 + len(e) // 16 AS end_ms, len(e) AS n, round(list_sum(list_transform(e, lambda x: CAST(x AS DOUBLE))), 5) AS total
+FROM (SELECT *, CASE WHEN vec_id // 10 % 10 = 9 THEN embedding[1:32] ELSE embedding END AS e FROM embeddings)""")
 def read_pcm_frames(spark, sf):
-    """Vectors as raw sample bytes under file-like names, decoded by the reader."""
+    """Vectors as raw sample bytes under file-like names, decoded by the reader; every tenth file of a session is short."""
     path = F.concat(F.lit("file:/pcm/"), F.col("vec_id") % 10, F.lit("_"), F.expr("vec_id div 10"), F.lit(".pcm"))
-    files = v.table(spark, sf, "embeddings").select(path.alias("path"), "embedding").mapInPandas(
+    short = F.expr("vec_id div 10 % 10 = 9")
+    e = F.when(short, F.slice("embedding", 1, 32)).otherwise(F.col("embedding")).alias("embedding")
+    files = v.table(spark, sf, "embeddings").select(path.alias("path"), e).mapInPandas(
         _pcm, "path string, content binary")
     total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x.cast("double"))
-    return R.read_pcm_frames(files).select("session_id", "frame_no", "start_ms", "end_ms", F.size("samples").alias("n"),
+    return R.read_pcm_frames(files, chunk_ms=4).select("session_id", "frame_no", "start_ms", "end_ms", F.size("samples").alias("n"),
                                            F.round(total, 5).alias("total"))
 
 
@@ -157,14 +159,14 @@ def read_transcript_jsonl(spark, sf):
 
 @query("read_gpu_samples", """
 SELECT event_id % 100000 AS index, CASE WHEN event_id % 3 <> 0 THEN value END AS util_gpu, CASE WHEN event_id % 4 <> 1 THEN value END AS temp_c,
-  CAST(event_id AS DOUBLE) AS clock_mem_mhz FROM events WHERE event_id % 6 <> 5""")
+  CASE WHEN event_id % 6 <> 4 THEN CAST(event_id AS DOUBLE) END AS clock_mem_mhz FROM events WHERE event_id % 6 <> 5""")
 def read_gpu_samples(spark, sf):
-    """Telemetry lines with unknown markers, bad numbers and short lines."""
+    """Telemetry lines with unknown markers, bad numbers, an empty last field, and short lines."""
     e, k = v.events(spark, sf), F.col("event_id")
     val = F.col("value").cast("string")
     parts = [(k % 100000).cast("string"), F.lit(" dev 1"), F.when(k % 3 == 0, " [N/A]").otherwise(val), F.lit("1"), F.lit("2"),
              F.lit("3"), F.when(k % 4 == 1, "12x").otherwise(val), F.lit("[Not Supported]"), F.lit("N/A"), F.lit(" 5 "), F.lit("6")]
-    line = F.concat_ws(", ", *parts, F.when(k % 6 != 5, k.cast("string")))
+    line = F.concat_ws(", ", *parts, F.when(k % 6 == 4, "").when(k % 6 != 5, k.cast("string")))
     path = scratch_path(spark, "gpu")
     e.select(line.alias("value")).write.text(path)
     return R.read_gpu_samples(spark, path).select("index", "util_gpu", "temp_c", "clock_mem_mhz")

@@ -218,6 +218,10 @@ def roundtrip_check(spark, sf):
     return P.roundtrip_check(fragments(spark, sf))
 
 
+#: Start of an access unit in hex: two bytes, the mark GA94, the type byte 3.
+UNIT_HEAD = "00014741393403"
+
+
 @query("extract_cc_pairs", with_views("v_cues", """
 SELECT session_id, cue_no AS au_no, row_number() OVER (PARTITION BY session_id, cue_no ORDER BY pair_no) - 1 AS k, b1, b2
 FROM v_p608 WHERE pair_no % 3 <> 1""", extra=P608))
@@ -227,7 +231,7 @@ def extract_cc_pairs(spark, sf):
     item = F.struct("pair_no", F.concat(
         F.when(F.col("pair_no") % 3 == 1, "FD").otherwise("FC"), F.lpad(F.hex("b1"), 2, "0"), F.lpad(F.hex("b2"), 2, "0")).alias("h"))
     g = p.groupBy("session_id", "cue_no", F.expr("pair_no div 31").alias("g")).agg(F.array_sort(F.collect_list(item)).alias("t"))
-    unit = F.concat(F.lit("0001474139340" + "3"), F.lpad(F.hex(F.size("t") + 0x40), 2, "0"), F.lit("FF"),
+    unit = F.concat(F.lit(UNIT_HEAD), F.lpad(F.hex(F.size("t") + 0x40), 2, "0"), F.lit("FF"),
                     F.array_join(F.transform("t", lambda x: x["h"]), ""), F.lit("FFEE"))
     g = g.groupBy("session_id", "cue_no").agg(F.array_sort(F.collect_list(F.struct("g", unit.alias("u")))).alias("us"))
     units = g.select("session_id", F.col("cue_no").alias("au_no"),
@@ -270,29 +274,30 @@ def paginate_blocks(spark, sf):
 
 # --- accuracy ---
 
-DIST = f"""v_tok AS (SELECT doc_id, lang, source, {tok('ref')} AS r, {tok('hyp')} AS h FROM v_pairs),
+DIST = f"""v_tok AS (SELECT doc_id, seg_no, lang, source, {tok('ref')} AS r, {tok('hyp')} AS h FROM v_pairs),
 v_glyph AS (SELECT *, list_distinct(list_concat(r, h)) AS d FROM v_tok),
-v_dist AS (SELECT doc_id, lang, source, len(r) AS n, len(h) AS m, levenshtein(
+v_dist AS (SELECT doc_id, seg_no, lang, source, len(r) AS n, len(h) AS m, levenshtein(
     array_to_string(list_transform(r, lambda w: chr(CAST(33 + list_position(d, w) AS INT))), ''),
     array_to_string(list_transform(h, lambda w: chr(CAST(33 + list_position(d, w) AS INT))), '')) AS dist FROM v_glyph)"""
 
 
-@query("wer_distance", with_views("v_pairs", "SELECT doc_id, dist AS distance FROM v_dist", extra=DIST))
+@query("wer_distance", with_views("v_pairs", "SELECT doc_id, seg_no, dist AS distance FROM v_dist", extra=DIST))
 def wer_distance(spark, sf):
-    return W.wer_distance(v.transcript_pairs(spark, sf)).select("doc_id", "distance")
+    return W.wer_distance(v.transcript_pairs(spark, sf)).select("doc_id", "seg_no", "distance")
 
 
 @query("wer", with_views("v_pairs", """
-SELECT doc_id, round(dist / n, 6) AS wer, n AS ref_words, m AS hyp_words, n - m AS deletions_minus_insertions FROM v_dist""", extra=DIST))
+SELECT doc_id, seg_no, CASE WHEN n > 0 THEN round(dist / n, 6) END AS wer, n AS ref_words, m AS hyp_words,
+  CASE WHEN n > 0 THEN n - m END AS deletions_minus_insertions FROM v_dist""", extra=DIST))
 def wer(spark, sf):
     return W.wer(v.transcript_pairs(spark, sf)).select(
-        "doc_id", F.round("wer", 6).alias("wer"), "ref_words", "hyp_words",
+        "doc_id", "seg_no", F.round("wer", 6).alias("wer"), "ref_words", "hyp_words",
         (F.col("deletions") - F.col("insertions")).alias("deletions_minus_insertions"))
 
 
 @query("corpus_wer", with_views("v_pairs", """
 SELECT lang, source, round(sum(dist) / sum(n), 6) AS wer, round(1 - sum(dist) / sum(n), 6) AS accuracy,
-  CAST(sum(n) AS BIGINT) AS ref_words, count(*) AS segment_count FROM v_dist GROUP BY 1, 2""", extra=DIST))
+  CAST(sum(n) AS BIGINT) AS ref_words, count(*) AS segment_count FROM v_dist WHERE n > 0 GROUP BY 1, 2""", extra=DIST))
 def corpus_wer(spark, sf):
     c = W.corpus_wer(W.wer(v.transcript_pairs(spark, sf)), ["lang", "source"])
     return c.select("lang", "source", F.round("wer", 6).alias("wer"), F.round("accuracy", 6).alias("accuracy"),
@@ -300,10 +305,11 @@ def corpus_wer(spark, sf):
 
 
 @query("accuracy_summary", with_views("v_pairs", """
-SELECT d.doc_id AS id, CASE WHEN n > 0 THEN round(1 - dist / n, 6) END AS accuracy, CASE WHEN n > 0 THEN 1 ELSE 0 END AS segment_count,
-  CASE WHEN n > 0 THEN n END AS ref_words FROM documents d LEFT JOIN v_dist v ON d.doc_id = v.doc_id AND d.doc_id % 3 <> 0""", extra=DIST))
+SELECT d.doc_id AS id, round(1 - e / n, 6) AS accuracy, coalesce(k, 0) AS segment_count, n AS ref_words FROM documents d LEFT JOIN (
+  SELECT doc_id, CAST(sum(dist) AS BIGINT) AS e, CAST(sum(n) AS BIGINT) AS n, count(*) AS k FROM v_dist WHERE n > 0 GROUP BY 1) v
+  ON d.doc_id = v.doc_id""", extra=DIST))
 def accuracy_summary(spark, sf):
-    p = v.transcript_pairs(spark, sf).filter("doc_id % 3 <> 0").withColumnRenamed("doc_id", "id")
+    p = v.transcript_pairs(spark, sf).withColumnRenamed("doc_id", "id")
     a = v.table(spark, sf, "documents").select(
         F.col("doc_id").alias("id"), F.lit(None).cast("double").alias("accuracy"), F.lit(0).alias("segment_count"))
     s = W.accuracy_summary(a, W.corpus_wer(W.wer(p), ["id"]))
@@ -311,13 +317,14 @@ def accuracy_summary(spark, sf):
 
 
 @query("pair_transcripts", with_views("v_pairs", """
-SELECT a.doc_id, a.ref, b.hyp, b.hyp IS NOT NULL AS paired FROM v_pairs a
-LEFT JOIN (SELECT doc_id, hyp FROM v_pairs WHERE doc_id % 4 <> 1) b ON a.doc_id = b.doc_id"""))
+SELECT a.doc_id, a.seg_no, a.ref, b.hyp, b.hyp IS NOT NULL AS paired FROM v_pairs a
+LEFT JOIN (SELECT doc_id, seg_no, hyp FROM v_pairs WHERE doc_id % 4 <> 1) b ON a.doc_id = b.doc_id AND a.seg_no = b.seg_no"""))
 def pair_transcripts(spark, sf):
     p = v.transcript_pairs(spark, sf)
-    ref, hyp = p.select("doc_id", "ref"), p.select("doc_id", "hyp").filter("doc_id % 4 <> 1")
-    alone = W.unpaired_transcripts(ref, hyp, "doc_id").withColumn("hyp", F.lit(None).cast("string"))
-    return W.pair_transcripts(ref, hyp, "doc_id").withColumn("paired", F.lit(True)).unionByName(
+    key = ["doc_id", "seg_no"]
+    ref, hyp = p.select(*key, "ref"), p.select(*key, "hyp").filter("doc_id % 4 <> 1")
+    alone = W.unpaired_transcripts(ref, hyp, key).withColumn("hyp", F.lit(None).cast("string"))
+    return W.pair_transcripts(ref, hyp, key).withColumn("paired", F.lit(True)).unionByName(
         alone.withColumn("paired", F.lit(False)))
 
 

@@ -286,9 +286,9 @@ def load_level(spark, sf):
 
 
 @query("check_video_spec", """
-SELECT event_id, ok, CASE WHEN NOT ok THEN 'Input is ' || coalesce(w, 0) || 'x' || coalesce(h, 0)
+SELECT event_id, ok, CASE WHEN NOT ok THEN 'Source has ' || coalesce(w, 0) || 'x' || coalesce(h, 0)
   || CASE WHEN coalesce(f, 0) > 0 THEN '@' || CAST(round_even(f, 0) AS INT) || 'fps' ELSE '' END
-  || ' — exceeds the 1920x1080@60 limit. Lower your encoder/OBS output resolution or framerate.' END AS reason
+  || ', over 1920x1080@60' END AS reason
 FROM (SELECT *, NOT (coalesce(w > 1920, false) OR coalesce(h > 1080, false) OR coalesce(f > 60.5, false)) AS ok FROM (
   SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN 1280 + event_id % 5 * 320 END AS w, 720 + event_id % 3 * 360 AS h,
     CASE WHEN event_id % 11 <> 0 THEN 24.0 + event_id % 4 * 12.5 END AS f FROM events))""")
@@ -310,7 +310,7 @@ SELECT page_id, video_id, CASE WHEN dest <> '' THEN 'relay' WHEN lower(url) LIKE
     WHEN video_id <> '' THEN 'youtube' ELSE 'stream' END AS source_type,
   CASE WHEN lower(url) LIKE 'rtmp://%' THEN 'rtmp' ELSE '' END AS scheme
 FROM (SELECT *, CASE WHEN url LIKE 'https://youtu.be/%' THEN regexp_extract(url, 'youtu.be/(.*)$', 1)
-    WHEN url LIKE 'https://www.youtube.com%' THEN regexp_extract(url, '[?&]v=([^&]*)', 1) ELSE '' END AS video_id FROM v_urls)"""))
+    WHEN url LIKE 'https://www.youtube.com%' THEN url_decode(regexp_extract(url, '[?&]v=([^&]*)', 1)) ELSE '' END AS video_id FROM v_urls)"""))
 def classify_source(spark, sf):
     return A.classify_source(v.urls(spark, sf)).select("page_id", "video_id", "source_type", "scheme")
 
@@ -439,8 +439,8 @@ def display_at(spark, sf):
 @query("replay_tail", with_views("v_cues", f"""
 SELECT session_id, t_ms, coalesce(array_to_string(string_split(({{wrap}}), chr(10))[-2:], '|'), '') AS lines FROM (
   SELECT t.session_id, t.t_ms, string_agg(x, ' ' ORDER BY cue_no) AS txt FROM v_ticks t LEFT JOIN (
-    SELECT n.session_id, n.cue_no AS upto, n.start_ms, p.cue_no, left(p.text, 20) AS x,
-      coalesce(sum(length(left(p.text, 20)) + 1) OVER (PARTITION BY n.session_id, n.cue_no ORDER BY p.cue_no DESC
+    SELECT n.session_id, n.cue_no AS upto, n.start_ms, p.cue_no, p.text AS x,
+      coalesce(sum(length(p.text) + 1) OVER (PARTITION BY n.session_id, n.cue_no ORDER BY p.cue_no DESC
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - 1 AS joined
     FROM v_cues n JOIN v_cues p ON n.session_id = p.session_id AND p.cue_no <= n.cue_no) c
   ON c.session_id = t.session_id AND c.joined <= 80
@@ -450,8 +450,7 @@ SELECT session_id, t_ms, coalesce(array_to_string(string_split(({{wrap}}), chr(1
     WHEN length(regexp_extract(acc, '[^\\n]*$')) + 1 + length(x) <= 32 THEN acc || ' ' || x ELSE acc || chr(10) || x END, '')"""),
     extra=TICKS))
 def replay_tail(spark, sf):
-    c = v.cues(spark, sf).withColumn("text", F.left("text", F.lit(20)))
-    return Y.replay_tail(ticks(spark, sf), c).select("session_id", "t_ms", F.array_join("lines", "|").alias("lines"))
+    return Y.replay_tail(ticks(spark, sf), v.cues(spark, sf)).select("session_id", "t_ms", F.array_join("lines", "|").alias("lines"))
 
 
 @query("caption_lag", with_views("v_cues", """

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from cuelake.functions import clock, text as T
+from cuelake.functions.values import SILENCE_PHRASES
 from cuelake.operators import cues as Q, scan
 from cuelake.plans import live, views as v
 from cuelake.plans.registry import query
@@ -135,11 +136,10 @@ def speaker_changes(spark, sf):
 @query("drop_hallucinations", rf"""
 WITH s AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'Thank you!' WHEN 1 THEN event_type || ' ' || event_type || ', '
     || event_type WHEN 2 THEN ' Bye bye. ' WHEN 3 THEN event_type || ' now' WHEN 4 THEN 'Please subscribe soon'
-    ELSE event_type END AS text, (event_id % 10) / 10.0 AS p FROM events),
+    ELSE event_type END AS text, CASE WHEN event_id % 13 <> 0 THEN (event_id % 10) / 10.0 END AS p FROM events),
 n AS (SELECT *, trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_\s]', '', 'g')) AS b FROM s)
-SELECT event_id, text FROM n WHERE NOT p > 0.5
-  AND b NOT IN ('thank you', 'thank you very much', 'thank you so much', 'thanks for watching', 'thank you for watching',
-    'thank you for listening', 'please subscribe', 'like and subscribe', 'see you next time', 'bye', 'bye bye')
+SELECT event_id, text FROM n WHERE NOT coalesce(p > 0.5, false)
+  AND b NOT IN ({", ".join(repr(p) for p in SILENCE_PHRASES)})
   AND NOT (len({tok('b')}) >= 3 AND len(list_distinct({tok('b')})) = 1)""")
 def drop_hallucinations(spark, sf):
     e, k = v.events(spark, sf), F.col("event_id") % 6
@@ -147,7 +147,8 @@ def drop_hallucinations(spark, sf):
     text = (F.when(k == 0, "Thank you!").when(k == 1, F.concat(t, F.lit(" "), t, F.lit(", "), t))
              .when(k == 2, " Bye bye. ").when(k == 3, F.concat(t, F.lit(" now"))).when(k == 4, "Please subscribe soon")
              .otherwise(t))
-    s = e.select("event_id", text.alias("text"), ((F.col("event_id") % 10) / 10).alias("no_speech_prob"))
+    prob = F.when(F.col("event_id") % 13 != 0, (F.col("event_id") % 10) / 10)
+    s = e.select("event_id", text.alias("text"), prob.alias("no_speech_prob"))
     return Q.drop_hallucinations(s).select("event_id", "text")
 
 
@@ -187,10 +188,15 @@ def dedupe_boundary(spark, sf):
 
 @query("suppress_repeats", with_views("v_cues", """
 SELECT session_id, cue_no, text FROM (SELECT *, lag(text) OVER (PARTITION BY session_id ORDER BY cue_no) AS p FROM (
-  SELECT session_id, cue_no, CASE WHEN cue_no % 5 = 0 THEN '' ELSE left(speaker, 4) END AS text FROM v_cues)
-  WHERE text <> '') WHERE p IS NULL OR p <> text"""))
+  SELECT session_id, cue_no, CASE WHEN cue_no % 5 = 0 THEN '' WHEN cue_no % 3 = 0 THEN lag(t) OVER (PARTITION BY session_id ORDER BY cue_no)
+         ELSE t END AS text FROM (SELECT *, array_to_string({0}, ' ') AS t FROM v_cues))
+  WHERE text <> '') WHERE p IS NULL OR p <> text""".format(tok("text"))))
 def suppress_repeats(spark, sf):
-    c = v.cues(spark, sf).withColumn("text", F.when(F.col("cue_no") % 5 == 0, " ").otherwise(F.left("speaker", F.lit(4))))
+    """Captions, every third one the same as the one before, every fifth one blank."""
+    c = v.cues(spark, sf)
+    before = c.select("session_id", (F.col("cue_no") + 1).alias("cue_no"), F.col("text").alias("was"))
+    text = F.when(F.col("cue_no") % 5 == 0, " ").when(F.col("cue_no") % 3 == 0, F.col("was")).otherwise(F.col("text"))
+    c = c.join(before, ["session_id", "cue_no"], "left").withColumn("text", text)
     return Q.suppress_repeats(c).select("session_id", "cue_no", "text")
 
 
@@ -230,10 +236,10 @@ def webvtt_document(spark, sf):
 SELECT session_id, string_agg(t, ' ' ORDER BY cue_no) AS tail FROM (
   SELECT *, coalesce(sum(length(t) + 1) OVER (PARTITION BY session_id ORDER BY cue_no DESC
            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM (SELECT session_id, cue_no, trim(replace(left(text, 30), chr(10), ' ')) AS t FROM v_cues) WHERE t <> '')
+  FROM (SELECT session_id, cue_no, trim(replace(text, chr(10), ' ')) AS t FROM v_cues) WHERE t <> '')
 WHERE before < 80 GROUP BY session_id"""))
 def tail_text(spark, sf):
-    return Q.tail_text(v.cues(spark, sf).withColumn("text", F.left("text", F.lit(30))))
+    return Q.tail_text(v.cues(spark, sf))
 
 
 @query("transcript", with_views("v_cues", "SELECT session_id, 0 AS part_no, string_agg(text, chr(10) ORDER BY cue_no) "

@@ -7,6 +7,7 @@ def tok(x: str) -> str:
     return TOK.format(x)
 
 
+LETTERS = r"\p{L}\p{N}\p{M}\s"
 VIEWS = {
     "v_cues": f"""
         SELECT session_id, cue_no, speaker, text, CAST(e - dur AS BIGINT) AS start_ms, CAST(e AS BIGINT) AS end_ms
@@ -46,17 +47,17 @@ VIEWS = {
                CASE event_type WHEN 'click' THEN 'Clapping' WHEN 'purchase' THEN 'Applause' WHEN 'view' THEN 'Music'
                     WHEN 'signup' THEN 'Speech' ELSE 'Siren' END AS label,
                max(least(value / 100, 1.0)) AS prob FROM events GROUP BY ALL""",
-    "v_pairs": f"""
-        SELECT doc_id, lang, source, array_to_string(r, ' ') AS ref,
-          coalesce((SELECT string_agg(CASE WHEN i % 13 = 7 THEN 'zz' WHEN i % 17 = 9 THEN r[i + 1] || ' qq'
-                    ELSE r[i + 1] END, ' ' ORDER BY i)
-                    FROM (SELECT unnest(range(len(r))) AS i) WHERE i % 11 <> 5), '') AS hyp
-        FROM (SELECT doc_id, lang, source,
-                list_filter(list_transform({tok('lower(text)')}, lambda w: regexp_replace(w, '[^a-z]', '', 'g')),
-                            lambda w: w <> '')[1:40] AS r FROM documents) WHERE len(r) > 0""",
+    "v_pairs": rf"""
+        SELECT doc_id, seg_no, lang, source, array_to_string(r[seg_no * 60 + 1:seg_no * 60 + 60], ' ') AS ref,
+          coalesce(array_to_string(list_filter(h[seg_no * 60 + 1:seg_no * 60 + 60], lambda x: x IS NOT NULL), ' '), '') AS hyp
+        FROM (SELECT *, unnest(range(greatest(1, (len(r) + 59) // 60))) AS seg_no,
+            list_transform(r, lambda w, i: CASE WHEN (i - 1) % 11 = 5 THEN NULL WHEN (i - 1) % 13 = 7 THEN 'zz'
+              WHEN (i - 1) % 17 = 9 THEN w || ' qq' ELSE w END) AS h
+          FROM (SELECT doc_id, lang, source,
+                  {tok("regexp_replace(lower(coalesce(text, '')), '[^" + LETTERS + "]', '', 'g')")} AS r FROM documents))""",
     "v_urls": """
         SELECT page_id,
-          CASE page_id % 5 WHEN 0 THEN 'https://www.youtube.com/watch?v=id' || page_id || '&t=3'
+          CASE page_id % 5 WHEN 0 THEN 'https://www.youtube.com/watch?v=id%20' || page_id || '&t=3'
             WHEN 1 THEN 'https://youtu.be/id' || page_id WHEN 2 THEN 'RTMP://host/live/' || page_id
             WHEN 3 THEN 'sdi://' || page_id ELSE url END AS url,
           CASE WHEN page_id % 7 = 0 THEN 'rtmp://out/' || page_id ELSE '' END AS dest FROM pages""",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cuelake.operators import scan
 
 
+SEGMENT = 60
 TEXT_KEYS = {"conversations": "conv_id", "documents": "doc_id"}
 
 
@@ -130,22 +131,25 @@ def sounds(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def transcript_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Reference text (first 40 ASCII words) and a damaged copy: drops, substitutions and insertions."""
+    """Whole texts without punctuation in segments of SEGMENT words, and a damaged copy: drops, substitutions and insertions."""
     d = table(spark, sf, "documents")
-    ref = F.slice(tokens(F.regexp_replace(F.lower("text"), r"[^a-z\s]", "")), 1, 40)
-    rows = d.select("doc_id", "lang", "source", ref.alias("r")).filter(F.size("r") > 0)
-    hyp = F.flatten(F.transform("r", lambda w, i: F.when(i % 11 == 5, F.array().cast("array<string>"))
-                    .when(i % 13 == 7, F.array(F.lit("zz")))
-                    .when(i % 17 == 9, F.array(w, F.lit("qq"))).otherwise(F.array(w))))
-    return rows.select("doc_id", "lang", "source", F.array_join("r", " ").alias("ref"),
-                       F.array_join(hyp, " ").alias("hyp"))
+    ref = tokens(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}\p{M}\s]", ""))
+    rows = d.select("doc_id", "lang", "source", ref.alias("r"))
+    heard = F.transform("r", lambda w, i: F.when(i % 11 == 5, F.array().cast("array<string>"))
+                        .when(i % 13 == 7, F.array(F.lit("zz")))
+                        .when(i % 17 == 9, F.array(w, F.lit("qq"))).otherwise(F.array(w)))
+    last = F.greatest(F.lit(0), F.expr(f"cast((size(r) - 1) div {SEGMENT} as int)"))
+    rows = rows.select("*", heard.alias("h"), F.explode(F.sequence(F.lit(0), last)).alias("seg_no"))
+    part = lambda c: F.slice(c, F.col("seg_no") * SEGMENT + 1, F.lit(SEGMENT))
+    return rows.select("doc_id", "seg_no", "lang", "source", F.array_join(part("r"), " ").alias("ref"),
+                       F.array_join(F.flatten(part("h")), " ").alias("hyp"))
 
 
 def urls(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "pages")
     k = F.col("page_id")
     s = k.cast("string")
-    url = (F.when(k % 5 == 0, F.concat(F.lit("https://www.youtube.com/watch?v=id"), s, F.lit("&t=3")))
+    url = (F.when(k % 5 == 0, F.concat(F.lit("https://www.youtube.com/watch?v=id%20"), s, F.lit("&t=3")))
             .when(k % 5 == 1, F.concat(F.lit("https://youtu.be/id"), s))
             .when(k % 5 == 2, F.concat(F.lit("RTMP://host/live/"), s))
             .when(k % 5 == 3, F.concat(F.lit("sdi://"), s)).otherwise(F.col("url")))

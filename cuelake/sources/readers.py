@@ -28,18 +28,18 @@ def _samples(content: pd.Series) -> pd.Series:
     return content.map(lambda b: np.frombuffer(b[:len(b) // 4 * 4], dtype="<f4"))
 
 
-def read_pcm_frames(files: DataFrame, rate: int = 16000) -> DataFrame:
+def read_pcm_frames(files: DataFrame, rate: int = 16000, chunk_ms: int = 100) -> DataFrame:
     """Frames with samples and times; ``files`` has path and content (from ``pcm_files`` or a stream of them).
 
-    The time of a frame is its number times its length, so all but the last file of a session have one size.
+    A frame starts at its number times the nominal chunk length and lasts as long as its samples, so a short last file is in place.
     """
     name = F.regexp_extract("path", r"([^/]+)\.pcm$", 1)
     frame = F.element_at(F.split(name, "_"), -1).cast("bigint")
     f = files.select(F.regexp_extract(name, r"^(.*)_\d+$", 1).alias("session_id"), frame.alias("frame_no"),
                      _samples("content").alias("samples"))
-    ms = F.floor(F.size("samples") * 1000 / rate)
-    return f.select("session_id", "frame_no", (F.col("frame_no") * ms).alias("start_ms"),
-                    ((F.col("frame_no") + 1) * ms).alias("end_ms"), F.lit(rate).alias("sample_rate"), "samples")
+    start = F.col("frame_no") * chunk_ms
+    return f.select("session_id", "frame_no", start.alias("start_ms"),
+                    (start + F.floor(F.size("samples") * 1000 / rate)).alias("end_ms"), F.lit(rate).alias("sample_rate"), "samples")
 
 
 def read_hypotheses(spark: SparkSession, path: str) -> DataFrame:
@@ -101,18 +101,15 @@ def read_transcript(spark: SparkSession, path: str, jsonl: bool = False, part_li
 
 
 def read_gpu_samples(spark: SparkSession, path: str) -> DataFrame:
-    """Telemetry CSV of 12 columns; unknown markers and bad numbers become null, short lines are dropped."""
-    cols = ", ".join(f"`{c}` STRING" for c in schemas.GPU_COLUMNS)
-    raw = (spark.read.schema(cols + ", _bad STRING").option("columnNameOfCorruptRecord", "_bad")
-                .option("mode", "PERMISSIVE").csv(path))
-
-    def number(c: str) -> Column:
-        t = F.trim(F.col(c))
-        return F.when(~t.isin(*V.NOT_AVAILABLE), t.try_cast("double")).alias(c)
-
-    short = F.col("clock_mem_mhz").isNull()
-    named = [F.trim("name").alias("name") if c == "name" else number(c) for c in schemas.GPU_COLUMNS]
-    return raw.filter(~short).select(*named).withColumn("index", F.coalesce("index", F.lit(0.0)).cast("int"))
+    """Telemetry lines of 12 comma-separated fields; unknown markers and bad numbers become null, lines of fewer fields are dropped."""
+    fields = F.split("value", ",")
+    lines = spark.read.text(path).select(fields.alias("f")).filter(F.size("f") >= len(schemas.GPU_COLUMNS))
+
+    def number(t: Column) -> Column:
+        return F.when(~t.isin(*V.NOT_AVAILABLE), t.try_cast("double"))
+
+    at = {c: F.trim(F.get("f", F.lit(i))) for i, c in enumerate(schemas.GPU_COLUMNS)}
+    return lines.select(*[(t if c == "name" else number(t)).alias(c) for c, t in at.items()]).withColumn("index", F.coalesce("index", F.lit(0.0)).cast("int"))
 
 
 def cue_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:

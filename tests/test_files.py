@@ -93,3 +93,16 @@ def test_only_speech_is_scored(spark):
     f = spark.createDataFrame(rows, "session_id int, frame_no bigint, start_ms bigint, end_ms bigint, samples array<double>")
     got = {r.frame_no: r.utterance_id for r in live.score_speech(f, load, 0.1, 1).collect()}
     assert got == {3: 1, 4: 1, 5: 1, 9: 2, 10: 2}
+
+
+def test_short_last_pcm_file_keeps_its_place(spark, tmp_path):
+    for n, size in enumerate((1600, 1600, 800)):
+        (tmp_path / f"s2_{n}.pcm").write_bytes(struct.pack(f"<{size}f", *[0.5] * size))
+    f = R.read_pcm_frames(R.pcm_files(spark, str(tmp_path))).orderBy("frame_no").collect()
+    assert [(r.start_ms, r.end_ms) for r in f] == [(0, 100), (100, 200), (200, 250)]
+
+
+def test_gpu_line_with_an_empty_last_field(spark, tmp_path):
+    (tmp_path / "g.csv").write_text("0, a, 1, 2, 3, 4, 5, 6, 7, 8, 9,\n1, b, 1, 2, 3, 4, 5, 6, 7, 8, 9\n")
+    (r,) = R.read_gpu_samples(spark, str(tmp_path)).collect()
+    assert (r.name, r.util_gpu, r.clock_mem_mhz) == ("a", 1.0, None)

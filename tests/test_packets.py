@@ -110,3 +110,21 @@ def test_extract_cc_pairs_ignores_cut_and_foreign_triples(spark):
     df = spark.createDataFrame([("s", 1, unit), ("s", 2, b"none"), ("s", 3, b"GA94")], "session_id string, au_no bigint, payload binary")
     assert [(r.au_no, r.b1, r.b2) for r in P.extract_cc_pairs(df).orderBy("au_no", "k").collect()] == [
         (1, 0x94, 0xAD), (1, 0xC8, 0xE9)]
+
+
+def _pairs(spark, pairs):
+    return spark.createDataFrame([(1, k, *p) for k, p in enumerate(pairs)], "session_id int, pair_no bigint, b1 int, b2 int")
+
+
+@pytest.mark.parametrize("block", [2, 1000])
+def test_rows_dropped_by_a_smaller_screen_stay_dropped(spark, block):
+    ru2, ru3, cr, h, i, j = (0x94, 0x25), (0x94, 0x26), (0x94, 0x2D), (0x48, 0), (0x69, 0), (0x4A, 0)
+    df = _pairs(spark, [ru3, h, cr, i, cr, j, ru2, ru3])
+    assert [r.text for r in P.visible_rows(df, block).orderBy("row_no").collect()] == ["i", "J"]
+    df = _pairs(spark, [ru3, h, cr, i, cr, j])
+    assert [r.text for r in P.visible_rows(df, block).orderBy("row_no").collect()] == ["H", "i", "J"]
+
+
+def test_low_codes_are_not_printed(spark):
+    df = _pairs(spark, [(0x01, 0x48), (0x0F, 0x69), (0x4A, 0x05)])
+    assert [r.text for r in P.decode_rollup(df).collect()] == ["HiJ"]

@@ -52,3 +52,32 @@ def test_corpus_is_micro_averaged(spark):
     rows = [("a b c d e f g h i j", "a b c d e f g h i j", 1), ("a b", "x y", 1), ("", "q", 1)]
     c = W.corpus_wer(W.wer(spark.createDataFrame(rows, "ref string, hyp string, g int")), ["g"]).first()
     assert abs(c.wer - 2 / 12) < 1e-12 and c.segment_count == 2 and abs(c.accuracy - 10 / 12) < 1e-12
+
+
+def test_long_texts_and_more_words_than_glyphs(spark, monkeypatch):
+    r = random.Random(3)
+    ref = [f"w{r.randrange(3000)}" for _ in range(1500)]
+    hyp = [w if r.random() > 0.2 else f"x{r.randrange(3000)}" for w in ref if r.random() > 0.1]
+    df = spark.createDataFrame([(" ".join(ref), " ".join(hyp)), ("", "a b"), ("a", "")], "ref string, hyp string")
+    d, s, de, i = full_table(ref, hyp)
+    monkeypatch.setattr(W, "GLYPHS", W.GLYPHS[:50])
+    got = {x.ref: x for x in W.wer_distance(W.wer(df)).collect()}
+    x = got[" ".join(ref)]
+    assert (x.substitutions, x.deletions, x.insertions, x.distance) == (s, de, i, d)
+    assert (got[""].distance, got["a"].distance) == (2, 1)
+
+
+def test_many_substitutions_do_not_spill_into_the_distance():
+    n = 3000
+    distance, substitutions = W._edit_batch([[f"a{k}" for k in range(n)]], [[f"b{k}" for k in range(n)]])
+    assert (distance[0], substitutions[0]) == (n, n)
+
+
+def test_equal_pairs_go_to_different_tasks(spark):
+    from pyspark.sql import functions as F
+    df = spark.range(400).select("id", F.lit("a b c").alias("ref"), F.lit("a c").alias("hyp"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert W.wer(df).select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

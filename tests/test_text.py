@@ -121,3 +121,13 @@ def test_drop_hallucinations(spark):
     rows = [("Thank you.", 0.0), ("thank thank thank", 0.0), ("real words here", 0.0), ("real words", 0.6), ("bye bye", 0.1), ("no no", 0.5)]
     df = spark.createDataFrame(rows, "text string, no_speech_prob double")
     assert sorted(r.text for r in Q.drop_hallucinations(df).collect()) == ["no no", "real words here"]
+
+
+def test_unknown_probability_or_text_is_kept(spark):
+    df = spark.createDataFrame([("hello there", None), ("loud", 0.9), (None, 0.1)], "text string, no_speech_prob double")
+    assert sorted(str(r.text) for r in Q.drop_hallucinations(df).collect()) == ["None", "hello there"]
+
+
+def test_escaped_video_id(spark):
+    df = spark.createDataFrame([("https://www.youtube.com/watch?v=a%20b&t=3",)], "u string")
+    assert [r[0] for r in df.select(T.youtube_id(F.col("u"))).collect()] == ["a b"]
