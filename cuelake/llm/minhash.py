@@ -6,9 +6,10 @@ symbols agree in some chunk up to ERRORS = DISTANCE // CHUNKS symbols, so a docu
 choice of ERRORS symbols left out, and all pairs within DISTANCE share a key. At similarity 0.75 a pair exceeds DISTANCE = 31 of 64
 symbols with probability 2e-5; closer pairs far less often.
 
-Documents with equal sets are one class first. A bucket's members are compared with its smallest class, verified links are joined
-to components, and only members of one bucket that are still in different components are then compared with each other, in blocks. So a
-group of near copies costs as many comparisons as it has members, and no link between different components is lost.
+Documents with equal sets are one class first. Each class is compared with the one in its buckets that meets most others, and
+the links found are joined to components: a group of near copies costs as many comparisons as it has members. Classes that then share
+a bucket across components are compared with each other, in blocks, if they also share one of their rarest shingles and have enough left from
+there on, as alike sets must; so a passage that many texts share does not make all of them candidates. No link between different components is lost.
 Candidates within DISTANCE are confirmed exactly on their shingle sets, which are computed again from the texts of the documents
 concerned; a fixed-size bit map of their ids keeps the others from being shuffled.
 
@@ -37,6 +38,7 @@ PER_CHUNK, ERRORS = SYMBOLS // CHUNKS, DISTANCE // CHUNKS
 SYMBOL_BITS, LANE = 14, 15  # a chunk is a long of PER_CHUNK lanes: 14 bits and a spare one
 BLOCK = 128
 MAP_BITS = 1 << 23
+TALLY = 1 << 18
 _CARRY = sum(((1 << SYMBOL_BITS) - 1) << LANE * i for i in range(PER_CHUNK))
 _SPARE = sum(1 << LANE * i + SYMBOL_BITS for i in range(PER_CHUNK))
 CHUNK_NAMES = [f"s{i}" for i in range(CHUNKS)]
@@ -152,41 +154,82 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(keep, pa.int64())) for k in (0, 1)], ["a", "b"])
 
 
-def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of the candidate pairs (a, b) of classes, those whose full sets are similar enough."""
-    ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    needed = _needed_map(classes.join(ends, "cls", "left_semi").select(F.col("rep").alias("doc_id")))
+def full_sets(classes: DataFrame, docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cls, shingles) of the wanted classes, from the texts."""
+    needed = _needed_map(classes.join(wanted, "cls", "left_semi").select(F.col("rep").alias("doc_id")))
     rows = docs.select(F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(MAP_BITS)).alias("slot"))
-    sets = rows.mapInArrow(_sets(needed), "cls long, shingles binary").join(ends.hint("merge"), "cls", "left_semi")
-    sets = stage(sets.dropDuplicates(["cls"]), "near-sets")
+    sets = rows.mapInArrow(_sets(needed), "cls long, shingles binary").join(wanted.hint("merge"), "cls", "left_semi")
+    return stage(sets.dropDuplicates(["cls"]), "near-sets")
+
+
+def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of the candidate pairs (a, b) of classes, those whose full sets are similar enough."""
     left, right = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y"))
     full = pairs.hint("merge").join(left, "a").join(right.hint("merge"), "b").select("a", "b", "x", "y")
     return stage(full.mapInArrow(_confirmed, "a long, b long").distinct(), "near-links")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+
+
 def _with_signature(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     sig = F.struct("n", *CHUNK_NAMES)
     x, y = classes.select(F.col("cls").alias("a"), sig.alias("x")), classes.select(F.col("cls").alias("b"), sig.alias("y"))
     return pairs.hint("merge").join(x, "a").join(y.hint("merge"), "b")
 
 
-def _across(members: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of one bucket within DISTANCE whose components differ: blocks of a bucket against blocks."""
-    root = roots.select(F.col("node").alias("cls"), "root")
-    placed = members.join(root.hint("merge"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size")).where("r0 < r1")
-    rest = stage(placed.join(mixed.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")).hint("merge"), "key")
-                 .withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")), "near-rest")
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(TALLY, np.int64)
+    for batch in batches:
+        for v in batch.column(1):
+            counts += np.bincount(np.frombuffer(v.as_py(), np.uint64) % np.uint64(TALLY), minlength=TALLY)
+    slot = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(counts[slot])], ["slot", "n"])
+
+
+def _rarest(counts: np.ndarray):
+    """The shingles of which alike sets share at least one: all but the most frequent ones that an overlap can do without."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, parts, places = [], [], []
+            for cls, v in zip(batch.column(0).to_pylist(), batch.column(1)):
+                s = np.frombuffer(v.as_py(), np.uint64)
+                first = len(s) - -(-len(s) * PERCENT // 100) + 1
+                order = np.lexsort((s, counts[(s % np.uint64(TALLY)).astype(np.int64)]))[:first]
+                names.append(np.full(len(order), cls, np.int64))
+                parts.append(s[order].view(np.int64))
+                places.append(np.arange(len(order)))
+            if names:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (names, parts, places)], ["cls", "key", "pos"])
+    return run
+
+
+def _across(rest: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of classes (cls, root) in different components, within DISTANCE, that share one of their rarest shingles.
+
+    The order of rarity is by a hashed tally of fixed size; any order that is the same for all sets loses no pair. Shingles of many
+    classes are compared in blocks of classes against blocks.
+    """
+    rows = sets.mapInArrow(_tally, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # TALLY rows at most
+    counts = np.zeros(TALLY, np.int64)
+    counts[rows["slot"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    keys = stage(sets.mapInArrow(_rarest(counts), "cls long, key long, pos long").join(rest.hint("merge"), "cls"), "near-rarest")
+    mixed = keys.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size")).where("r0 < r1")
+    met = (keys.join(mixed.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")).hint("merge"), "key")
+           .withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")))
     sig = classes.select("cls", F.struct("n", *CHUNK_NAMES).alias("sig"))
-    rows = rest.hint("merge").join(sig, "cls")
-    x = rows.select("key", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"),
-                    F.col("cls").alias("a"), F.col("root").alias("ra"), F.col("sig").alias("x"))
-    y = rows.select("key", F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"),
-                    F.col("cls").alias("b"), F.col("root").alias("rb"), F.col("sig").alias("y"))
-    near = ((F.col("ra") != F.col("rb")) & ((F.col("i") < F.col("j")) | (F.col("a") < F.col("b"))) & alike_sizes("x", "y")
+    both = met.hint("merge").join(sig, "cls")
+    x = both.select("key", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"),
+                    F.col("cls").alias("a"), F.col("root").alias("ra"), F.col("sig").alias("x"), F.col("pos").alias("px"))
+    y = both.select("key", F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"),
+                    F.col("cls").alias("b"), F.col("root").alias("rb"), F.col("sig").alias("y"), F.col("pos").alias("py"))
+    # if this is the first shingle in that order that both have, the overlap is at most what is left of either set from here on
+    enough = F.least(F.col("x.n") - F.col("px"), F.col("y.n") - F.col("py")) * (100 + PERCENT) >= (F.col("x.n") + F.col("y.n")) * PERCENT
+    near = ((F.col("ra") != F.col("rb")) & ((F.col("i") < F.col("j")) | (F.col("a") < F.col("b"))) & alike_sizes("x", "y") & enough
             & (distance("x", "y") <= DISTANCE))
     pairs = x.hint("merge").join(y, ["key", "i", "j"]).where(near)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return stage(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-across")
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -195,13 +238,22 @@ def near_groups(docs: DataFrame) -> DataFrame:
     classes = stage(signed.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"),
                                                              *(F.first(c).alias(c) for c in CHUNK_NAMES)), "near-classes")
     keys = classes.select("cls", F.explode(index_keys()).alias("key"))
-    heads = keys.groupBy("key").agg(F.min("cls").alias("head"), F.max("cls").alias("tail")).where("head < tail").drop("tail")
-    members = stage(keys.hint("merge").join(heads, "key"), "near-members")
-    first = members.where("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct()
-    first = stage(_with_signature(first, classes).where(alike_sizes("x", "y") & (distance("x", "y") <= DISTANCE)).select("a", "b"), "near-first")
-    links = confirm(first, classes, docs)
-    across = stage(_across(members, classes, components(links)), "near-across")
-    roots = components(links.unionByName(confirm(across, classes, docs)))
+    met = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = stage(keys.hint("merge").join(met, "key"), "near-members")
+    # the least changed of many copies meets most others, so it heads their buckets
+    weights = stage(members.groupBy("cls").agg(F.sum("size").alias("met")).select("cls", F.struct("met", "cls").alias("weight")), "near-weights")
+    heaviest = members.hint("merge").join(weights, "cls").groupBy("key").agg(F.max("weight").alias("head"))
+    heads = members.select("key", "cls").hint("merge").join(heaviest, "key").groupBy("cls").agg(F.max("head").alias("head"))
+    heads = heads.select("cls", F.col("head.cls").alias("head")).where("cls <> head")
+    first = _with_signature(heads.select(F.col("head").alias("a"), F.col("cls").alias("b")), classes)
+    first = stage(first.where(alike_sizes("x", "y") & (distance("x", "y") <= DISTANCE)).select("a", "b"), "near-first")
+    links = confirm(first, full_sets(classes, docs, _ends(first)))
+    roots = components(links).select(F.col("node").alias("cls"), "root")
+    placed = stage(members.select("cls", "key").join(roots.hint("merge"), "cls", "left").withColumn("root", F.coalesce("root", "cls")), "near-placed")
+    mixed = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
+    rest = stage(placed.join(mixed.hint("merge"), "key", "left_semi").select("cls", "root").distinct(), "near-rest")
+    sets = full_sets(classes, docs, rest.select("cls"))
+    roots = components(links.unionByName(confirm(_across(rest, sets, classes), sets)))
     least = (classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")))
     ids = least.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = stage(least.join(ids.hint("merge"), "root").select(F.col("cls").alias("_cls"), "component_id"), "near-named")
