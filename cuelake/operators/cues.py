@@ -178,7 +178,9 @@ def cue_feed(cues: DataFrame) -> DataFrame:
 
 
 def merge_captions(speech: DataFrame, sounds: DataFrame) -> DataFrame:
-    """Speech captions and bracketed sound captions as one table with a ``source`` column."""
+    """Speech captions and bracketed sound captions as one table with a ``source``, numbered by time in each session."""
     cols = ["session_id", "start_ms", "end_ms", "text"]
-    return speech.select(*cols, F.lit("speech").alias("source")).unionByName(
+    both = speech.select(*cols, F.lit("speech").alias("source")).unionByName(
         sounds.select(*cols, F.lit("sound").alias("source")))
+    order = ["start_ms", "end_ms", "source", "text"]
+    return number_cues(scan.range_blocks(both, S, order), S, order)

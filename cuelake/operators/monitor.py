@@ -69,6 +69,12 @@ def rolling_gpu(samples: DataFrame, value: str, window: int = 20, rows: int = sc
     return out.drop("_k", "_avg", scan.BLK)
 
 
+def rolling_power(samples: DataFrame, window: int = 20, rows: int = scan.BLOCK_ROWS) -> DataFrame:
+    """Mean power of the last ``window`` known values per GPU, and its share of the limit where one is known."""
+    s = rolling_gpu(samples, "power_w", window, rows)
+    return s.withColumn("power_pct_avg", percent(F.col("power_w_avg"), F.col("power_limit_w")))
+
+
 def percent(part: Column, whole: Column) -> Column:
     return F.bround(100 * part / F.nullif(whole, F.lit(0.0)), 1)
 

@@ -41,13 +41,18 @@ def service_totals(rollup: DataFrame) -> DataFrame:
 
 
 def device_inventory(video_in: DataFrame, audio_in: DataFrame, video_out: DataFrame) -> DataFrame:
-    """Devices per (host, idx) with what they can do; names come from video in, audio in, video out, in that order."""
+    """Devices per (host, idx) with what they can do; names come from video in, audio in, video out, in that order.
+
+    A device that names no ``connection`` is an SDI one.
+    """
     key = ["host", "idx"]
-    side = lambda d, n: d.select(*key, F.struct("persistent_id", "label").alias(n))
+    link = lambda d: F.col("connection") if "connection" in d.columns else F.lit(None).cast("string").alias("connection")
+    side = lambda d, n: d.select(*key, F.struct("persistent_id", "label", link(d)).alias(n))
     all_ = side(video_in, "v").join(side(audio_in, "a"), key, "full").join(side(video_out, "o"), key, "full")
     meta = F.coalesce("v", "a", "o")
     label = F.coalesce(meta["label"], F.concat(F.lit("Device "), F.col("idx").cast("string")))
     return all_.select(*key, meta["persistent_id"].alias("persistent_id"), label.alias("label"),
+                       F.coalesce(meta["connection"], F.lit("sdi")).alias("connection"),
                        (F.col("v").isNotNull() | F.col("a").isNotNull()).alias("can_input"),
                        F.col("o").isNotNull().alias("can_output"))
 

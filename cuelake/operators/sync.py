@@ -55,14 +55,16 @@ def caption_lag(cues: DataFrame, live: DataFrame, target_ms: int = V.TARGET_DELA
     ``cues`` carry ``committed_ms``; ``live`` has (session_id, audio_ms).
     """
     need = target_ms if min_cache_ms is None else min_cache_ms
-    wait = F.col("committed_ms") - F.col("end_ms")
+    wait = F.col("_wait")
+    cues = cues.withColumn("_wait", F.col("committed_ms") - F.col("end_ms"))
+    rank = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY _wait)").cast("bigint")
     c = cues.groupBy("session_id").agg(
         F.max_by("end_ms", "cue_no").alias("clock_ms"), F.avg((wait <= budget_ms).cast("double")).alias("in_budget"),
-        F.max(wait).alias("worst_ms"))
+        rank(0.5).alias("median_ms"), rank(0.95).alias("p95_ms"), F.max(wait).alias("worst_ms"))
     share = F.floor(100 * F.col("clock_ms") / F.greatest(F.lit(1000), F.lit(target_ms)))
     return live.join(c, "session_id", "left").select(
         "session_id", F.coalesce("clock_ms", F.lit(0)).alias("clock_ms"),
-        (F.col("audio_ms") - F.coalesce("clock_ms", F.lit(0))).alias("lag_ms"), "in_budget", "worst_ms",
+        (F.col("audio_ms") - F.coalesce("clock_ms", F.lit(0))).alias("lag_ms"), "in_budget", "median_ms", "p95_ms", "worst_ms",
         F.coalesce(F.col("clock_ms") >= need, F.lit(False)).alias("ready"),
         F.coalesce(F.least(F.lit(99), share), F.lit(0)).cast("int").alias("percent"))
 

@@ -262,6 +262,24 @@ def rolling_gpu(spark, sf):
     return M.rolling_gpu(v.gpu(spark, sf), "util").select("gpu", "event_id", "util", "util_avg")
 
 
+@query("rolling_power", """
+WITH p AS (SELECT user_id % 4 AS gpu, ts, event_id, CASE WHEN event_type <> 'error' THEN value END AS power_w,
+  CASE WHEN event_id % 5 <> 0 THEN 250.0 END AS power_limit_w FROM events)
+SELECT gpu, event_id, power_w_avg, round_even(100 * power_w_avg / power_limit_w, 1) AS power_pct_avg FROM (
+  SELECT gpu, event_id, power_limit_w, last_value(a IGNORE NULLS) OVER (PARTITION BY gpu ORDER BY ts, event_id) / 10.0 AS power_w_avg
+  FROM (SELECT g.*, k.a FROM p g LEFT JOIN (
+    SELECT event_id, s // (10 * n) + CASE WHEN 2 * (s % (10 * n)) > 10 * n THEN 1
+        WHEN 2 * (s % (10 * n)) = 10 * n THEN s // (10 * n) % 2 ELSE 0 END AS a
+    FROM (SELECT event_id, CAST(sum(CAST(round(power_w * 100) AS BIGINT)) OVER w AS BIGINT) AS s, count(*) OVER w AS n
+      FROM p WHERE power_w IS NOT NULL
+      WINDOW w AS (PARTITION BY gpu ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))) k ON g.event_id = k.event_id))""")
+def rolling_power(spark, sf):
+    k = F.col("event_id")
+    s = v.events(spark, sf).select((F.col("user_id") % 4).alias("gpu"), "ts", "event_id", F.when(F.col("event_type") != "error", F.col("value"))
+                                   .alias("power_w"), F.when(k % 5 != 0, F.lit(250.0)).alias("power_limit_w"))
+    return M.rolling_power(s).select("gpu", "event_id", "power_w_avg", "power_pct_avg")
+
+
 @query("gpu_percentages", """
 SELECT event_id, round_even(100 * m / nullif(t, 0), 1) AS mem_pct, round_even(100 * p / nullif(l, 0), 1) AS power_pct
 FROM (SELECT event_id, CASE WHEN event_id % 9 <> 0 THEN value END AS m, CAST(event_id % 4 * 100 AS DOUBLE) AS t, value / 3 AS p,
@@ -335,7 +353,7 @@ def service_totals(spark, sf):
 
 
 @query("device_inventory", with_views("v_devices", """
-SELECT host, idx, persistent_id, label, in_vsrc OR in_asrc AS can_input, in_vsink AS can_output FROM v_devices
+SELECT host, idx, persistent_id, label, CASE WHEN idx % 4 = 0 THEN 'hdmi' ELSE 'sdi' END AS connection, in_vsrc OR in_asrc AS can_input, in_vsink AS can_output FROM v_devices
 WHERE in_vsrc OR in_asrc OR in_vsink"""))
 def device_inventory(spark, sf):
     return A.device_inventory(*v.devices(spark, sf))
@@ -454,10 +472,10 @@ def replay_tail(spark, sf):
 
 
 @query("caption_lag", with_views("v_cues", """
-SELECT session_id, clock_ms, (session_id % 3 * 2000 + clock_ms) - clock_ms AS lag_ms, round(in_budget, 6) AS in_budget, worst_ms,
+SELECT session_id, clock_ms, (session_id % 3 * 2000 + clock_ms) - clock_ms AS lag_ms, round(in_budget, 6) AS in_budget, median_ms, p95_ms, worst_ms,
   clock_ms >= 20000 AS ready, CAST(least(99, floor(100 * clock_ms / 20000)) AS INT) AS percent
 FROM (SELECT session_id, max_by(end_ms, cue_no) AS clock_ms, avg(CASE WHEN w <= 5000 THEN 1.0 ELSE 0.0 END) AS in_budget,
-  max(w) AS worst_ms FROM (SELECT *, 4000 + cue_no * 700 % 2100 AS w FROM v_cues) GROUP BY 1)"""))
+  quantile_disc(w, 0.5) AS median_ms, quantile_disc(w, 0.95) AS p95_ms, max(w) AS worst_ms FROM (SELECT *, 4000 + cue_no * 700 % 2100 AS w FROM v_cues) GROUP BY 1)"""))
 def caption_lag(spark, sf):
     c = v.cues(spark, sf).withColumn("committed_ms", F.col("end_ms") + 4000 + F.col("cue_no") * 700 % 2100)
     live = c.groupBy("session_id").agg(F.max("end_ms").alias("audio_ms")).withColumn(

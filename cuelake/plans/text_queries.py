@@ -265,9 +265,10 @@ def cue_feed(spark, sf):
 
 
 @query("merge_captions", with_views("v_cues v_sounds", """
-SELECT session_id, start_ms, end_ms, text, 'speech' AS source FROM v_cues UNION ALL
-SELECT session_id, window_no * 1000, window_no * 1000 + 2000, '[' || upper(label) || ']', 'sound' FROM v_sounds
-WHERE prob >= 0.45"""))
+SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY start_ms, end_ms, source, text) AS cue_no FROM (
+  SELECT session_id, start_ms, end_ms, text, 'speech' AS source FROM v_cues UNION ALL
+  SELECT session_id, window_no * 1000, window_no * 1000 + 2000, '[' || upper(label) || ']', 'sound' FROM v_sounds
+  WHERE prob >= 0.45)"""))
 def merge_captions(spark, sf):
     s = v.sounds(spark, sf).filter("prob >= 0.45").select(
         "session_id", (F.col("window_no") * 1000).alias("start_ms"), (F.col("window_no") * 1000 + 2000).alias("end_ms"),

@@ -173,7 +173,8 @@ def devices(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFra
     """Three enumeration tables (video in, audio in, video out) of a device fleet."""
     s = table(spark, sf, "supplier").select(
         (F.col("s_suppkey") % 7).alias("host"), F.col("s_suppkey").alias("idx"),
-        F.concat(F.lit("p"), F.col("s_suppkey")).alias("persistent_id"), F.col("s_name").alias("label"))
+        F.concat(F.lit("p"), F.col("s_suppkey")).alias("persistent_id"), F.col("s_name").alias("label"),
+        F.when(F.col("s_suppkey") % 4 == 0, "hdmi").alias("connection"))
     k = F.col("idx")
     return s.filter(k % 2 == 0), s.filter(k % 3 == 0), s.filter(k % 5 < 3)
 
