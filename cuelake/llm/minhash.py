@@ -122,10 +122,9 @@ def alike_sizes(a: str, b: str) -> Column:
 
 def _needed_map(ids: DataFrame) -> np.ndarray:
     """A bit map of MAP_BITS bits in which the slots of the ids are set."""
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS))
-    bits = ids.select(F.expr("slot div 32").alias("word"), F.expr("shiftleft(1L, cast(slot % 32 as int))").alias("bit")) if "slot" in ids.columns \
-        else ids.withColumn("slot", slot).selectExpr("slot div 32 as word", "shiftleft(1L, cast(slot % 32 as int)) as bit")
-    rows = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # MAP_BITS / 32 rows at most
+    slots = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS)).alias("slot"))
+    bit = F.expr("shiftleft(1L, cast(slot % 32 as int))")
+    rows = slots.groupBy(F.expr("slot div 32").alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()  # MAP_BITS / 32 rows at most
     out = np.zeros(MAP_BITS // 32, np.uint32)
     out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).astype(np.uint32)
     return out
