@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CACHE, CACHED_CHARS, ROWS_OUT = 700_000, 48, 512
+CACHE, CACHED_CHARS, ROWS_OUT = 250_000, 48, 512
 _BITS = tuple(1 << i for i in range(256))
 
 

@@ -30,14 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuelake.llm.common import doc_fold, stage
+from cuelake.llm.common import doc_fold, give_back, stage
 
 FIT_TOXIC, FIT_CLEAN = 6000, 12000
-SEGMENTS, SEGMENT_WORDS, SEGMENTS_PER_DOC = 40_000, 24, 4
+SEGMENTS, SEGMENT_WORDS, SEGMENTS_PER_DOC = 20_000, 24, 4
 LEXICON, MIN_G2 = 20_000, 25.0
 BITS = 17
 EPOCHS, RATE, DECAY = 40, 0.5, 1e-6
-WORDS_KEPT = 400_000
+WORDS_KEPT = 200_000
 _WORD = re.compile(r"\w+")
 _PREFIXES = (3, 4, 5, 6, 7, 8)
 
@@ -108,11 +108,15 @@ def marginals(score: np.ndarray, first: np.ndarray, trans: np.ndarray, start: np
     p = (both[:, 1] / both.sum(axis=1)).T.reshape(-1)[:n]
     if not pairs:
         return p
-    before = np.concatenate([enter[None], alpha[:-1]])
-    joint = before[:, :, None] * m * beta[:, None]
-    joint = (joint / joint.sum(axis=(1, 2), keepdims=True)).transpose(3, 0, 1, 2).reshape(-1, 2, 2)[:n]
-    begun = np.array([1 - p[first], p[first]]).sum(axis=1)
-    return p, begun, joint[~first].sum(axis=0)
+    inner = np.zeros(lanes * steps, bool)
+    inner[:n] = ~first
+    inner = inner.reshape(lanes, steps).T
+    moved, v = np.zeros((2, 2)), enter
+    for t in range(steps):
+        joint = v[:, None] * m[t] * beta[t][None]
+        moved += (joint / joint.sum(axis=(0, 1)))[:, :, inner[t]].sum(axis=2)
+        v = alpha[t]
+    return p, np.array([1 - p[first], p[first]]).sum(axis=1), moved
 
 
 @dataclass
@@ -203,7 +207,7 @@ def _counts(lexicon_rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text, toxic in zip(pdf["text"], pdf["toxic"]):
             seen = {f for w in set(words_of(text)) for f in lexicon_features(w)}
             (bad if toxic else good).update(seen)
-            if len(bad) + len(good) > 300_000:
+            if len(bad) + len(good) > 150_000:
                 yield rows()
                 bad.clear()
                 good.clear()
@@ -247,7 +251,7 @@ def _fit_crf(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     weights, bias, trans, start = np.zeros(1 << BITS), -4.0, np.zeros((2, 2)), np.zeros(2)
     y, first = np.array(tags, float), np.array(firsts, bool)
     if y.any():
-        slot = np.array(index, np.int64)
+        slot = np.array(index, np.int32)
         last = np.roll(first, -1)
         state = y.astype(int)
         seen_start = np.array([(state[first] == 0).sum(), (state[first] == 1).sum()], float)
@@ -258,7 +262,8 @@ def _fit_crf(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _ in range(EPOCHS):
             left, right = np.roll(weights[slot[:, 0]], 1), np.roll(weights[slot[:, 1]], -1)
             left[first], right[last] = 0, 0
-            p, begun, moved = marginals(weights[slot[:, 2:]].sum(axis=1) + bias + left + right, first, trans, start, pairs=True)
+            own_score = sum(weights[slot[:, c]] for c in range(2, slot.shape[1]))
+            p, begun, moved = marginals(own_score + bias + left + right, first, trans, start, pairs=True)
             miss = (y - p) * scale
             g = sum(np.bincount(slot[:, c], miss, 1 << BITS) for c in range(2, slot.shape[1]))
             to_left, to_right = np.roll(miss, -1), np.roll(miss, 1)  # the next word sees this one as its left neighbour
@@ -270,6 +275,8 @@ def _fit_crf(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             weights = weights + RATE * steps[0] / np.sqrt(sums[0])
             bias, trans, start = (v + RATE * d / np.sqrt(h) for v, d, h in zip((bias, trans, start), steps[1:], sums[1:]))
     yield pd.DataFrame({"weights": [weights.astype("<f4").tobytes()], "rest": [[float(bias), *trans.ravel(), *start]]})
+    index = own = tags = firsts = slot = None  # noqa: F841  the largest ones
+    give_back()
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -354,6 +361,8 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text", score: st
                 made = [pa.array(1 / (1 + np.exp(-np.clip(odds, -500, 500))), pa.float64()),
                         pa.array([spans(t, p) for t, p in zip(texts, marks)], arrow)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, score, where])
+        del tagger
+        give_back()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType()), T.StructField(where, span)]))
 
