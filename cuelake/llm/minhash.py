@@ -137,35 +137,27 @@ def _sets(needed: np.ndarray):
             rows = np.flatnonzero(needed[slot // 32] >> (slot % 32).astype(np.uint32) & np.uint32(1))
             for start in range(0, len(rows), 512):
                 sets = [shingle_set(whole.column(0)[int(i)].as_py()) for i in rows[start:start + 512]]
-                yield pa.RecordBatch.from_arrays([pa.array([set_class(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                                                 ["cls", "shingles"])
+                ends = np.cumsum([0, *map(len, sets)])
+                flat = np.concatenate(sets).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([set_class(s) for s in sets], pa.int64()),
+                                                  pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["cls", "shingles"])
     return run
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for i in range(batch.num_rows):
-            a, b = (np.frombuffer(batch.column(k)[i].as_py(), np.uint64) for k in (2, 3))
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            if 100 * both >= PERCENT * (len(a) + len(b) - both):
-                keep.append(i)
-        yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(keep, pa.int64())) for k in (0, 1)], ["a", "b"])
-
-
 def full_sets(classes: DataFrame, docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(cls, shingles) of the wanted classes, from the texts."""
     needed = _needed_map(classes.join(wanted, "cls", "left_semi").select(F.col("rep").alias("doc_id")))
     rows = docs.select(F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(MAP_BITS)).alias("slot"))
-    sets = rows.mapInArrow(_sets(needed), "cls long, shingles binary").join(wanted.hint("merge"), "cls", "left_semi")
+    sets = rows.mapInArrow(_sets(needed), "cls long, shingles array<long>").join(wanted.hint("merge"), "cls", "left_semi")
     return stage(sets.dropDuplicates(["cls"]), "near-sets")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of the candidate pairs (a, b) of classes, those whose full sets are similar enough."""
     left, right = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y"))
-    full = pairs.hint("merge").join(left, "a").join(right.hint("merge"), "b").select("a", "b", "x", "y")
-    return stage(full.mapInArrow(_confirmed, "a long, b long").distinct(), "near-links")
+    full = pairs.hint("merge").join(left, "a").join(right.hint("merge"), "b")
+    both = full.select("a", "b", (F.size("x") + F.size("y")).alias("sizes"), F.size(F.array_intersect("x", "y")).alias("both"))
+    return stage(both.where(F.col("both") * (100 + PERCENT) >= F.col("sizes") * PERCENT).select("a", "b").distinct(), "near-links")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -178,11 +170,17 @@ def _with_signature(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.hint("merge").join(x, "a").join(y.hint("merge"), "b")
 
 
+def _hashes(column: pa.ListArray) -> Iterator[np.ndarray]:
+    ends, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).view(np.uint64)
+    for start, end in zip(ends, ends[1:]):
+        yield values[start:end]
+
+
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(TALLY, np.int64)
     for batch in batches:
-        for v in batch.column(1):
-            counts += np.bincount(np.frombuffer(v.as_py(), np.uint64) % np.uint64(TALLY), minlength=TALLY)
+        for s in _hashes(batch.column(1)):
+            np.add.at(counts, (s % np.uint64(TALLY)).astype(np.int64), 1)
     slot = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(counts[slot])], ["slot", "n"])
 
@@ -192,8 +190,7 @@ def _rarest(counts: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, parts, places = [], [], []
-            for cls, v in zip(batch.column(0).to_pylist(), batch.column(1)):
-                s = np.frombuffer(v.as_py(), np.uint64)
+            for cls, s in zip(batch.column(0).to_pylist(), _hashes(batch.column(1))):
                 first = len(s) - -(-len(s) * PERCENT // 100) + 1
                 order = np.lexsort((s, counts[(s % np.uint64(TALLY)).astype(np.int64)]))[:first]
                 names.append(np.full(len(order), cls, np.int64))
