@@ -7,7 +7,8 @@ transitions; the gradient comes from forward-backward marginals. A document's sc
 expected number of toxic words and its largest marginal; spans are the code point offsets of runs with a marginal of 0.5 or more.
 
 What is fitted uses a bounded sample of labelled rows, chosen by a hash of the id: FIT_TOXIC and FIT_CLEAN documents at most, and
-SEGMENTS token segments for the CRF. Held-out documents (crc32 of the id modulo 5 is 0) are never used. Scoring covers every whole
+for the CRF TAGGED and UNTAGGED token segments at most, drawn by the same hash. A segment counts in the loss for all those of its kind
+that it stands for, so the mix of both kinds is that of the labelled rows at every size. Held-out documents (crc32 of the id modulo 5 is 0) are never used. Scoring covers every whole
 text; the chain of all documents of a batch is scanned in lanes of equal length, so one very long text costs no more than many short
 ones of the same total.
 
@@ -18,6 +19,7 @@ score is the same low prior; a null label is no label, repeated labels count as
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,13 +35,14 @@ from pyspark.sql import types as T
 from cuelake.llm.common import doc_fold, give_back, stage
 
 FIT_TOXIC, FIT_CLEAN = 6000, 12000
-SEGMENTS, SEGMENT_WORDS, SEGMENTS_PER_DOC = 20_000, 24, 4
+TAGGED, UNTAGGED, SEGMENT_WORDS, SEGMENTS_PER_DOC = 24_000, 24_000, 24, 4
 LEXICON, MIN_G2 = 20_000, 25.0
 BITS = 17
 EPOCHS, RATE, DECAY = 40, 0.5, 1e-6
 WORDS_KEPT = 200_000
 _WORD = re.compile(r"\w+")
 _PREFIXES = (3, 4, 5, 6, 7, 8)
+OWN = 4 + len(_PREFIXES)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -58,10 +61,11 @@ def slots(word: str) -> list[int]:
     return [xxhash.xxh3_64_intdigest(k) & ((1 << BITS) - 1) for k in keys]
 
 
-def marginals(score: np.ndarray, first: np.ndarray, trans: np.ndarray, start: np.ndarray, pairs: bool = False):
+def marginals(score: np.ndarray, first: np.ndarray, trans: np.ndarray, start: np.ndarray, pairs: bool = False,
+              weight: np.ndarray | None = None):
     """P(state 1) of each token of many chains laid end to end; score: of state 1 against 0; first: true where a chain begins.
 
-    With `pairs`, also the expected counts of start states and transitions. Exact: the tokens are cut into lanes; the products of the
+    With `pairs`, also the expected counts of start states and transitions, a token counting `weight` times. Exact: the tokens are cut into lanes; the products of the
     2x2 step matrices of each lane give its entry and exit messages, then all lanes are walked at once.
     """
     n = len(score)
@@ -108,15 +112,16 @@ def marginals(score: np.ndarray, first: np.ndarray, trans: np.ndarray, start: np
     p = (both[:, 1] / both.sum(axis=1)).T.reshape(-1)[:n]
     if not pairs:
         return p
-    inner = np.zeros(lanes * steps, bool)
-    inner[:n] = ~first
+    weight = np.ones(n) if weight is None else weight
+    inner = np.zeros(lanes * steps)
+    inner[:n] = np.where(first, 0.0, weight)
     inner = inner.reshape(lanes, steps).T
     moved, v = np.zeros((2, 2)), enter
     for t in range(steps):
         joint = v[:, None] * m[t] * beta[t][None]
-        moved += (joint / joint.sum(axis=(0, 1)))[:, :, inner[t]].sum(axis=2)
+        moved += (joint / joint.sum(axis=(0, 1))) @ inner[t]
         v = alpha[t]
-    return p, np.array([1 - p[first], p[first]]).sum(axis=1), moved
+    return p, np.array([1 - p[first], p[first]]) @ weight[first], moved
 
 
 @dataclass
@@ -232,39 +237,55 @@ def _segments(lexicon: frozenset[int]):
                 order = sorted(range(len(cut)), key=lambda i: xxhash.xxh3_64_intdigest(f"{doc_id}/{i}"))
                 for kind in (True, False):
                     for i in [i for i in order if any(cut[i][1]) == kind][:SEGMENTS_PER_DOC]:
-                        out.append((xxhash.xxh3_64_intdigest(f"{doc_id}:{i}") >> 1, cut[i][0], cut[i][1]))
-            yield pd.DataFrame(out, columns=["key", "words", "tags"])
+                        out.append((xxhash.xxh3_64_intdigest(f"{doc_id}:{i}") >> 1, toxic, kind, *cut[i]))
+            yield pd.DataFrame(out, columns=["key", "toxic", "tagged", "words", "tags"])
     return run
 
 
+def draw(segments: DataFrame, per_toxic: float, per_clean: float) -> DataFrame:
+    """words, tags, weight: TAGGED and UNTAGGED segments at most, each with how many of its kind among all labelled rows it stands for."""
+    rows = {r["tagged"]: r["n"] for r in segments.groupBy("tagged").agg(F.count(F.lit(1)).alias("n")).collect()}
+    of_document = F.when(F.col("toxic") == 1, F.lit(float(per_toxic))).otherwise(F.lit(float(per_clean)))
+
+    def kind(tagged: bool, most: int) -> DataFrame:
+        few = segments.where(F.col("tagged") == tagged).orderBy("key").limit(most)
+        return few.select("words", "tags", (of_document * (max(1.0, rows.get(tagged, 0) / most))).alias("weight"))
+
+    return kind(True, TAGGED).unionByName(kind(False, UNTAGGED))
+
+
 def _fit_crf(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Full-batch Adagrad on at most SEGMENTS segments; one row of weights."""
-    index, own, tags, firsts = [], {}, [], []
+    """Full-batch Adagrad on the drawn segments; one row of weights. Words are numbered, so a token takes four bytes until all are read."""
+    numbers: dict[str, int] = {}
+    table, index, tags, firsts, weighs = array("i"), array("i"), array("b"), array("b"), array("f")
     for pdf in batches:
-        for words, flags in zip(pdf["words"], pdf["tags"]):
+        for words, flags, much in zip(pdf["words"], pdf["tags"], pdf["weight"]):
             for k, (w, y) in enumerate(zip(words, flags)):
-                if w not in own:
-                    own[w] = slots(w)
-                index.append(own[w])
-                tags.append(y)
+                at = numbers.setdefault(w, len(numbers))
+                if len(table) == at * OWN:
+                    table.extend(slots(w))
+                index.append(at)
+                tags.append(bool(y))
                 firsts.append(k == 0)
+                weighs.append(much)
+    numbers.clear()
     weights, bias, trans, start = np.zeros(1 << BITS), -4.0, np.zeros((2, 2)), np.zeros(2)
-    y, first = np.array(tags, float), np.array(firsts, bool)
+    y, first, weight = np.array(tags, float), np.array(firsts, bool), np.array(weighs, float)
     if y.any():
-        slot = np.array(index, np.int32)
+        slot = np.array(table, np.int32).reshape(-1, OWN)[np.array(index, np.int32)]
         last = np.roll(first, -1)
         state = y.astype(int)
-        seen_start = np.array([(state[first] == 0).sum(), (state[first] == 1).sum()], float)
+        seen_start = np.bincount(state[first], weight[first], 2)
         seen = np.zeros((2, 2))
-        np.add.at(seen, (state[:-1][~first[1:]], state[1:][~first[1:]]), 1.0)
+        np.add.at(seen, (state[:-1][~first[1:]], state[1:][~first[1:]]), weight[1:][~first[1:]])
         sums = [np.full_like(weights, 1e-2), 1e-2, np.full((2, 2), 1e-2), np.full(2, 1e-2)]
-        scale = 1.0 / max(1.0, y.sum())
+        scale = 1.0 / max(1.0, (weight * y).sum())
         for _ in range(EPOCHS):
             left, right = np.roll(weights[slot[:, 0]], 1), np.roll(weights[slot[:, 1]], -1)
             left[first], right[last] = 0, 0
             own_score = sum(weights[slot[:, c]] for c in range(2, slot.shape[1]))
-            p, begun, moved = marginals(own_score + bias + left + right, first, trans, start, pairs=True)
-            miss = (y - p) * scale
+            p, begun, moved = marginals(own_score + bias + left + right, first, trans, start, True, weight)
+            miss = weight * (y - p) * scale
             g = sum(np.bincount(slot[:, c], miss, 1 << BITS) for c in range(2, slot.shape[1]))
             to_left, to_right = np.roll(miss, -1), np.roll(miss, 1)  # the next word sees this one as its left neighbour
             to_left[last], to_right[first] = 0, 0
@@ -275,7 +296,7 @@ def _fit_crf(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             weights = weights + RATE * steps[0] / np.sqrt(sums[0])
             bias, trans, start = (v + RATE * d / np.sqrt(h) for v, d, h in zip((bias, trans, start), steps[1:], sums[1:]))
     yield pd.DataFrame({"weights": [weights.astype("<f4").tobytes()], "rest": [[float(bias), *trans.ravel(), *start]]})
-    index = own = tags = firsts = slot = None  # noqa: F841  the largest ones
+    table = index = tags = firsts = weighs = slot = weight = None  # noqa: F841  the largest ones
     give_back()
 
 
@@ -325,9 +346,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     g2 = 2 * (part("bad", bad, "good", good) + part("good", good, "bad", bad))
     marked = counts.withColumn("g2", g2).where((F.col("g2") >= MIN_G2) & (F.col("bad") * good > 20 * F.col("good") * bad))
     lexicon = frozenset(r["feature"] for r in marked.orderBy(F.desc("g2"), "feature").limit(LEXICON).collect())
-    segments = sample.mapInPandas(_segments(lexicon), "key long, words array<string>, tags array<boolean>")
-    tagged = segments.orderBy(~F.exists("tags", lambda t: t), "key").limit(SEGMENTS)
-    row = tagged.coalesce(1).mapInPandas(_fit_crf, "weights binary, rest array<double>").collect()[0]
+    schema = "key long, toxic int, tagged boolean, words array<string>, tags array<boolean>"
+    segments = draw(stage(sample.mapInPandas(_segments(lexicon), schema), "toxic-segments"), per_toxic, per_clean)
+    row = segments.coalesce(1).mapInPandas(_fit_crf, "weights binary, rest array<double>").collect()[0]
     rest = np.array(row["rest"])
     model = Model(np.frombuffer(row["weights"], "<f4").astype(float), float(rest[0]), rest[1:5].reshape(2, 2), rest[5:7], np.zeros(3))
 

@@ -63,3 +63,25 @@ def test_without_labels_and_empty(shipped, docs):
     got = toxicity.drop_toxic(df, none)
     assert got.columns == df.columns and got.count() == 2
     assert toxicity.document_scores(docs([]), none).count() == 0
+
+
+def test_many_tagged_segments_leave_the_untagged_their_share(shipped, monkeypatch):
+    monkeypatch.setattr(toxicity, "TAGGED", 30)
+    monkeypatch.setattr(toxicity, "UNTAGGED", 20)
+    rows = [(k * 7919 % 1000, int(k < 300), k < 200, [f"w{k}"], [k < 200]) for k in range(400)]
+    segments = shipped.createDataFrame(rows, "key long, toxic int, tagged boolean, words array<string>, tags array<boolean>")
+    drawn = toxicity.draw(segments, 1.0, 1.0).collect()
+    assert sum(r.tags == [True] for r in drawn) == 30 and sum(r.tags == [False] for r in drawn) == 20
+    assert abs(sum(r.weight for r in drawn if r.tags[0]) - 200) < 1e-9 and abs(sum(r.weight for r in drawn if not r.tags[0]) - 200) < 1e-9
+    clean = [r for r in drawn if int(r.words[0][1:]) >= 300]
+    assert clean and sum(r.weight for r in toxicity.draw(segments, 1.0, 3.0).collect() if int(r.words[0][1:]) >= 300) == 3 * sum(r.weight for r in clean)
+
+
+def test_a_weight_is_that_many_copies():
+    import pandas as pd
+    words, tags = [["a", "scum", "b"], ["a", "b"], ["c"]], [[False, True, False], [False, False], [False]]
+    one = next(toxicity._fit_crf(iter([pd.DataFrame({"words": words, "tags": tags, "weight": [2.0, 3.0, 1.0]})])))
+    n = [0, 0, 1, 1, 1, 2]
+    more = next(toxicity._fit_crf(iter([pd.DataFrame({"words": [words[i] for i in n], "tags": [tags[i] for i in n], "weight": 1.0})])))
+    assert np.allclose(one["rest"][0], more["rest"][0])
+    assert np.allclose(np.frombuffer(one["weights"][0], "<f4"), np.frombuffer(more["weights"][0], "<f4"), atol=1e-5)
