@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm import ann, bpe, chat, exact, maxent, minhash, mixing, separators, toxicity, wrappers
+from cuelake.llm import ann, bpe, chat, exact, maxent, minhash, mixing, separators, toxicity, wordbpe, wrappers
 from cuelake.llm.common import documents
 from cuelake.sources.scratch import scratch_path
 
@@ -133,6 +133,11 @@ def op5(spark, sf):
     return wrappers.main_texts(spark.read.parquet(f"{sf}/pages.parquet"))
 
 
+@query("op13_heap_bpe")
+def op13(spark, sf):
+    return wordbpe.token_digests(documents(spark, sf), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query("pipeline")
 def pipeline(spark, sf):
     import corpus_pipeline
