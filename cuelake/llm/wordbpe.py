@@ -37,54 +37,60 @@ SHIFT = 20  # symbols per word in a heap entry are 2^32 at most, ids 2^20
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 
 
+#: The normalizer and the word pattern for which the words of a run of printable
+#: ASCII are known without the library, and these words in lower case.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+                                                  {"type": "Lowercase"}]}
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+ASCII_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+"
+
+
 class Merger:
     """Merges one word into ids."""
 
     def __init__(self, vocabulary: dict[str, int], merges: list, suffix: str):
         self.vocabulary, self.suffix = vocabulary, suffix
-        self.pairs: dict[int, tuple[int, int]] = {}
+        self.pairs: dict[int, int] = {}  # two ids -> rank and the id that the merge makes
         for rank, pair in enumerate(merges):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.pairs[vocabulary[a] << SHIFT | vocabulary[b]] = rank, vocabulary[a + b]
+            self.pairs[vocabulary[a] << SHIFT | vocabulary[b]] = rank << SHIFT | vocabulary[a + b]
 
     def ids(self, word: str) -> list[int]:
-        get = self.vocabulary.get
-        symbols = [s for s in (*map(get, word[:-1]), get(word[-1:] + self.suffix)) if s is not None]
+        get, merge = self.vocabulary.get, self.pairs.get
+        symbols = list(map(get, word))
+        symbols[-1] = get(word[-1] + self.suffix)
+        if None in symbols:
+            symbols = [s for s in symbols if s is not None]
         n = len(symbols)
-        merge = self.pairs.get
-        rank_at, made = [-1] * n, [0] * n  # of the pair that starts at a symbol
-        queue = []
-        for i in range(n - 1):
-            found = merge(symbols[i] << SHIFT | symbols[i + 1])
-            if found:
-                rank_at[i], made[i] = found
-                queue.append(found[0] << 32 | i)
+        merge_at = [merge(a << SHIFT | b) for a, b in zip(symbols, symbols[1:])]  # of a symbol and the next one, if they can merge
+        queue = [m << 32 | i for i, m in enumerate(merge_at) if m is not None]
         if not queue:
             return symbols
         heapify(queue)
+        merge_at.append(None)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while queue:
             entry = heappop(queue)
             i = entry & 0xFFFFFFFF
-            if rank_at[i] != entry >> 32:
+            if merge_at[i] != entry >> 32:
                 continue  # stale: a neighbour took part in another merge
+            made = entry >> 32 & (1 << SHIFT) - 1
             j = after[i]
-            symbols[i], symbols[j], rank_at[i], rank_at[j] = made[i], -1, -1, -1
+            symbols[i], symbols[j], merge_at[j] = made, None, None
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                found = merge(symbols[i] << SHIFT | symbols[k])
-                if found:
-                    rank_at[i], made[i] = found
-                    heappush(queue, found[0] << 32 | i)
+                m = merge_at[i] = merge(made << SHIFT | symbols[k])
+                if m is not None:
+                    heappush(queue, m << 32 | i)
+            else:
+                merge_at[i] = None
             p = before[i]
             if p >= 0:
-                rank_at[p] = -1
-                found = merge(symbols[p] << SHIFT | symbols[i])
-                if found:
-                    rank_at[p], made[p] = found
-                    heappush(queue, found[0] << 32 | p)
-        return [s for s in symbols if s >= 0]
+                m = merge_at[p] = merge(symbols[p] << SHIFT | made)
+                if m is not None:
+                    heappush(queue, m << 32 | p)
+        return [s for s in symbols if s is not None]
 
 
 class Codec:
@@ -109,6 +115,9 @@ class Codec:
             self.strings[token["id"]] = token["content"].encode()
         longest_first = sorted(self.special, key=len, reverse=True)
         self.specials = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if longest_first else None
+        self.ascii_words = None
+        if config["normalizer"] == NORMALIZER and config["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] == WORDS:
+            self.ascii_words = re.compile(ASCII_WORDS).findall  # the same for ASCII runs, without the library
         self.runs = re.compile(f"[^{SPACE}]+").findall
         self.of_word = Recent(self._word, REMEMBERED, REMEMBERED_CHARS)
         self.of_run = Recent(self._run, REMEMBERED, REMEMBERED_CHARS)
@@ -117,7 +126,11 @@ class Codec:
         return self._packed(self.merger.ids(word))
 
     def _run(self, run: str) -> tuple[bytes, bytes]:
-        return _joined([self.of_word[word] for word, _ in self.cut(self.normalize(run))])
+        if self.ascii_words and run.isascii() and run.isprintable():  # bytes that stand for themselves
+            words = self.ascii_words(run.lower())
+        else:
+            words = [word for word, _ in self.cut(self.normalize(run))]
+        return self.of_word[words[0]] if len(words) == 1 else _joined([self.of_word[word] for word in words])
 
     def _packed(self, ids: list[int]) -> tuple[bytes, bytes]:
         return b"".join([i.to_bytes(4, "little") for i in ids]), b"".join([b" " + self.strings[i] for i in ids])
@@ -139,7 +152,8 @@ class Codec:
 
 
 def _joined(pairs: list[tuple[bytes, bytes]]) -> tuple[bytes, bytes]:
-    return b"".join([p[0] for p in pairs]), b"".join([p[1] for p in pairs])
+    ids, decoded = zip(*pairs) if pairs else ((), ())
+    return b"".join(ids), b"".join(decoded)
 
 
 @functools.lru_cache(maxsize=2)

@@ -45,8 +45,8 @@ def test_every_code_point(library):
     codec = wordbpe.Codec(PATH)
     points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     for joint in (" ", "a"):  # alone, and where it may end a word
-        for i in range(0, len(points), 20_000):
-            text = joint.join(points[i:i + 20_000])
+        for i in range(0, len(points), 2000):
+            text = joint.join(points[i:i + 2000])
             assert codec.both(text)[0] == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
@@ -57,11 +57,11 @@ def test_queue_equals_merging_by_lowest_rank():
         word = "".join(rng.choice("aenrst") for _ in range(rng.randint(1, 40)))
         s = [merger.vocabulary[c] for c in word[:-1]] + [merger.vocabulary[word[-1] + merger.suffix]]
         while True:
-            found = [(merger.pairs[a << wordbpe.SHIFT | b][0], i) for i, (a, b) in enumerate(zip(s, s[1:])) if a << wordbpe.SHIFT | b in merger.pairs]
+            found = [(merger.pairs[a << wordbpe.SHIFT | b] >> wordbpe.SHIFT, i) for i, (a, b) in enumerate(zip(s, s[1:])) if a << wordbpe.SHIFT | b in merger.pairs]
             if not found:
                 break
             i = min(found)[1]
-            s[i:i + 2] = [merger.pairs[s[i] << wordbpe.SHIFT | s[i + 1]][1]]
+            s[i:i + 2] = [merger.pairs[s[i] << wordbpe.SHIFT | s[i + 1]] & (1 << wordbpe.SHIFT) - 1]
         assert merger.ids(word) == s
 
 
