@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm import ann, bpe, chat, exact, maxent, minhash, mixing, separators, toxicity, variants, wordbpe, wrappers
+from cuelake.llm import ann, bpe, chat, crosstok, exact, maxent, minhash, mixing, separators, toxicity, variants, wordbpe, wrappers
 from cuelake.llm.common import documents
 from cuelake.sources.scratch import scratch_path
 
@@ -133,6 +133,11 @@ def op5(spark, sf):
     return wrappers.main_texts(spark.read.parquet(f"{sf}/pages.parquet"))
 
 
+@query("op11_hash_alignment")
+def op11(spark, sf):
+    return crosstok.group_digests(documents(spark, sf), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query("op12_sorted_list_variants")
 def op12(spark, sf):
     return variants.spelling_variants(documents(spark, sf))
