@@ -40,7 +40,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with the digests that prove the round trip."""
     ship(spark)
     path, pattern = public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN
-    both = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, pattern).drop("text"), path, pattern)
+    both = bpe.encode_and_decode(docs.select("doc_id", "lang", "source", "text"), path, pattern, keep=["doc_id", "lang", "source"])
     return both.select("doc_id", "lang", "source", F.expr("octet_length(ids) div 4").cast("bigint").alias("n_tokens"), "ids",
                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

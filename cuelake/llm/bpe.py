@@ -5,7 +5,8 @@ byte positions; the adjacent pairs that form a token lie in one bucket per merge
 gives the lowest one by find-first-set. Buckets hand out their leftmost position; entries that a neighbouring merge has made stale
 are skipped. A merge touches two pairs, so a pre-token of n bytes costs O(n log n) at worst, however long it is.
 
-Each Python worker remembers the ids of up to CACHE short pre-tokens; that bounds its memory and changes no result.
+Each Python worker remembers the ids of recent short pre-tokens in two generations of REMEMBERED each, the older of which is dropped when the younger is
+full; that bounds its memory and changes no result.
 
 Defined cases: a null text is encoded as an empty one, which has no ids; special tokens do not exist, their strings are ordinary text; ids
 are little-endian unsigned 32-bit integers in one binary per row; all other columns, whatever their names, are passed on.
@@ -15,17 +16,17 @@ from __future__ import annotations
 
 import base64
 import functools
-from collections.abc import Iterator
 from heapq import heappop, heappush
 
 import numpy as np
-import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CACHE, CACHED_CHARS, ROWS_OUT = 250_000, 48, 512
+from cuelake.llm.common import Recent, add_columns
+
+REMEMBERED, REMEMBERED_CHARS = 250_000, 48
 _BITS = tuple(1 << i for i in range(256))
 
 
@@ -47,17 +48,17 @@ class RankMerger:
         if piece in self.ranks:
             return [piece]
         n, top = len(piece), 0
-        after, before, rank_at = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n
-        for i in range(n - 1):
-            r = get(piece[i:i + 2])
+        rank_at = [get(piece[i:i + 2]) for i in range(n - 1)]
+        rank_at.append(None)
+        for i, r in enumerate(rank_at):
             if r is not None:
-                rank_at[i] = r
                 bucket = buckets[r]
                 if not bucket:
                     w = r >> 8
                     words[w] |= bits[r & 255]
                     top |= 1 << w
                 bucket.append(i)  # positions rise, so the list is a heap
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while top:
             w = (top & -top).bit_length() - 1
             word = words[w]
@@ -75,37 +76,28 @@ class RankMerger:
             if rank_at[i] != r:
                 continue
             j = after[i]
-            k = after[j]
-            after[i] = k
-            rank_at[j] = rank_at[i] = -1
+            k = after[i] = after[j]
+            rank_at[j] = rank_at[i] = None
+            made = []
             if k < n:
                 before[k] = i
-                r = get(piece[i:after[k]])
+                r = rank_at[i] = get(piece[i:after[k]])
                 if r is not None:
-                    rank_at[i] = r
-                    bucket = buckets[r]
-                    if bucket:
-                        heappush(bucket, i)
-                    else:
-                        bucket.append(i)
-                        w = r >> 8
-                        words[w] |= bits[r & 255]
-                        top |= 1 << w
+                    made.append((r, i))
             p = before[i]
             if p >= 0:
-                r = get(piece[p:k])
-                if r is None:
-                    rank_at[p] = -1
+                r = rank_at[p] = get(piece[p:k])
+                if r is not None:
+                    made.append((r, p))
+            for r, at in made:
+                bucket = buckets[r]
+                if bucket:
+                    heappush(bucket, at)
                 else:
-                    rank_at[p] = r
-                    bucket = buckets[r]
-                    if bucket:
-                        heappush(bucket, p)
-                    else:
-                        bucket.append(p)
-                        w = r >> 8
-                        words[w] |= bits[r & 255]
-                        top |= 1 << w
+                    bucket.append(at)
+                    w = r >> 8
+                    words[w] |= bits[r & 255]
+                    top |= 1 << w
         out, i = [], 0
         while i < n:
             k = after[i]
@@ -114,35 +106,26 @@ class RankMerger:
         return out
 
 
-class PieceIds(dict):
-    """Pre-token -> its ids as bytes, filled on demand."""
-
-    def __init__(self, merger: RankMerger):
-        super().__init__()
-        self.tokens = merger.tokens
-        self.packed = {token: rank.to_bytes(4, "little") for token, rank in merger.ranks.items()}
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = b"".join(map(self.packed.__getitem__, self.tokens(piece.encode())))
-        if len(piece) <= CACHED_CHARS:
-            if len(self) >= CACHE:
-                self.clear()
-            self[piece] = ids
-        return ids
-
-
 class Codec:
     def __init__(self, ranks_path: str, pattern: str):
         ranks = read_ranks(ranks_path)
         self.split = regex.compile(pattern).findall
-        self.pieces = PieceIds(RankMerger(ranks))
+        self.merger = RankMerger(ranks)
+        self.packed = {token: rank.to_bytes(4, "little") for token, rank in ranks.items()}
+        self.pieces = Recent(self._piece, REMEMBERED, REMEMBERED_CHARS)
         self.tokens = {rank: token for token, rank in ranks.items()}
 
-    def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.split(text))) if text else b""
+    def _piece(self, piece: str) -> bytes:
+        return b"".join(map(self.packed.__getitem__, self.merger.tokens(piece.encode())))
+
+    def encode(self, text: str | None) -> tuple[bytes]:
+        return (b"".join(map(self.pieces.__getitem__, self.split(text))) if text else b""),
+
+    def decode(self, ids: bytes | None) -> tuple[bytes]:
+        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids or b"", "<u4").tolist())),
 
-    def decode(self, ids: bytes | None) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
+    def both(self, text: str | None) -> tuple[bytes, bytes]:
+        return *(ids := self.encode(text)), *self.decode(*ids)
 
 
 @functools.lru_cache(maxsize=4)
@@ -150,33 +133,31 @@ def codec(ranks_path: str, pattern: str) -> Codec:
     return Codec(ranks_path, pattern)
 
 
-def _added(df: DataFrame, name: str, source: str, how: str, ranks_path: str, pattern: str) -> DataFrame:
-    at = df.columns.index(source)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from cuelake.llm import bpe  # the worker's own module: its cache outlives the task
-        act = getattr(bpe.codec(ranks_path, pattern), how)
-        for whole in batches:
-            for start in range(0, whole.num_rows, ROWS_OUT):
-                batch = whole.slice(start, ROWS_OUT)
-                made = pa.array([act(v.as_py()) for v in batch.column(at)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, name])
-
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.BinaryType())]))
+def _method(name: str, ranks_path: str, pattern: str):
+    def load():
+        from cuelake.llm import bpe  # the worker's own module: what it remembers outlives the task
+        return getattr(bpe.codec(ranks_path, pattern), name)
+    return load
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """All columns, and the token ids of the text."""
-    return _added(df, ids, text, "encode", ranks_path, pattern)
+    return add_columns(df, text, [T.StructField(ids, T.BinaryType())], _method("encode", ranks_path, pattern))
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """All columns, and the bytes that the ids stand for."""
-    return _added(df, decoded, ids, "decode", ranks_path, pattern)
+    return add_columns(df, ids, [T.StructField(decoded, T.BinaryType())], _method("decode", ranks_path, pattern))
+
+
+def encode_and_decode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """All columns (or those of `keep`), `ids` and what they decode to, `decoded`; the text goes to Python once."""
+    made = [T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())]
+    return add_columns(df, text, made, _method("both", ranks_path, pattern), keep)
 
 
 def token_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Per document: number of tokens, and digests of its ids and of what they decode to."""
-    both = decode(encode(docs.select("doc_id", "text"), ranks_path, pattern).drop("text"), ranks_path, pattern)
+    both = encode_and_decode(docs.select("doc_id", "text"), ranks_path, pattern, keep=["doc_id"])
     return both.select("doc_id", F.expr("octet_length(ids) div 4").cast("bigint").alias("n_tokens"),
                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -30,5 +30,5 @@ def test_forgetting_pieces_changes_nothing(monkeypatch):
     codec = bpe.Codec(PATH, public_tokenizers.PATTERN)
     text = " ".join(f"thwh{i}ndon" for i in range(300))
     want = codec.encode(text)
-    monkeypatch.setattr(bpe, "CACHE", 7)
+    monkeypatch.setattr(bpe, "REMEMBERED", 7)
     assert bpe.Codec(PATH, public_tokenizers.PATTERN).encode(text) == want
