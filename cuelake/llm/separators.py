@@ -1,11 +1,13 @@
 """Token counts of documents in flat token files, which hold nothing but token ids with an end-of-document id after each document.
 
-Files are cut into blocks. Each block is searched with NumPy for the separator, on its own; a row per block then goes through a prefix scan
-per file (documents before the block, last separator before it), and the scan gives the document that crosses into a block its start.
-Nothing but separator positions is shuffled, and no task sees more than one file's bytes.
+Files are cut into blocks of bytes, and each block is read and searched with NumPy for the separator on its own, so one huge file is spread over all
+tasks. A small row per block then goes through a prefix scan per file (documents before the block, last separator before it); joined back to the
+blocks, the scan gives the document that crosses into a block its start, and the blocks write their documents in parallel.
 
 Defined cases: an empty document has 0 tokens; tokens after the last separator of a file are one document with `ended` false; bytes that do not
-fill a token at the end of a file are ignored; an empty file has no documents. Files are limited to 2 GB by Spark's binary reader.
+fill a token at the end of a file are ignored; an empty file has no documents; a null text is written as an empty one; repeated rows are documents of
+their own; other columns, whatever their names, are ignored. Files of any size are read, but where Arrow cannot open the store (see
+`cuelake.sources.ranges`), files over 2 GB fail.
 
 `write_token_files` makes such files from texts: 16-bit ids, a file per task. Its separator is the id whose bytes are two line feeds, so that
 Spark's text writer writes it; the tokenizer's token with that id gets the free id `spare`.
@@ -22,9 +24,12 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cuelake.llm.common import slices, stage
+from cuelake.sources.ranges import read_ranges
+
 END = 0x0A0A
 WIDTH = 2
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 4 << 20
 
 
 @functools.lru_cache(maxsize=2)
@@ -38,9 +43,9 @@ def write_token_files(docs: DataFrame, path: str, ranks_path: str, pattern: str,
         from cuelake.llm import separators
         encode = separators._tokenizer(ranks_path, pattern).encode_ordinary
         for whole in batches:
-            for start in range(0, whole.num_rows, 512):
+            for batch in slices(whole, 0):
                 out = []
-                for text in whole.column(0).slice(start, 512):
+                for text in batch.column(0):
                     ids = np.array(encode(text.as_py() or ""), np.uint16)
                     ids[ids == END] = spare
                     out.append(ids.astype("<u2").tobytes())
@@ -51,10 +56,8 @@ def write_token_files(docs: DataFrame, path: str, ranks_path: str, pattern: str,
 
 
 def token_blocks(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(file, block, data) of all files under a path; block_bytes is a multiple of the token width."""
-    files = spark.read.format("binaryFile").load(path).where("length > 0").select(F.col("path").alias("file"), "length", "content")
-    blocks = files.select("file", "content", F.explode(F.sequence(F.lit(0), F.expr(f"cast((length - 1) div {block_bytes} as int)"))).alias("block"))
-    return blocks.select("file", "block", F.substring("content", F.col("block") * block_bytes + 1, F.lit(block_bytes)).alias("data"))
+    """(file, block, data) of all files under a path, each block read by itself; block_bytes is a multiple of the token width."""
+    return read_ranges(spark, path, block_bytes)
 
 
 def _scan(end: int, width: int, block_bytes: int):
@@ -72,19 +75,20 @@ def _scan(end: int, width: int, block_bytes: int):
 
 
 def document_tokens(blocks: DataFrame, end: int = END, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """file, doc_no (from 0 in its file), first_token, n_tokens, ended."""
-    found = blocks.select("file", "block", "data").mapInArrow(_scan(end, width, block_bytes), "file string, block int, tokens long, ends array<long>")
+    """file, doc_no (from 0 in its file), first_token, n_tokens, ended. Runs a job: separator positions are staged, blocks are read once."""
+    found = stage(blocks.select("file", F.col("block").cast("bigint").alias("block"), "data").mapInArrow(_scan(end, width, block_bytes), "file string, block long, tokens long, ends array<long>"),
+                  "separators")
     order = Window.partitionBy("file").orderBy("block")
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    scanned = (found.withColumn("doc_base", F.coalesce(F.sum(F.size("ends")).over(earlier), F.lit(0)))
-               .withColumn("open", F.coalesce(F.max(F.array_max("ends")).over(earlier) + 1, F.lit(0)))
-               .withColumn("last", F.lead(F.lit(False), 1, True).over(order)))
-    after = F.transform("ends", lambda e: e + 1)
-    starts = F.concat(F.array("open"), after)
+    each = found.select("file", "block", F.size("ends").cast("bigint").alias("n"), F.array_max("ends").alias("last_end"))  # one small row a block
+    carry = each.select("file", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("doc_base"),
+                        F.coalesce(F.max("last_end").over(earlier) + 1, F.lit(0)).alias("open"), F.lead(F.lit(False), 1, True).over(order).alias("last"))
+    scanned = found.join(carry, ["file", "block"])
+    starts = F.concat(F.array("open"), F.transform("ends", lambda e: e + 1))
     upto = F.col("block") * (block_bytes // width) + F.col("tokens")
     rest = F.when(F.col("last") & (F.element_at(starts, -1) < upto), F.array(upto)).otherwise(F.array().cast("array<long>"))
     stops = F.concat("ends", rest)
-    each = F.posexplode(F.arrays_zip(F.slice(starts, F.lit(1), F.size(stops)).alias("start"), stops.alias("stop"))).alias("at", "d")
-    return (scanned.select("file", "doc_base", F.size("ends").alias("n"), each)
+    documents = F.posexplode(F.arrays_zip(F.slice(starts, F.lit(1), F.size(stops)).alias("start"), stops.alias("stop"))).alias("at", "d")
+    return (scanned.select("file", "doc_base", F.size("ends").alias("n"), documents)
             .select("file", (F.col("doc_base") + F.col("at")).alias("doc_no"), F.col("d.start").alias("first_token"),
                     (F.col("d.stop") - F.col("d.start")).alias("n_tokens"), (F.col("at") < F.col("n")).alias("ended")))

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from cuelake.llm import ann
@@ -60,3 +61,35 @@ def test_probes_begin_at_home_and_cost_rises():
 
 def test_empty(shipped):
     assert ann.nearest(frame(shipped, []), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def answers(shipped, rows, asked):
+    got = {}
+    for r in ann.nearest(frame(shipped, rows), asked).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    return got
+
+
+@pytest.mark.parametrize("n", [2, 3, 7, 10])
+def test_few_vectors_are_all_found(shipped, n):
+    rng = np.random.default_rng(n)
+    rows = [(i * 50, rng.normal(size=64)) for i in range(n)]
+    assert answers(shipped, rows, F.lit(True)) == {q: [i for i, _ in near] for q, near in brute(rows).items()}
+
+
+def test_opposite_and_rare_lengths(shipped):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=32)
+    rows = [(0, v)] + [(i, -v + rng.normal(size=32) * 0.1) for i in range(1, 40)] + [(50, [1.0, 2.0]), (51, [-2.0, -1.0])]
+    got = answers(shipped, rows, F.col("vec_id") % 50 == 0)
+    assert got == {q: [i for i, _ in near] for q, near in brute(rows).items()} and got[50] == [51]
+
+
+def test_many_parallel_vectors(shipped):
+    rng = np.random.default_rng(11)
+    v = np.float32(rng.normal(size=16))
+    twos = [(i, v * np.float32(2.0) ** (i % 41 - 20)) for i in range(1, 41)] + [(50, v)]
+    assert answers(shipped, twos, F.col("vec_id") == 50) == {50: [1, 2, 3, 4, 5]}
+    v = np.float32(np.arange(1, 17))
+    threes = [(i, v * np.float32(2 * i + 1)) for i in range(1, 41)] + [(100, v)]
+    assert all(len(a) == 5 and max(a) <= 12 for a in answers(shipped, threes, F.col("vec_id") == 100).values())

@@ -45,3 +45,17 @@ def test_written_files(shipped, docs):
     empty = scratch_path(shipped, "flat")
     separators.write_token_files(docs([]), empty, ranks, public_tokenizers.PATTERN, 50256)
     assert separators.document_tokens(separators.token_blocks(shipped, empty)).count() == 0
+
+
+def test_one_file_over_many_tasks(shipped, tmp_path):
+    from pyspark.sql import functions as F
+    ids = np.random.default_rng(1).integers(0, 50, 40_000)
+    folder = tmp_path / "with blank %41"
+    folder.mkdir()
+    (folder / "big.bin").write_bytes(ids.astype("<u2").tobytes())
+    (folder / "empty.bin").write_bytes(b"")
+    blocks = separators.token_blocks(shipped, str(folder), 1000)
+    assert blocks.select(F.spark_partition_id()).distinct().count() > 1
+    got = separators.document_tokens(blocks, end=7, block_bytes=1000).orderBy("doc_no").collect()
+    assert [(r.doc_no, r.first_token, r.n_tokens, r.ended) for r in got] == brute(ids.tolist(), 7)
+    assert got[0].file.endswith("big.bin")
