@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from cuelake.functions import text as T
 
-LANE_CELLS = 1 << 18
+LANE_CELLS, LANES = 1 << 18, 1024
+FIRST_MARGIN = 8
 GLYPHS = "".join(chr(0x4E00 + i) for i in range(20_000))
 EDITS = StructType([StructField("distance", IntegerType()), StructField("substitutions", IntegerType())])
 
@@ -23,82 +25,152 @@ def unpaired_transcripts(reference: DataFrame, hypothesis: DataFrame, key: str |
     return reference.join(hypothesis, key, "left_anti")
 
 
-def _edit_batch(refs: list, hyps: list) -> tuple[np.ndarray, np.ndarray]:
-    """Distance and substitutions of the cheapest alignments of several pairs at once.
+def _band(refs: list[np.ndarray], hyps: list[np.ndarray], limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distance and substitutions of the cheapest alignments of several pairs of word numbers within a band of the edit table.
 
-    The cost is one number: the distance times more than there can be substitutions, plus the substitutions. One table row per step, one lane per pair; shorter pairs are padded and read off at their own corner.
+    The band of a pair holds all cells of alignments with up to `limit` edits, so a distance up to the limit is exact, and a larger one an upper
+    bound; the limit is the difference in length at least. The cost is one number: the distance times more than there can be substitutions, plus
+    the substitutions. Cells are kept by diagonal, one table row per step, one lane per pair; shorter pairs are read off when their rows end.
     """
     n, m = np.array([len(r) for r in refs]), np.array([len(h) for h in hyps])
     unit = int(max(n.max(), m.max())) + 1
-    ids: dict[str, int] = {}
-    number = lambda words: [ids.setdefault(w, len(ids)) for w in words]
-    ref = np.full((len(refs), n.max()), -1)
-    hyp = np.full((len(refs), m.max()), -2)
+    below = (limit + n - m) // 2  # diagonals below the main one
+    end = (m - n) + below
+    width = int(max(end.max(), ((limit + m - n) // 2 + below).max())) + 1
+    ref = np.full((len(refs), int(n.max())), -1, np.int64)
+    hyp = np.full((len(refs), int(n.max()) + width + 1), -2, np.int64)
     for k, (r, h) in enumerate(zip(refs, hyps)):
-        ref[k, :len(r)], hyp[k, :len(h)] = number(r), number(h)
-    steps = np.arange(hyp.shape[1] + 1, dtype=np.int64) * unit
-    row = np.tile(steps, (len(refs), 1))
-    cost = row[np.arange(len(refs)), m]
+        ref[k, :len(r)] = r
+        room = h[:hyp.shape[1] - below[k]]
+        hyp[k, below[k]:below[k] + len(room)] = room
+    steps = np.arange(width, dtype=np.int64) * unit
+    row = steps - below[:, None] * unit
+    row[row < 0] = 1 << 60
+    lanes = np.arange(len(refs))
+    cost = row[lanes, end]
     for i in range(ref.shape[1]):
-        best = np.empty_like(row)
-        best[:, 0] = (i + 1) * unit
-        best[:, 1:] = np.minimum(row[:, :-1] + np.where(hyp == ref[:, i:i + 1], 0, unit + 1), row[:, 1:] + unit)
-        row = np.minimum.accumulate(best - steps, axis=1) + steps
-        ends = np.flatnonzero(n == i + 1)
-        cost[ends] = row[ends, m[ends]]
+        best = row + np.where(hyp[:, i:i + width] == ref[:, i:i + 1], 0, unit + 1)
+        np.minimum(best[:, :-1], row[:, 1:] + unit, out=best[:, :-1])
+        best -= steps
+        row = np.minimum.accumulate(best, axis=1) + steps
+        done = n == i + 1
+        if done.any():
+            cost[done] = row[done, end[done]]
     return np.divmod(cost, unit)
 
 
-@F.pandas_udf(EDITS)
-def _align(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
-    distance, substitutions = np.zeros(len(ref), dtype=np.int64), np.zeros(len(ref), dtype=np.int64)
-    size = np.array([[len(r), len(h)] if r is not None else [0, 0] for r, h in zip(ref, hyp)]).reshape(-1, 2)
-    order = np.lexsort((size[:, 1], size[:, 0]))
-    order = order[size[order, 0] > 0]
-    at = 0
-    while at < len(order):
-        lanes = max(1, min(1024, LANE_CELLS // int(size[order[at:at + 1024], 1].max() + 1)))
-        some = order[at:at + lanes]
-        distance[some], substitutions[some] = _edit_batch([ref.iloc[k] for k in some], [hyp.iloc[k] for k in some])
-        at += lanes
-    return pd.DataFrame({"distance": distance, "substitutions": substitutions})
+def _trimmed(ref: np.ndarray, hyp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Without the common beginning and ending; a cheapest alignment matches both."""
+    for _ in range(2):
+        k = min(len(ref), len(hyp))
+        other = np.flatnonzero(ref[:k] != hyp[:k])
+        k = int(other[0]) if len(other) else k
+        ref, hyp = ref[k:][::-1], hyp[k:][::-1]
+    return ref, hyp
+
+
+def _least_edits(ref: np.ndarray, hyp: np.ndarray) -> int:
+    """A lower bound of the distance: words without a partner anywhere on the other side."""
+    words, times = np.unique(ref, return_counts=True)
+    others, other_times = np.unique(hyp, return_counts=True)
+    _, x, y = np.intersect1d(words, others, assume_unique=True, return_indices=True)
+    return max(len(ref), len(hyp)) - int(np.minimum(times[x], other_times[y]).sum())
+
+
+def edits(refs: list[np.ndarray], hyps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distance and substitutions of pairs of arrays of word numbers, exact, at a cost of length times distance a pair.
+
+    Each pair starts with a band a little over its lower bound; a pair whose result is over its band runs again in one twice as wide, or as wide as the
+    result, which is an upper bound.
+    """
+    distance, substitutions = np.zeros(len(refs), np.int64), np.zeros(len(refs), np.int64)
+    cut = [_trimmed(r, h) for r, h in zip(refs, hyps)]
+    limit = np.zeros(len(refs), np.int64)
+    todo = []
+    for k, (r, h) in enumerate(cut):
+        if len(r) and len(h):
+            least = _least_edits(r, h)
+            limit[k] = least + least // 8 + FIRST_MARGIN
+            todo.append(k)
+        else:
+            distance[k] = len(r) + len(h)
+    while todo:
+        todo.sort(key=lambda k: (limit[k].item().bit_length(), len(cut[k][0]), limit[k].item()))
+        again, at = [], 0
+        while at < len(todo):
+            widest = int(max(limit[k] for k in todo[at:at + LANES])) + 1
+            some = todo[at:at + max(1, min(LANES, LANE_CELLS // widest))]
+            widest = int(max(limit[k] for k in some))
+            limit[some] = widest
+            distance[some], substitutions[some] = _band([cut[k][0] for k in some], [cut[k][1] for k in some], widest)
+            for k in some:
+                if distance[k] > widest:
+                    limit[k] = min(int(distance[k]), 2 * widest)
+                    again.append(k)
+            at += len(some)
+        todo = again
+    return distance, substitutions
+
+
+@F.arrow_udf(EDITS)
+def _align(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+    """Edits between arrays of words; null where either is."""
+    sides = [s.flatten() for s in (ref, hyp)]
+    numbers = pa.concat_arrays(sides).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    ends = [np.cumsum(pc.fill_null(pc.list_value_length(s), 0).to_numpy(zero_copy_only=False)) for s in (ref, hyp)]
+    ends[1] = ends[1] + len(sides[0])
+    there = np.flatnonzero(pc.and_(ref.is_valid(), hyp.is_valid()).to_numpy(zero_copy_only=False))
+    starts = [np.concatenate([[0], ends[0][:-1]]), np.concatenate([[len(sides[0])], ends[1][:-1]])]
+    lists = [[numbers[starts[side][k]:ends[side][k]] for k in there] for side in (0, 1)]
+    found = np.zeros((2, len(ref)), np.int32)
+    if len(there):
+        found[:, there] = edits(*lists)
+    return pa.StructArray.from_arrays([pa.array(f) for f in found], ["distance", "substitutions"])
+
+
+def _words(pairs: DataFrame) -> DataFrame:
+    """Word lists _r and _h; a missing hypothesis has no words."""
+    return pairs.withColumn("_r", T.wer_tokens(F.col("ref"))).withColumn("_h", T.wer_tokens(F.coalesce("hyp", F.lit(""))))
 
 
 def wer(pairs: DataFrame, strict: bool = False) -> DataFrame:
-    """Alignment counts per pair (``ref``, ``hyp``). Equal texts are not sent to Python; pairs are spread over the
-    tasks by a hash of the whole row first, since the work of a pair grows with the product of its lengths. Rows that repeat a pair under
+    """Alignment counts per pair (``ref``, ``hyp``) of texts of any length. Equal texts are not sent to Python; pairs are spread over the
+    tasks by a hash of the whole row first, since the work of a pair grows with its length times its edits. Rows that repeat a pair under
     different keys so go to different tasks.
 
-    An empty reference has no rate: ``error`` says so, or the job fails in strict mode.
+    A missing (null) hypothesis has no words, so all reference words are deletions. An empty or missing reference has no rate: ``error``
+    says so, or the job fails in strict mode.
     """
-    p = pairs.withColumn("_r", T.wer_tokens(F.col("ref"))).withColumn("_h", T.wer_tokens(F.col("hyp")))
+    p = _words(pairs)
     p = p.repartition(F.xxhash64(*[c for c in p.columns if p.schema[c].dataType.typeName() != "map"]))
     n, m = F.size("_r"), F.size("_h")
-    empty = n == 0
-    work = ~empty & (F.col("_r") != F.col("_h"))
+    rated = F.col("ref").isNotNull() & (n > 0)
+    work = rated & (F.col("_r") != F.col("_h"))
     both = p.withColumn("_a", _align(F.when(work, F.col("_r")), F.when(work, F.col("_h"))))
     sub, dist = F.col("_a.substitutions"), F.col("_a.distance")
     ins = F.expr("(_a.distance - _a.substitutions - (size(_r) - size(_h))) div 2").cast("int")
-    problem = F.raise_error(F.lit("Reference transcript is empty")).cast("string") if strict else F.lit(
-        "Reference transcript is empty")
-    val = lambda c: F.when(~empty, c)
+    says = F.when(F.col("ref").isNull(), F.lit("Reference transcript is missing")).otherwise(F.lit("Reference transcript is empty"))
+    problem = F.raise_error(says).cast("string") if strict else says
+    val = lambda c: F.when(rated, c)
     return both.withColumns({
         "wer": val(dist / n), "substitutions": val(sub), "deletions": val(dist - sub - ins), "insertions": val(ins),
-        "ref_words": n, "hyp_words": m, "error": F.when(empty, problem)}).drop("_r", "_h", "_a")
+        "ref_words": F.when(F.col("ref").isNull(), 0).otherwise(n), "hyp_words": m,
+        "error": F.when(~rated, problem)}).drop("_r", "_h", "_a")
 
 
 def wer_distance(pairs: DataFrame) -> DataFrame:
-    """Distance only: each word of a pair becomes one character, then ``levenshtein``, without Python.
+    """Distance only: each word of a pair becomes one character, then ``levenshtein``, without Python. The cost is the product of the lengths.
 
-    Pairs of more different words than there are glyphs go through the edit table of ``wer``.
+    Pairs of more different words than there are glyphs go through the edit table of ``wer``. A missing hypothesis has no words; a
+    missing reference has no distance.
     """
-    p = pairs.withColumn("_r", T.wer_tokens(F.col("ref"))).withColumn("_h", T.wer_tokens(F.col("hyp")))
+    p = _words(pairs)
     p = p.withColumn("_d", F.array_distinct(F.concat("_r", "_h")))
     glyph = lambda w: F.substr(F.lit(GLYPHS), F.array_position("_d", w).cast("int"), F.lit(1))
     line = lambda c: F.array_join(F.transform(c, glyph), "")
     fits = F.size("_d") <= len(GLYPHS)
-    table = _align(F.when(~fits & (F.size("_r") > 0), F.col("_r")), F.when(~fits, F.col("_h")))["distance"]
-    far = F.when(fits, F.levenshtein(line("_r"), line("_h"))).when(F.size("_r") > 0, table).otherwise(F.size("_h"))
+    table = _align(F.when(~fits, F.col("_r")), F.when(~fits, F.col("_h")))["distance"]
+    far = F.when(F.col("ref").isNotNull(), F.when(fits, F.levenshtein(line("_r"), line("_h"))).otherwise(table))
     return p.withColumn("distance", far).drop("_r", "_h", "_d")
 
 

@@ -25,14 +25,14 @@ def seq_blocks(df: DataFrame, seq: str, rows: int = BLOCK_ROWS) -> DataFrame:
 def range_blocks(df: DataFrame, keys: list[str], order: list[str], partitions: int | None = None) -> DataFrame:
     """Blocks for rows without an integer sequence: Spark's range partitioner splits heavy keys by sampled order.
 
-    Block numbers are partition numbers, so the rows are written once to the shared scratch folder: both the
-    summary pass and the row pass must see the same numbers, also after an executor is lost.
+    A block is a stretch of at most BLOCK_ROWS rows of a sorted partition, however few partitions there are. The rows are written once
+    to the shared scratch folder: both the summary pass and the row pass must see the same blocks, also after an executor is lost.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = scratch_path(spark, "blocks")
-    (df.repartitionByRange(n, *keys, *order)
-       .withColumn(BLK, F.spark_partition_id().cast("bigint"))
+    (df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order)
+       .withColumn(BLK, F.expr(f"monotonically_increasing_id() div {BLOCK_ROWS}"))  # the partition and, in 33 bits, the row's place
        .write.parquet(path))
     return spark.read.parquet(path)
 

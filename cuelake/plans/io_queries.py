@@ -131,30 +131,31 @@ def archive_sessions(spark, sf):
 
 
 @query("read_transcript", with_views("v_words", """
-SELECT CAST(session_id % 4 AS VARCHAR) AS file, string_agg(word, ' ' ORDER BY session_id, utterance_id, pos) AS transcript
-FROM v_words GROUP BY 1"""))
+SELECT CAST(session_id % 4 AS VARCHAR) AS file, row_number() OVER (PARTITION BY session_id % 4 ORDER BY session_id, utterance_id) - 1 AS line_no,
+  string_agg(word, ' ' ORDER BY pos) AS text FROM v_words GROUP BY session_id, utterance_id"""))
 def read_transcript(spark, sf):
-    """Conversations as text files of four sources, one line per turn with blank lines between."""
-    c = v.table(spark, sf, "conversations").select(
-        (F.col("conv_id") % 4).alias("src"), "conv_id", "turn",
-        F.concat(F.regexp_replace("text", r"\s*\n\s*", " "), F.lit("\n\n")).alias("value"))
-    path = scratch_path(spark, "transcripts")
-    c.repartition(1, "src").sortWithinPartitions("src", "conv_id", "turn").select("src", "value").write.partitionBy("src").text(path)
-    t = R.read_transcript(spark, path)
-    return t.select(F.regexp_extract("file", r"src=(\d+)", 1).alias("file"), "transcript")
+    """Conversations as the transcripts of four sources, each in numbered text files, a line per turn with blank lines between."""
+    value = F.concat(F.regexp_replace("text", r"\s*\n\s*", " "), F.lit("\n\n"))
+    return _source_lines(spark, sf, value, "transcripts")
 
 
 @query("read_transcript_jsonl", with_views("v_words", """
-SELECT CAST(session_id % 4 AS VARCHAR) AS file, string_agg(word, ' ' ORDER BY session_id, utterance_id, pos) AS transcript
-FROM v_words GROUP BY 1"""))
+SELECT CAST(session_id % 4 AS VARCHAR) AS file, row_number() OVER (PARTITION BY session_id % 4 ORDER BY session_id, utterance_id) - 1 AS line_no,
+  coalesce(string_agg(word, ' ' ORDER BY pos), '') AS text
+FROM (SELECT conv_id AS session_id, turn AS utterance_id FROM conversations) LEFT JOIN v_words USING (session_id, utterance_id)
+GROUP BY session_id, utterance_id"""))
 def read_transcript_jsonl(spark, sf):
-    c = v.table(spark, sf, "conversations").select(
-        (F.col("conv_id") % 4).alias("src"), "conv_id", "turn", F.array_join(v.tokens(F.col("text")), " ").alias("text"))
-    path = scratch_path(spark, "jsonl")
-    (c.repartition(1, "src").sortWithinPartitions("src", "conv_id", "turn")
-      .select("src", F.to_json(F.struct("text")).alias("value")).write.partitionBy("src").text(path))
-    t = R.read_transcript(spark, path, jsonl=True)
-    return t.select(F.regexp_extract("file", r"src=(\d+)", 1).alias("file"), "transcript")
+    value = F.to_json(F.struct(F.array_join(v.tokens(F.col("text")), " ").alias("text")))
+    return _source_lines(spark, sf, value, "jsonl", jsonl=True)
+
+
+def _source_lines(spark, sf, value, name, jsonl=False):
+    """Turns range-sorted into as many numbered files per source as there are tasks, and read back in order."""
+    c = v.table(spark, sf, "conversations").select((F.col("conv_id") % 4).alias("src"), "conv_id", "turn", value.alias("value"))
+    path, order = scratch_path(spark, name), ["src", "conv_id", "turn"]
+    c.repartitionByRange(*order).sortWithinPartitions(*order).select("src", "value").write.partitionBy("src").text(path)
+    lines = R.read_transcript_lines(spark, path, jsonl=jsonl, folders=True)
+    return lines.select(F.regexp_extract("file", r"src=(\d+)", 1).alias("file"), "line_no", "text")
 
 
 @query("read_gpu_samples", """

@@ -274,6 +274,8 @@ def paginate_blocks(spark, sf):
 
 # --- accuracy ---
 
+WORD_LETTERS = r"\p{L}\p{N}\p{M}_\s''"
+
 DIST = f"""v_tok AS (SELECT doc_id, seg_no, lang, source, {tok('ref')} AS r, {tok('hyp')} AS h FROM v_pairs),
 v_glyph AS (SELECT *, list_distinct(list_concat(r, h)) AS d FROM v_tok),
 v_dist AS (SELECT doc_id, seg_no, lang, source, len(r) AS n, len(h) AS m, levenshtein(
@@ -281,50 +283,80 @@ v_dist AS (SELECT doc_id, seg_no, lang, source, len(r) AS n, len(h) AS m, levens
     array_to_string(list_transform(h, lambda w: chr(CAST(33 + list_position(d, w) AS INT))), '')) AS dist FROM v_glyph)"""
 
 
-@query("wer_distance", with_views("v_pairs", "SELECT doc_id, seg_no, dist AS distance FROM v_dist", extra=DIST))
+# Whole documents: SQL has no word-level edit distance over texts of this length, so these have no twins; the segments below have.
+
+@query("wer_distance")
 def wer_distance(spark, sf):
-    return W.wer_distance(v.transcript_pairs(spark, sf)).select("doc_id", "seg_no", "distance")
+    return W.wer_distance(v.transcript_pairs(spark, sf)).select("doc_id", "distance")
 
 
-@query("wer", with_views("v_pairs", """
-SELECT doc_id, seg_no, CASE WHEN n > 0 THEN round(dist / n, 6) END AS wer, n AS ref_words, m AS hyp_words,
-  CASE WHEN n > 0 THEN n - m END AS deletions_minus_insertions FROM v_dist""", extra=DIST))
+@query("wer")
 def wer(spark, sf):
     return W.wer(v.transcript_pairs(spark, sf)).select(
+        "doc_id", F.round("wer", 6).alias("wer"), "ref_words", "hyp_words", "substitutions", "deletions", "insertions", "error")
+
+
+@query("corpus_wer")
+def corpus_wer(spark, sf):
+    return rates(W.corpus_wer(W.wer(v.transcript_pairs(spark, sf)), ["lang", "source"]), "lang", "source")
+
+
+@query("accuracy_summary")
+def accuracy_summary(spark, sf):
+    return archived_accuracy(spark, sf, v.transcript_pairs(spark, sf))
+
+
+def rates(c, *keys):
+    return c.select(*keys, F.round("wer", 6).alias("wer"), F.round("accuracy", 6).alias("accuracy"), "ref_words", "segment_count")
+
+
+def archived_accuracy(spark, sf, pairs):
+    a = v.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("id"), F.lit(None).cast("double").alias("accuracy"), F.lit(0).alias("segment_count"))
+    s = W.accuracy_summary(a, W.corpus_wer(W.wer(pairs.withColumnRenamed("doc_id", "id")), ["id"]))
+    return s.select("id", F.round("accuracy", 6).alias("accuracy"), "segment_count", "accuracy_summary.ref_words")
+
+
+@query("segment_wer_distance", with_views("v_pairs", "SELECT doc_id, seg_no, dist AS distance FROM v_dist", extra=DIST))
+def segment_wer_distance(spark, sf):
+    return W.wer_distance(v.segment_pairs(spark, sf)).select("doc_id", "seg_no", "distance")
+
+
+@query("segment_wer", with_views("v_pairs", """
+SELECT doc_id, seg_no, CASE WHEN n > 0 THEN round(dist / n, 6) END AS wer, n AS ref_words, m AS hyp_words,
+  CASE WHEN n > 0 THEN n - m END AS deletions_minus_insertions FROM v_dist""", extra=DIST))
+def segment_wer(spark, sf):
+    return W.wer(v.segment_pairs(spark, sf)).select(
         "doc_id", "seg_no", F.round("wer", 6).alias("wer"), "ref_words", "hyp_words",
         (F.col("deletions") - F.col("insertions")).alias("deletions_minus_insertions"))
 
 
-@query("corpus_wer", with_views("v_pairs", """
+@query("segment_corpus_wer", with_views("v_pairs", """
 SELECT lang, source, round(sum(dist) / sum(n), 6) AS wer, round(1 - sum(dist) / sum(n), 6) AS accuracy,
   CAST(sum(n) AS BIGINT) AS ref_words, count(*) AS segment_count FROM v_dist WHERE n > 0 GROUP BY 1, 2""", extra=DIST))
-def corpus_wer(spark, sf):
-    c = W.corpus_wer(W.wer(v.transcript_pairs(spark, sf)), ["lang", "source"])
-    return c.select("lang", "source", F.round("wer", 6).alias("wer"), F.round("accuracy", 6).alias("accuracy"),
-                    "ref_words", "segment_count")
+def segment_corpus_wer(spark, sf):
+    return rates(W.corpus_wer(W.wer(v.segment_pairs(spark, sf)), ["lang", "source"]), "lang", "source")
 
 
-@query("accuracy_summary", with_views("v_pairs", """
+@query("segment_accuracy_summary", with_views("v_pairs", """
 SELECT d.doc_id AS id, round(1 - e / n, 6) AS accuracy, coalesce(k, 0) AS segment_count, n AS ref_words FROM documents d LEFT JOIN (
   SELECT doc_id, CAST(sum(dist) AS BIGINT) AS e, CAST(sum(n) AS BIGINT) AS n, count(*) AS k FROM v_dist WHERE n > 0 GROUP BY 1) v
   ON d.doc_id = v.doc_id""", extra=DIST))
-def accuracy_summary(spark, sf):
-    p = v.transcript_pairs(spark, sf).withColumnRenamed("doc_id", "id")
-    a = v.table(spark, sf, "documents").select(
-        F.col("doc_id").alias("id"), F.lit(None).cast("double").alias("accuracy"), F.lit(0).alias("segment_count"))
-    s = W.accuracy_summary(a, W.corpus_wer(W.wer(p), ["id"]))
-    return s.select("id", F.round("accuracy", 6).alias("accuracy"), "segment_count", "accuracy_summary.ref_words")
+def segment_accuracy_summary(spark, sf):
+    return archived_accuracy(spark, sf, v.segment_pairs(spark, sf))
 
 
-@query("pair_transcripts", with_views("v_pairs", """
-SELECT a.doc_id, a.seg_no, a.ref, b.hyp, b.hyp IS NOT NULL AS paired FROM v_pairs a
-LEFT JOIN (SELECT doc_id, seg_no, hyp FROM v_pairs WHERE doc_id % 4 <> 1) b ON a.doc_id = b.doc_id AND a.seg_no = b.seg_no"""))
+@query("pair_transcripts", rf"""
+WITH pairs AS (SELECT doc_id, text AS ref, array_to_string(list_filter(list_transform(r, lambda w, i: CASE WHEN (i - 1) % 11 = 5 THEN NULL
+      WHEN (i - 1) % 13 = 7 THEN 'zz' WHEN (i - 1) % 17 = 9 THEN w || ' qq' ELSE w END), lambda x: x IS NOT NULL), ' ') AS hyp
+  FROM (SELECT doc_id, text, {tok("regexp_replace(lower(text), '[^" + WORD_LETTERS + "]', '', 'g')")} AS r FROM documents))
+SELECT a.doc_id, a.ref, b.hyp, b.doc_id IS NOT NULL AS paired FROM pairs a LEFT JOIN (SELECT doc_id, hyp FROM pairs WHERE doc_id % 4 <> 1) b USING (doc_id)""")
 def pair_transcripts(spark, sf):
+    """Whole documents; those with an id of 1 modulo 4 have no hypothesis."""
     p = v.transcript_pairs(spark, sf)
-    key = ["doc_id", "seg_no"]
-    ref, hyp = p.select(*key, "ref"), p.select(*key, "hyp").filter("doc_id % 4 <> 1")
-    alone = W.unpaired_transcripts(ref, hyp, key).withColumn("hyp", F.lit(None).cast("string"))
-    return W.pair_transcripts(ref, hyp, key).withColumn("paired", F.lit(True)).unionByName(
+    ref, hyp = p.select("doc_id", "ref"), p.select("doc_id", "hyp").filter("doc_id % 4 <> 1")
+    alone = W.unpaired_transcripts(ref, hyp, "doc_id").withColumn("hyp", F.lit(None).cast("string"))
+    return W.pair_transcripts(ref, hyp, "doc_id").withColumn("paired", F.lit(True)).unionByName(
         alone.withColumn("paired", F.lit(False)))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuelake.functions.text import wer_tokens
 from cuelake.operators import scan
 
 
@@ -130,16 +131,25 @@ def sounds(spark: SparkSession, sf: str) -> DataFrame:
             .agg(F.max(F.least(F.col("value") / 100, F.lit(1.0))).alias("prob")))
 
 
+def _heard(words: F.Column) -> F.Column:
+    """A damaged copy of a word list: drops, substitutions and insertions; a list of lists."""
+    return F.transform(words, lambda w, i: F.when(i % 11 == 5, F.array().cast("array<string>")).when(i % 13 == 7, F.array(F.lit("zz")))
+                       .when(i % 17 == 9, F.array(w, F.lit("qq"))).otherwise(F.array(w)))
+
+
 def transcript_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Whole texts without punctuation in segments of SEGMENT words, and a damaged copy: drops, substitutions and insertions."""
+    """Whole documents, and a damaged copy of their words."""
+    d = table(spark, sf, "documents").withColumn("r", wer_tokens(F.col("text")))
+    return d.select("doc_id", "lang", "source", F.col("text").alias("ref"), F.array_join(F.flatten(_heard(F.col("r"))), " ").alias("hyp"))
+
+
+def segment_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts without punctuation in segments of SEGMENT words, each with its damaged copy: many short pairs, which SQL can score too."""
     d = table(spark, sf, "documents")
     ref = tokens(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}\p{M}\s]", ""))
     rows = d.select("doc_id", "lang", "source", ref.alias("r"))
-    heard = F.transform("r", lambda w, i: F.when(i % 11 == 5, F.array().cast("array<string>"))
-                        .when(i % 13 == 7, F.array(F.lit("zz")))
-                        .when(i % 17 == 9, F.array(w, F.lit("qq"))).otherwise(F.array(w)))
     last = F.greatest(F.lit(0), F.expr(f"cast((size(r) - 1) div {SEGMENT} as int)"))
-    rows = rows.select("*", heard.alias("h"), F.explode(F.sequence(F.lit(0), last)).alias("seg_no"))
+    rows = rows.select("*", _heard(F.col("r")).alias("h"), F.explode(F.sequence(F.lit(0), last)).alias("seg_no"))
     part = lambda c: F.slice(c, F.col("seg_no") * SEGMENT + 1, F.lit(SEGMENT))
     return rows.select("doc_id", "seg_no", "lang", "source", F.array_join(part("r"), " ").alias("ref"),
                        F.array_join(F.flatten(part("h")), " ").alias("hyp"))

@@ -83,21 +83,29 @@ def read_session_archive(spark: SparkSession, path: str) -> tuple[DataFrame, Dat
     return a.filter("first_cue = 1").drop("cues", "records", "first_cue"), cues
 
 
-def read_transcript(spark: SparkSession, path: str, jsonl: bool = False, part_lines: int = 100_000) -> DataFrame:
-    """Transcript per file, lines in file order joined by one space, blank lines skipped.
+def read_transcript_lines(spark: SparkSession, path: str, jsonl: bool = False, folders: bool = False) -> DataFrame:
+    """(file, line_no, text): the lines of each transcript in order, from 0, blank lines skipped.
 
-    Row positions in a file come from ``_metadata``, so large files split over tasks keep their order. A row per
-    part of at most ``part_lines`` lines.
+    With ``folders`` all files of a folder are one transcript, in the order of their names; ``file`` is then the folder. Spark reads large files in
+    pieces by several tasks: lines are numbered within a piece (file, byte offset), and a row per piece is counted up.
     """
     lines = spark.read.text(path)
-    at = F.monotonically_increasing_id()
     lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("off"),
-                         at.alias("i"), "value").filter(F.trim("value") != "")
+                         F.monotonically_increasing_id().alias("i"), "value").filter(F.trim("value") != "")
     text = F.from_json("value", "text STRING")["text"] if jsonl else F.array_join(T.space_words(F.col("value")), " ")
-    t = lines.select("file", "off", "i", F.coalesce(text, F.lit("")).alias("text"))
-    t = scan.number_rows(scan.range_blocks(t, ["file"], ["off", "i"]), ["file"], ["off", "i"], "line_no")
-    t = t.withColumn("line_no", F.col("line_no") - 1)
-    return scan.ordered_parts(t, ["file"], "line_no", "text", " ", "transcript", part_lines)
+    folder = F.regexp_extract("file", r"^(.*)/[^/]*$", 1)
+    piece = F.concat(F.substring_index("file", "/", -1), F.lit(":"), F.lpad(F.col("off").cast("string"), 20, "0"))
+    t = lines.select((folder if folders else F.col("file")).alias("file"), piece.alias(scan.BLK), "i", F.coalesce(text, F.lit("")).alias("text"))
+    t = scan.number_rows(t, ["file"], ["i"], "line_no")
+    return t.select("file", (F.col("line_no") - 1).alias("line_no"), "text")
+
+
+def read_transcript(spark: SparkSession, path: str, jsonl: bool = False, part_lines: int = 100_000, folders: bool = False) -> DataFrame:
+    """Transcript per file (or folder), lines in order joined by one space, blank lines skipped.
+
+    A row per part of at most ``part_lines`` lines, since a text of unlimited length cannot be one value; ``read_transcript_lines`` gives rows.
+    """
+    return scan.ordered_parts(read_transcript_lines(spark, path, jsonl, folders), ["file"], "line_no", "text", " ", "transcript", part_lines)
 
 
 def read_gpu_samples(spark: SparkSession, path: str) -> DataFrame:

@@ -54,6 +54,36 @@ def test_transcripts(spark, tmp_path):
     assert R.read_transcript(spark, str(tmp_path / "j"), jsonl=True).first().transcript == "x y  z"
 
 
+def test_transcripts_of_several_files_cut_over_many_tasks(spark, tmp_path):
+    words = [[f"w{k % 977}" for k in range(i, i + 5)] for i in range(4000)]
+    for part in range(2):
+        text = "".join(" ".join(line) + "\n\n" * (1 + i % 2) for i, line in enumerate(words[part * 2000:part * 2000 + 2000]))
+        (tmp_path / "a").mkdir(exist_ok=True)
+        (tmp_path / "a" / f"part-{part:05}.txt").write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        lines = R.read_transcript_lines(spark, str(tmp_path / "*"), folders=True)
+        got = lines.orderBy("line_no").collect()
+        whole = R.read_transcript(spark, str(tmp_path / "*"), folders=True).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r.line_no, r.text) for r in got] == [(i, " ".join(w)) for i, w in enumerate(words)]
+    assert [r.transcript for r in whole] == [" ".join(w for line in words for w in line)]
+
+
+def test_files_to_paired_transcripts_to_rates(spark, tmp_path):
+    from cuelake.operators import quality as W
+    for side, texts in (("ref", {"a": "one two three\nfour", "b": "x y", "c": "left out"}), ("hyp", {"a": "one three\nfour five", "b": "x y"})):
+        (tmp_path / side).mkdir()
+        for name, text in texts.items():
+            (tmp_path / side / f"{name}.txt").write_text(text)
+    sides = [R.read_transcript(spark, str(tmp_path / s)).select(F.substring_index("file", "/", -1).alias("name"), F.col("transcript").alias(s))
+             for s in ("ref", "hyp")]
+    both = W.pair_transcripts(*sides, "name").unionByName(W.unpaired_transcripts(*sides, "name"), allowMissingColumns=True)
+    got = {r.name: (r.wer, r.deletions, r.insertions) for r in W.wer(both).collect()}
+    assert got == {"a.txt": (0.5, 1, 1), "b.txt": (0.0, 0, 0), "c.txt": (1.0, 2, 0)}
+
+
 def test_webvtt_files(spark, tmp_path):
     cues = spark.createDataFrame([(s, i, f"c{i}", i * 1000, i * 1000 + 1) for s in (1, 2) for i in range(1, 4)],
                                  "session_id int, cue_no bigint, text string, start_ms bigint, end_ms bigint")

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from cuelake.operators import quality as W
@@ -67,12 +68,61 @@ def test_long_texts_and_more_words_than_glyphs(spark, monkeypatch):
     assert (got[""].distance, got["a"].distance) == (2, 1)
 
 
+def numbered(*texts):
+    ids = {}
+    return [np.array([ids.setdefault(w, len(ids)) for w in t], np.int64) for t in texts]
+
+
 def test_many_substitutions_do_not_spill_into_the_distance():
     n = 3000
-    distance, substitutions = W._edit_batch([[f"a{k}" for k in range(n)]], [[f"b{k}" for k in range(n)]])
+    distance, substitutions = W.edits(*([x] for x in numbered([f"a{k}" for k in range(n)], [f"b{k}" for k in range(n)])))
     assert (distance[0], substitutions[0]) == (n, n)
 
 
+def test_bands_that_have_to_widen(monkeypatch):
+    """Shuffled words: the lower bound says nothing, so bands widen until they hold the distance."""
+    monkeypatch.setattr(W, "FIRST_MARGIN", 1)
+    r = random.Random(8)
+    pairs = []
+    for _ in range(200):
+        ref = [r.choice("abcdefgh") for _ in range(r.randint(0, 40))]
+        hyp = r.sample(ref, len(ref)) if r.random() < 0.5 else [r.choice("abcdefghij") for _ in range(r.randint(0, 40))]
+        pairs.append((ref, hyp))
+    both = [numbered(ref, hyp) for ref, hyp in pairs]
+    distance, substitutions = W.edits([x for x, _ in both], [y for _, y in both])
+    want = [full_table(ref, hyp)[:2] for ref, hyp in pairs]
+    assert list(zip(distance.tolist(), substitutions.tolist())) == want
+
+
+def test_a_text_of_20000_words():
+    """Blocks moved about, words dropped, replaced and added; against the whole edit table, row by row."""
+    r = random.Random(5)
+    ref = [f"w{min(r.randrange(5000), r.randrange(5000))}" for _ in range(20_000)]
+    hyp = [x for w in ref for x in ([] if r.random() < 0.08 else ["zz"] if r.random() < 0.08 else [w, "qq"] if r.random() < 0.05 else [w])]
+    a, b = numbered(ref, hyp)
+    unit = 1 << 20
+    steps = np.arange(len(b) + 1) * unit
+    row = steps
+    for i, w in enumerate(a):
+        best = np.empty_like(row)
+        best[0] = (i + 1) * unit
+        best[1:] = np.minimum(row[:-1] + np.where(b == w, 0, unit + 1), row[1:] + unit)
+        row = np.minimum.accumulate(best - steps) + steps
+    distance, substitutions = W.edits([a], [b])
+    assert divmod(int(row[-1]), unit) == (distance[0], substitutions[0])
+
+
+def test_missing_transcripts(spark):
+    rows = [(1, "a b c", None), (2, "a b", "a x"), (3, None, "q"), (4, None, None), (5, "a", "")]
+    scored = W.wer(spark.createDataFrame(rows, "id int, ref string, hyp string"))
+    got = {r.id: (r.wer, r.deletions, r.ref_words, r.hyp_words, r.error) for r in scored.collect()}
+    assert got == {1: (1.0, 3, 3, 0, None), 2: (0.5, 0, 2, 2, None), 5: (1.0, 1, 1, 0, None),
+                   3: (None, None, 0, 1, "Reference transcript is missing"), 4: (None, None, 0, 0, "Reference transcript is missing")}
+    c = W.corpus_wer(scored, []).first()
+    assert (c.segment_count, c.ref_words, c.deletions, c.substitutions) == (3, 6, 4, 1) and abs(c.wer - 5 / 6) < 1e-12
+    assert {r.id: r.distance for r in W.wer_distance(scored).collect()} == {1: 3, 2: 1, 3: None, 4: None, 5: 1}
+
+
 def test_equal_pairs_go_to_different_tasks(spark):
     from pyspark.sql import functions as F
     df = spark.range(400).select("id", F.lit("a b c").alias("ref"), F.lit("a c").alias("hyp"))

@@ -1,6 +1,4 @@
-"""Registered queries next to their SQL twins. All of them with CUELAKE_ALL=1, a spread of families otherwise."""
-
-import os
+"""Registered queries next to their SQL twins."""
 
 import duckdb
 import pytest
@@ -8,10 +6,7 @@ import pytest
 import __spark_entry__ as entry
 from check_queries import TABLES, rows
 
-SOME = ["wrap_caption", "clean_fragment", "webvtt_document", "tail_text", "encode_708", "frame_lock", "paginate_blocks",
-        "corpus_wer", "utterances", "speech_arbitration", "fleet_metrics", "rolling_gpu", "device_owner", "session_diff",
-        "signal_gaps", "display_at", "replay_tail", "read_packet_log_608", "archive_sessions", "lifecycle_stream"]
-NAMES = sorted(entry.oracle_sql()) if os.environ.get("CUELAKE_ALL") else SOME
+NAMES = sorted(entry.oracle_sql())
 
 
 @pytest.fixture(scope="module")
@@ -31,5 +26,14 @@ def test_query(spark, sf, db, name):
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(cols, cur.fetchall())
 
 
+def test_rates_of_whole_documents_agree(spark, sf):
+    """Two ways to the distance of whole documents: bands of the edit table, and characters for words."""
+    queries = entry.queries()
+    rates = {r.doc_id: r for r in queries["wer"](spark, sf).collect()}
+    far = {r.doc_id: r.distance for r in queries["wer_distance"](spark, sf).collect()}
+    assert rates.keys() == far.keys() and max(r.ref_words for r in rates.values()) > 1000
+    assert all(r.substitutions + r.deletions + r.insertions == far[k] for k, r in rates.items() if r.error is None)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
