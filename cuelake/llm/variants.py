@@ -30,7 +30,7 @@ from cuelake.llm.common import lower_az, stage
 
 LETTERS = "A-Za-zÀ-ÿ"
 LEAST_CHARS, LEAST_COUNT, DAMAGED, TIMES = 7, 2, 31, 10
-BLOCK = 1024
+BLOCK, SHORT = 1024, 16
 SALTS = 16
 FAR = 2  # an entry of the edit matrix that is no use
 
@@ -188,7 +188,10 @@ def near_words(words: DataFrame) -> DataFrame:
     ranges = both.select("s.backwards", "size", F.substr("s.word", F.lit(1), shared).alias("head"), "s.word", "n")
     order = ["backwards", "size", "head", "word"]
     blocks = stage(ranges.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_cut, _BLOCKS), "variant-blocks")
-    within = blocks.select("backwards", "size", "words", "ns").mapInArrow(_within, _LINKS)
+    # full ranges lie side by side in the files and cost most, so they are dealt anew
+    tasks, long = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.size("words") > SHORT
+    dealt = blocks.where(~long).unionByName(blocks.where(long).repartition(tasks, "block"))
+    within = dealt.select("backwards", "size", "words", "ns").mapInArrow(_within, _LINKS)
 
     key = ["backwards", "size", "head"]
     prefix = F.substr("first", F.lit(1), F.size(F.filter(F.sequence(F.lit(1), F.length("first")), lambda i: F.substr("first", F.lit(1), i) == F.substr("last", F.lit(1), i))))
