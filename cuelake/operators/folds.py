@@ -8,7 +8,8 @@ A key that is too large for one task is cut into ordered blocks. All blocks run
 state; blocks whose predecessors ended otherwise run again from the right state, until nothing changes. The result
 equals the sequential fold for any data, because block *b* is right after *b* rounds at the latest; states that
 forget their past settle in two or three. A state entry passes untouched through blocks that do not name it
-(``fold.entries``), so rare entries cost no rounds.
+(``fold.entries``), so rare entries cost no rounds. A fold that names all its states (``fold.states``) needs no rounds: every block is
+walked from each of them once, and two passes do for any data.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuelake.operators.scan import BLK
+from cuelake.operators.scan import BLK, carries
 from cuelake.sources.scratch import stage
 
 
@@ -92,9 +93,80 @@ def _packed(starts: DataFrame, parts: list[str]) -> DataFrame:
     return starts.groupBy(*parts).agg(F.to_json(entries).alias("_start"), F.first("_final").alias("_final"))
 
 
+def _walks(fold, parts: list[str], out: list[str]):
+    """Batch iterator function: where each run of equal ``parts`` leads from every state of the fold, and the totals it adds on the way.
+
+    Starts that meet in one state go on together, so usually few are left after some rows.
+    """
+    states, totals = fold.states(), list(fold.totals)
+    finite = [k for k in states[0] if k not in totals]
+    number = {tuple(s[k] for k in finite): i for i, s in enumerate(states)}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, walkers = None, []
+        rows: list[tuple] = []
+
+        def close() -> None:
+            ends, sums = [0] * len(states), [[0] * len(states) for _ in totals]
+            for state, members in walkers:
+                for start, offsets in members:
+                    ends[start] = number[tuple(state[k] for k in finite)]
+                    for column, name, offset in zip(sums, totals, offsets):
+                        column[start] = state[name] + offset
+            rows.append((*current, ends, *sums))
+
+        for pdf in batches:
+            for group, vals in zip(zip(*[pdf[c].tolist() for c in parts]), zip(*[pdf[c].tolist() for c in fold.columns])):
+                if group != current:
+                    if current is not None:
+                        close()
+                    current, walkers = group, [[dict(s), [(i, [0] * len(totals))]] for i, s in enumerate(states)]
+                for walker in walkers:
+                    walker[0] = fold.step(walker[0], *vals)[0]
+                if len(walkers) > 1:
+                    met: dict[tuple, list] = {}
+                    for state, members in walkers:
+                        kept = met.setdefault(tuple(state[k] for k in finite), [state, []])
+                        kept[1] += [(i, [o + state[t] - kept[0][t] for o, t in zip(offsets, totals)]) for i, offsets in members]
+                    walkers = list(met.values())
+            yield pd.DataFrame(rows, columns=out)
+            rows.clear()
+        if current is not None:
+            close()
+            yield pd.DataFrame(rows, columns=out)
+
+    return run
+
+
+def finite_starts(df: DataFrame, keys: list[str], order: list[str], fold, blocks: DataFrame) -> DataFrame:
+    """Start state of every block, for a fold whose state is one of few (``fold.states()``) beside running ``fold.totals``: two passes for any data.
+
+    Each block becomes a table from start to end state, and the tables of a key are put together in order.
+    """
+    parts, totals = [*keys, BLK], list(fold.totals)
+    src = _sorted(df.join(blocks.select(*parts), parts), parts, order, list(fold.columns))
+    more = "".join(f", _t_{t} array<bigint>" for t in totals)
+    tables = src.mapInPandas(_walks(fold, parts, [*parts, "_ends", *[f"_t_{t}" for t in totals]]), _schema(df, parts, "_ends array<int>" + more))
+    states = fold.states()
+    first = fold.start()
+    finite = [k for k in first if k not in totals]
+    at = next(i for i, s in enumerate(states) if all(s[k] == first[k] for k in finite))
+    state = "struct<at:int" + "".join(f",{t}:bigint" for t in totals) + ">"
+    start = F.struct(F.lit(at).alias("at"), *[F.lit(first[t]).cast("bigint").alias(t) for t in totals])
+    carried = carries(tables, keys, state, start, lambda c, b: F.struct(
+        F.get(b["_ends"], c["at"]).alias("at"), *[(c[t] + F.get(b[f"_t_{t}"], c["at"])).alias(t) for t in totals]))
+    known = [F.create_map(*[F.lit(x) for k in finite for x in (k, freeze(s[k]))]) for s in states]
+    entries = F.get(F.array(*known), F.col("_carry.at"))
+    if totals:
+        entries = F.map_concat(entries, F.create_map(*[x for t in totals for x in (F.lit(t), F.col(f"_carry.{t}").cast("string"))]))
+    return carried.join(blocks, parts).select(*parts, F.to_json(entries).alias("_start"), "_final")
+
+
 def block_starts(df: DataFrame, keys: list[str], order: list[str], fold) -> DataFrame | None:
-    """Start state of every block of the keys that have several; None when there is no such key."""
+    """Start state of every block of the keys that have several, ready for a fold; None when there is no such key."""
     parts, slot = [*keys, BLK], [*keys, BLK, "_entry"]
+    if df.filter(F.col(BLK) != 0).isEmpty():
+        return None
     per_key = Window.partitionBy(*keys)
     blocks = (df.select(*parts).distinct()
                 .withColumn("_of", F.count("*").over(per_key))
@@ -103,6 +175,8 @@ def block_starts(df: DataFrame, keys: list[str], order: list[str], fold) -> Data
     blocks = stage(blocks)
     if blocks.isEmpty():
         return None
+    if hasattr(fold, "states"):
+        return finite_starts(df, keys, order, fold, blocks)
     named = df.select(*parts, F.explode(fold.entries()).alias("_entry")).distinct()
     known = stage(named.join(blocks, parts).select(*slot, "_final", F.lit(None).cast("string").alias("_now")))
     todo, ends = known, None
@@ -118,7 +192,7 @@ def block_starts(df: DataFrame, keys: list[str], order: list[str], fold) -> Data
         known = moved.select(*slot, "_final", F.col("_next").alias("_now"))
         wrong = moved.filter(~F.col("_now").eqNullSafe(F.col("_next"))).select(*parts).distinct()
         if wrong.isEmpty():
-            return known
+            return _packed(known, parts)
         todo = known.join(wrong, parts)
 
 
@@ -135,6 +209,6 @@ def fold_blocks(df: DataFrame, keys: list[str], order: list[str], fold, keep: bo
     if known is None:
         src = df.withColumn("_start", F.lit(None).cast("string")).withColumn("_final", F.lit(True))
     else:
-        src = df.join(_packed(known, parts), parts, "left").withColumn("_final", F.coalesce("_final", F.lit(True)))
+        src = df.join(known, parts, "left").withColumn("_final", F.coalesce("_final", F.lit(True)))
     return _sorted(src, parts, order, [*fold.columns, "_start", "_final"]).mapInPandas(
         _runner(fold, parts, out, False), _schema(df, parts, ", ".join(fold.output))).drop(BLK)

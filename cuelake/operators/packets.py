@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelake.functions import codec as C, text as T, values as V
 from cuelake.operators import scan
 from cuelake.operators.folds import fold_blocks
+from cuelake.sources.scratch import stage
 
 S = ["session_id"]
 PAIRS = "array<struct<b1:int,b2:int>>"
@@ -48,27 +49,32 @@ def encode_608_simple(cues: DataFrame, roll_up: int = 2, rows: int = scan.BLOCK_
 
 
 class Columns:
-    """Where each word of a session lands: a space before it, or a new row. State: the column, None before any."""
+    """Where each word of a session lands: a space before it, or a new row. State: the column, None before any, and the rows so far."""
 
     columns = ("frag_no", "words")
-    output = ("frag_no bigint", "word_no int", "word string", "spaced boolean", "new_row boolean", "first boolean")
+    output = ("frag_no bigint", "word_no int", "word string", "spaced boolean", "new_row boolean", "first boolean", "row_no bigint")
+    totals = ("rows",)
 
     def start(self):
-        return {"col": None}
+        return {"col": None, "rows": 0}
+
+    def states(self):
+        return [{"col": c, "rows": 0} for c in (None, *range(V.LINE_WIDTH + 1))]
 
     def entries(self):
-        return F.array(F.lit("col"))
+        return F.array(F.lit("col"), F.lit("rows"))
 
     def step(self, s, frag_no, words):
-        col, out = s["col"], []
+        col, row, out = s["col"], s["rows"], []
         for i, w in enumerate(words):
             w, first = w[:V.LINE_WIDTH], col is None
             col = col or 0
             spaced = col > 0
             roll = col + spaced + len(w) > V.LINE_WIDTH
             col = len(w) if roll else col + spaced + len(w)
-            out.append((int(frag_no), i, w, spaced and not roll, roll, first))
-        return {"col": col}, out
+            row += roll
+            out.append((int(frag_no), i, w, spaced and not roll, roll, first, row))
+        return {"col": col, "rows": row}, out
 
     def finish(self, s):
         return []
@@ -78,9 +84,7 @@ def rollup_layout(fragments: DataFrame, rows: int = scan.BLOCK_ROWS) -> DataFram
     """One row per word with the roll-up row it is shown in (``row_no`` from 0)."""
     f = fragments.select("session_id", F.col("frag_no").cast("bigint").alias("frag_no"),
                          T.space_words(F.col("text")).alias("words")).filter(F.size("words") > 0)
-    placed = fold_blocks(scan.seq_blocks(f, "frag_no", rows), S, ["frag_no"], Columns(), keep=True)
-    return scan.prefix(scan.seq_blocks(placed, "frag_no", rows), S, ["frag_no", "word_no"],
-                       {"row_no": ("sum", F.col("new_row").cast("bigint"))}, keep=True).drop(scan.BLK)
+    return fold_blocks(scan.seq_blocks(f, "frag_no", rows), S, ["frag_no"], Columns(), keep=True)
 
 
 def layout_rows(layout: DataFrame) -> DataFrame:
@@ -92,7 +96,11 @@ def layout_rows(layout: DataFrame) -> DataFrame:
 
 def encode_608_rollup(fragments: DataFrame, roll_up: int = 2, rows: int = scan.BLOCK_ROWS) -> DataFrame:
     """Fragments to doubled-control roll-up pairs; words flow across fragments and fill 32-column rows."""
-    placed = rollup_layout(fragments, rows)
+    return encode_layout(rollup_layout(fragments, rows), roll_up, rows)
+
+
+def encode_layout(placed: DataFrame, roll_up: int = 2, rows: int = scan.BLOCK_ROWS) -> DataFrame:
+    """Words of a ``rollup_layout`` to pairs."""
     text = F.concat(F.when(F.col("spaced"), " ").otherwise(""), F.col("word"))
     items = F.array_sort(F.collect_list(F.struct("word_no", text.alias("t"))))
     runs = placed.groupBy("session_id", "frag_no", "row_no").agg(
@@ -237,7 +245,7 @@ class RollUp:
 
     def pairs(self, s, words):
         out, line = [], ""
-        for _, _, w, spaced, roll, first in Columns().step(s, 0, words)[1]:
+        for _, _, w, spaced, roll, first, _ in Columns().step(s, 0, words)[1]:
             if roll:
                 out += self._chars(line) + [(V.CONTROL, V.CARRIAGE_RETURN)] * 2
                 line, s["rows"] = "", s["rows"] + 1
@@ -294,31 +302,61 @@ def backlog_resets(pushes: DataFrame, limit: int = V.QUEUE_LIMIT, rows: int = sc
     return fold_blocks(scan.seq_blocks(p, "push_no", rows), S, ["push_no"], Backlog(limit), keep=True)
 
 
-def dedupe_control(pairs: DataFrame, rows: int = scan.BLOCK_ROWS) -> DataFrame:
-    """What a decoder acts on: no null pairs, seven-bit codes, and only every odd copy in a run of one control code."""
+def _decoded(pairs: DataFrame, rows: int) -> DataFrame:
+    """What a decoder acts on (see ``dedupe_control``), with the row each pair falls in, the erases and the depth set so far; one staged write.
+
+    A block is summed up by its leading run of one control code, its trailing run, and what the rest of it rolls, erases and sets. Whether the
+    leading run goes on from the block before decides which of its copies count; that is settled when blocks are put together.
+    """
     c1, c2 = F.col("b1").bitwiseAND(F.lit(127)), F.col("b2").bitwiseAND(F.lit(127))
     p = pairs.select("session_id", "pair_no", c1.alias("c1"), c2.alias("c2")).filter(F.col("c1") != 0)
-    p = p.withColumn("is_control", (F.col("c1") >= 16) & (F.col("c1") <= 31))
-    code = F.when(F.col("is_control"), F.col("c1") * 128 + F.col("c2")).otherwise(-1)
-    p = scan.prefix(scan.seq_blocks(p.withColumn("_code", code), "pair_no", rows), S, ["pair_no"],
-                    {"_prev": ("last", F.col("_code")), "_n": ("sum", F.lit(1))}, before=True, keep=True)
-    n = F.coalesce("_n", F.lit(0))
-    fresh = ~F.col("is_control") | F.coalesce(F.col("_prev") != F.col("_code"), F.lit(True))
-    p = scan.prefix(p, S, ["pair_no"], {"_run": ("max", F.when(fresh, n))}, keep=True)
-    return p.filter((n - F.col("_run")) % 2 == 0).drop("_code", "_prev", "_n", "_run", scan.BLK)
-
-
-def _screen(pairs: DataFrame, rows: int) -> DataFrame:
-    """Decoded pairs with their row (``row_no``), erase count and roll-up depth."""
-    d = scan.seq_blocks(dedupe_control(pairs, rows), "pair_no", rows)
-    pac = F.col("is_control") & (F.col("c1") <= 23) & (F.col("c2") >= 64)
-    code = F.when(F.col("is_control") & ~pac, F.col("c2"))
-    d = d.withColumn("code", code)
-    size = F.when(F.col("code").isin(0x25, 0x26, 0x27), F.col("code") - 0x25 + 2)
-    return scan.prefix(d, S, ["pair_no"], {
-        "row_no": ("sum", F.coalesce(F.col("code").isin(0x2D, 0x2C), F.lit(False)).cast("bigint")),
-        "erases": ("sum", F.coalesce(F.col("code") == 0x2C, F.lit(False)).cast("bigint")),
-        "depth": ("last", size)}, keep=True)
+    p = stage(scan.seq_blocks(p, "pair_no", rows))
+    is_control = (F.col("c1") >= 16) & (F.col("c1") <= 31)
+    key = F.when(is_control, F.col("c1") * 128 + F.col("c2")).otherwise(-1).cast("int")
+    code = F.when(is_control & ~((F.col("c1") <= 23) & (F.col("c2") >= 64)), F.col("c2"))  # no preambles
+    in_block = Window.partitionBy(*S, scan.BLK).orderBy("pair_no")
+    p = p.withColumns({"is_control": is_control, "_key": key, "code": code, "_n": F.row_number().over(in_block), "_prev": F.lag(key).over(in_block)})
+    fresh = ~F.col("is_control") | F.col("_prev").isNull() | (F.col("_prev") != F.col("_key"))
+    p = p.withColumn("_run", F.max(F.when(fresh, F.col("_n"))).over(in_block))
+    leads = F.col("_run") == 1
+    even = (F.col("_n") - F.col("_run")) % 2 == 0
+    rolls = lambda c: F.coalesce(c.isin(V.CARRIAGE_RETURN & 127, V.ERASE), F.lit(False)).cast("bigint")
+    erases = lambda c: F.coalesce(c == V.ERASE, F.lit(False)).cast("bigint")
+    depth = lambda c: F.when(c.isin(*[x & 127 for x in V.ROLL_UP.values()]), c - V.ROLL_UP[2] + 2).cast("int")
+    rest = ~leads & even
+    blocks = p.groupBy(*S, scan.BLK).agg(
+        F.min_by(F.struct("_key", "code"), "_n").alias("lead"), F.count_if(leads).alias("lead_size"), F.max_by("_key", "_n").alias("trail"),
+        (F.max("_n") - F.max("_run") + 1).cast("bigint").alias("trail_size"), (F.max("_run") == 1).alias("one_run"),
+        F.sum(F.when(rest, rolls(F.col("code"))).otherwise(0)).alias("rolls"), F.sum(F.when(rest, erases(F.col("code"))).otherwise(0)).alias("erases"),
+        F.max_by(depth(F.col("code")), F.when(rest & depth(F.col("code")).isNotNull(), F.col("_n"))).alias("depth"))
+
+    def combine(c: Column, b: Column) -> Column:
+        goes_on = (b["lead"]["_key"] >= 0) & (c["key"] == b["lead"]["_key"])
+        before = F.when(goes_on, c["size"]).otherwise(0)
+        kept = F.floor((b["lead_size"] + 1 - before % 2) / 2).cast("bigint")
+        led = F.when(kept > 0, b["lead"]["code"])
+        return F.struct(
+            b["trail"].alias("key"), (F.when(b["one_run"], before).otherwise(0) + b["trail_size"]).alias("size"),
+            (c["rolls"] + b["rolls"] + kept * rolls(b["lead"]["code"])).alias("rolls"),
+            (c["erases"] + b["erases"] + kept * erases(b["lead"]["code"])).alias("erases"),
+            F.coalesce(b["depth"], depth(led), c["depth"]).alias("depth"))
+
+    nothing = F.struct(F.lit(-1).alias("key"), F.lit(0).alias("size"), F.lit(0).alias("rolls"), F.lit(0).alias("erases"), F.lit(None).cast("int").alias("depth"))
+    carry = scan.carries(blocks, S, "struct<key:int,size:bigint,rolls:bigint,erases:bigint,depth:int>", nothing, combine)
+    d = p.join(carry, [*S, scan.BLK])
+    joined = leads & F.col("is_control") & (F.col("_carry.key") == F.col("_key"))
+    place = F.col("_n") - F.col("_run") + F.when(joined, F.col("_carry.size")).otherwise(0)
+    upto = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return d.filter(place % 2 == 0).select(
+        "session_id", "pair_no", "c1", "c2", "is_control", "code",
+        (F.col("_carry.rolls") + F.sum(rolls(F.col("code"))).over(upto)).alias("row_no"),
+        (F.col("_carry.erases") + F.sum(erases(F.col("code"))).over(upto)).alias("erases"),
+        F.coalesce(F.last(depth(F.col("code")), ignorenulls=True).over(upto), F.col("_carry.depth")).alias("depth"))
+
+
+def dedupe_control(pairs: DataFrame, rows: int = scan.BLOCK_ROWS) -> DataFrame:
+    """What a decoder acts on: no null pairs, seven-bit codes, and only every odd copy in a run of one control code."""
+    return _decoded(pairs, rows).select("session_id", "pair_no", "c1", "c2", "is_control")
 
 
 def _row_texts(screen: DataFrame) -> DataFrame:
@@ -333,7 +371,7 @@ def _row_texts(screen: DataFrame) -> DataFrame:
 
 def decode_rollup(pairs: DataFrame, rows: int = scan.BLOCK_ROWS) -> DataFrame:
     """Transcript rows of a pair stream; rows wiped by an erase code before they rolled up are left out."""
-    screen = _screen(pairs, rows).drop(scan.BLK)
+    screen = _decoded(pairs, rows)
     wiped = screen.filter(F.col("code") == 0x2C).select("session_id", (F.col("row_no") - 1).alias("row_no"))
     texts = _row_texts(screen).filter(F.col("text") != "").select("session_id", "row_no", "text")
     return texts.join(wiped, ["session_id", "row_no"], "left_anti")
@@ -345,7 +383,7 @@ def visible_rows(pairs: DataFrame, rows: int = scan.BLOCK_ROWS) -> DataFrame:
     A row stays as long as it lies within the smallest depth that was set during it and each later row; what a smaller screen
     has dropped does not come back. The screen has four rows at most, so the last four decide.
     """
-    texts = _row_texts(_screen(pairs, rows).drop(scan.BLK))
+    texts = _row_texts(_decoded(pairs, rows))
     last = scan.last_rows(texts, S, [F.col("row_no").desc()], "row_no", 4)
     ends = last.groupBy("session_id").agg(
         F.max("erases").alias("_e"), F.collect_list(F.struct(F.col("row_no").alias("r"), F.col("depth").alias("d"))).alias("_later"))
@@ -356,8 +394,9 @@ def visible_rows(pairs: DataFrame, rows: int = scan.BLOCK_ROWS) -> DataFrame:
 
 def roundtrip_check(fragments: DataFrame, rows: int = scan.BLOCK_ROWS) -> DataFrame:
     """Encode, decode and compare with the layout row by row; one verdict per session."""
-    want = layout_rows(rollup_layout(fragments, rows)).withColumnRenamed("text", "want")
-    got = decode_rollup(encode_608_rollup(fragments, rows=rows), rows).withColumnRenamed("text", "got")
+    layout = stage(rollup_layout(fragments, rows))
+    want = layout_rows(layout).withColumnRenamed("text", "want")
+    got = decode_rollup(encode_layout(layout, rows=rows), rows).withColumnRenamed("text", "got")
     both = want.join(got, ["session_id", "row_no"], "full")
     return both.groupBy("session_id").agg(
         F.count("want").alias("rows"), F.count_if(~F.col("want").eqNullSafe(F.col("got"))).alias("wrong_rows"),

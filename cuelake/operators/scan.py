@@ -94,6 +94,25 @@ def prefix(df: DataFrame, keys: list[str], order: list[str],
     return out.select(*kept, *cols)
 
 
+def carries(blocks: DataFrame, keys: list[str], state: str, start: Column, combine) -> DataFrame:
+    """(keys, block, ``_carry``): what all earlier blocks of the key come to, for any summary that can be put together in order.
+
+    ``blocks`` has one row per key and block with the summary's columns; ``state`` is the type of the carry, ``start`` its value before the first
+    block, and ``combine(carry, block)`` the carry after a block, as expressions over structs. The blocks of one key are combined in one row: a
+    million rows of the key become one step.
+    """
+    one = F.struct(F.col(BLK), *[F.col(c) for c in blocks.columns if c not in (*keys, BLK)])
+    none = F.array().cast(f"array<struct<{BLK}:{blocks.schema[BLK].dataType.simpleString()},_carry:{state}>>")
+
+    def step(acc: Column, block: Column) -> Column:
+        out = F.concat(acc["out"], F.array(F.struct(block[BLK].alias(BLK), acc["state"].alias("_carry"))))
+        return F.struct(combine(acc["state"], block).cast(state).alias("state"), out.alias("out"))
+
+    listed = blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("_blocks"))
+    done = F.aggregate("_blocks", F.struct(start.cast(state).alias("state"), none.alias("out")), step, lambda acc: acc["out"])
+    return listed.select(*keys, F.inline(done))
+
+
 def number_rows(df: DataFrame, keys: list[str], order: list[str], name: str, keep: bool = False) -> DataFrame:
     """1-based row number per key in ``order`` over a blocked table."""
     return prefix(df, keys, order, {name: ("sum", F.lit(1).cast("bigint"))}, keep=keep)

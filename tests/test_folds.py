@@ -280,6 +280,33 @@ def test_blocks_settle_in_few_rounds(spark, monkeypatch):
     assert len(rounds) <= 4
 
 
+def test_equal_words_take_two_passes(spark):
+    """A session of equal words in 24 blocks: the same number of jobs as one in 3 blocks, and the columns of a sequential walk."""
+    def jobs(n, group):
+        df = spark.createDataFrame([(1, i, "seven77") for i in range(n)], "session_id int, frag_no bigint, text string")
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            got = P.rollup_layout(df, 10).orderBy("frag_no").collect()
+        finally:
+            spark.sparkContext.setJobGroup("", "")
+        state = P.Columns().start()
+        for i, r in enumerate(got):
+            state, ((_, _, _, spaced, roll, first, row),) = P.Columns().step(state, i, ["seven77"])
+            assert (r.spaced, r.new_row, r.first, r.row_no) == (spaced, roll, first, row)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    assert jobs(240, "many blocks") == jobs(30, "few blocks")
+
+
+def test_carries_put_summaries_together_in_order(spark):
+    df = spark.createDataFrame([(k, b, b % 3, f"{k}{b}") for k in (1, 2) for b in range(7)], "k int, _blk bigint, n int, t string")
+    start = F.struct(F.lit(0).alias("n"), F.lit("").alias("t"))
+    got = scan.carries(df, ["k"], "struct<n:bigint,t:string>", start,
+                       lambda c, b: F.struct((c["n"] + b["n"]).alias("n"), F.concat(c["t"], b["t"]).alias("t"))).collect()
+    assert {(r.k, r._blk): tuple(r._carry) for r in got} == {
+        (k, b): (sum(x % 3 for x in range(b)), "".join(f"{k}{x}" for x in range(b))) for k in (1, 2) for b in range(7)}
+
+
 def test_fold_input_is_shuffled_after_the_join(spark):
     """The shuffle of a fold must not be dropped as redundant: only then no skewed join can split a block."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")

@@ -128,3 +128,42 @@ def test_rows_dropped_by_a_smaller_screen_stay_dropped(spark, block):
 def test_low_codes_are_not_printed(spark):
     df = _pairs(spark, [(0x01, 0x48), (0x0F, 0x69), (0x4A, 0x05)])
     assert [r.text for r in P.decode_rollup(df).collect()] == ["HiJ"]
+
+
+def decoder(pairs):
+    """Pair by pair: kept pairs with row, erases and depth, by the decoder's own rules."""
+    last, row, erases, depth, out = None, 0, 0, None, []
+    for n, (b1, b2) in enumerate(pairs):
+        c1, c2 = b1 & 127, b2 & 127
+        if c1 == 0:
+            continue
+        if 16 <= c1 <= 31:
+            if last == (c1, c2):
+                last = None
+                continue
+            last = (c1, c2)
+            if not (c1 <= 23 and c2 >= 64):
+                row += c2 in (0x2D, 0x2C)
+                erases += c2 == 0x2C
+                depth = {0x25: 2, 0x26: 3, 0x27: 4}.get(c2, depth)
+        else:
+            last = None
+        out.append((n, row, erases, depth))
+    return out
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 7, 10_000])
+def test_decoding_state_over_any_blocks(spark, block):
+    r = random.Random(block)
+    sessions = {}
+    for s in range(12):
+        pairs = []
+        while len(pairs) < 60:
+            pair = r.choice([(0x94, 0xAD), (0x94, 0x2C), (0x94, 0x25), (0x94, 0xA6), (0x94, 0x27), (0x94, 0xE0), (0x80, 0x80), (0xC8, 0xE9), (0x15, 0x2D)])
+            pairs += [pair] * r.choice([1, 1, 2, 2, 3, 5, 9])
+        sessions[s] = pairs
+    df = spark.createDataFrame([(s, n, *p) for s, ps in sessions.items() for n, p in enumerate(ps)], "session_id int, pair_no bigint, b1 int, b2 int")
+    got = {}
+    for x in P._decoded(df, block).orderBy("session_id", "pair_no").collect():
+        got.setdefault(x.session_id, []).append((x.pair_no, x.row_no, x.erases, x.depth))
+    assert got == {s: decoder(ps) for s, ps in sessions.items()}
