@@ -34,6 +34,7 @@ def doc_fold(column: str = "doc_id") -> Column:
 def give_back() -> None:
     """Return freed memory of a Python worker to the system: workers are reused by later stages with needs of their own."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)
