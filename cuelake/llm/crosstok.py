@@ -8,7 +8,8 @@ How often a pair of ids is linked in the whole corpus is counted by a number per
 be linked; these follow from the two vocabularies alone (some hundred thousand), so the table of all pairs is of fixed size, whatever the
 corpus. A text's links are written as numbers of that table, counted per task, summed by Spark, and the sums go back to every task.
 
-A is a byte-level BPE file of the `tokenizers` library, B a `sentencepiece` model that puts a blank before the text. Special tokens are not used, their strings
+The offsets that are common to both dictionaries come out sorted, because both are filled in rising order. A is a byte-level BPE file of the
+`tokenizers` library, B a `sentencepiece` model that puts a blank before the text. Special tokens are not used, their strings
 inside texts are ordinary text.
 
 Defined cases: a null or empty text, and one whose tokens of A or B do not spell it exactly, has no tokens: all its numbers are 0, its lists are empty and its
@@ -19,10 +20,10 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import accumulate, count
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,9 @@ from pyspark.sql import functions as F
 from cuelake.llm.common import slices, stage
 
 ID_BITS = 20
+#: The usual byte-level pre-tokenizer and the pattern it cuts words by.
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 TEXT_BYTES = 1 << 20
 
 
@@ -46,69 +50,93 @@ def byte_symbols() -> dict[str, int]:
 class Alignment:
     """Ids, and for each group the numbers of ids of A and of B up to its end."""
 
-    a: list[int]
-    b: list[int]
-    a_ends: list[int]
-    b_ends: list[int]
-
-    def groups(self) -> str:
-        """`a1,a2|b1;a3|b2,b3`"""
-        a, b, parts, i, j = list(map(str, self.a)), list(map(str, self.b)), [], 0, 0
-        for x, y in zip(self.a_ends, self.b_ends):
-            if x == i + 1 and y == j + 1:
-                parts.append(a[i] + "|" + b[j])
-            else:
-                parts.append(",".join(a[i:x]) + "|" + ",".join(b[j:y]))
-            i, j = x, y
-        return ";".join(parts)
+    a: np.ndarray
+    b: np.ndarray
+    a_ends: np.ndarray
+    b_ends: np.ndarray
+
+    def groups(self, a_names: tuple[np.ndarray, np.ndarray], b_names: tuple[np.ndarray, np.ndarray]) -> bytes:
+        """`a1,a2|b1;a3|b2,b3`, from each id's digits with a comma behind them and with the sign that ends a group's list."""
+        parts = np.empty(len(self.a) + len(self.b), object)
+        for ids, ends, others, (inner, last) in ((self.a, self.a_ends, np.r_[0, self.b_ends[:-1]], a_names), (self.b, self.b_ends, self.a_ends, b_names)):
+            at = np.arange(len(ids)) + np.repeat(others, np.diff(ends, prepend=0))  # behind the other list's ids of the groups before
+            parts[at] = inner[ids]
+            parts[at[ends - 1]] = last[ids[ends - 1]]
+        return b"".join(parts.tolist())[:-1]
 
     def links(self) -> np.ndarray:
         """A number per link made of both ids."""
-        a, b = np.array(self.a, np.int64), np.array(self.b, np.int64)
-        return a[np.array(self.a_ends, np.int64) - 1] << ID_BITS | b[np.array(self.b_ends, np.int64) - 1]
+        return self.a[self.a_ends - 1].astype(np.int64) << ID_BITS | self.b[self.b_ends - 1]
+
+
+NOTHING = Alignment(*[np.zeros(0, np.int64)] * 4)
 
 
-def align(a: list[int], b: list[int], a_sizes: list[int], b_sizes: list[int]) -> Alignment:
+def align(a: np.ndarray, b: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray) -> Alignment:
     """Groups of two id lists over the same bytes; sizes by id."""
-    a_at = dict(zip(accumulate(map(a_sizes.__getitem__, a)), count(1)))
-    b_at = dict(zip(accumulate(map(b_sizes.__getitem__, b)), count(1)))
-    common = sorted(a_at.keys() & b_at.keys())
-    return Alignment(a, b, list(map(a_at.__getitem__, common)), list(map(b_at.__getitem__, common)))
+    a_at = dict(zip(np.cumsum(a_sizes[a]).tolist(), range(1, len(a) + 1)))
+    b_at = dict(zip(np.cumsum(b_sizes[b]).tolist(), range(1, len(b) + 1)))
+    common = list(filter(b_at.__contains__, a_at))  # the intersection of the keys, sorted as offsets rise
+    return Alignment(a, b, np.array(list(map(a_at.__getitem__, common)), np.int64), np.array(list(map(b_at.__getitem__, common)), np.int64))
+
+
+def _names(size: int, end: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.array([b"%d%s" % (i, sign) for i in range(size)], object) for sign in (b",", end))
+
+
+def byte_level(path: str):
+    """The bytes of every id of a byte-level BPE file, and the function from a text to its ids without special tokens.
+
+    Where ids follow the merges (the 256 bytes, then one id a merge, in order) and words are cut by the usual pattern, `tiktoken` gives the same ids several
+    times faster; any other file goes through the `tokenizers` library.
+    """
+    symbols = byte_symbols()
+    with open(path, encoding="utf-8") as f:
+        config = json.load(f)
+    model, cut = config["model"], config["pre_tokenizer"]
+    tokens = [b""] * (1 + max([*model["vocab"].values(), *(t["id"] for t in config["added_tokens"])]))
+    for token, i in model["vocab"].items():
+        tokens[i] = bytes(symbols[c] for c in token)
+    merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    plain = not config["normalizer"] and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix",
+                                                                       "byte_fallback", "ignore_merges"))
+    if plain and cut == BYTE_LEVEL and [model["vocab"][m] for m in merged] == list(range(256, 256 + len(merged))) and len(model["vocab"]) == 256 + len(merged):
+        import tiktoken
+        ranks = {token: i for i, token in enumerate(tokens[:len(model["vocab"])])}
+        return tokens, tiktoken.Encoding("a", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    from tokenizers import Tokenizer
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    library.no_truncation()
+    library.no_padding()
+    return tokens, lambda text: library.encode(text, add_special_tokens=False).ids
 
 
 class Pair:
     """Both tokenizers, and the table of id pairs that can be linked."""
 
     def __init__(self, a_path: str, b_path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
-        self.a.no_truncation()
-        self.a.no_padding()
+        self.a_bytes, self.a_ids = byte_level(a_path)
         self.b = SentencePieceProcessor(model_file=b_path)
-        symbols = byte_symbols()
-        self.a_bytes = [b""] * self.a.get_vocab_size()
-        for token, i in self.a.get_vocab(with_added_tokens=False).items():
-            self.a_bytes[i] = bytes(symbols[c] for c in token)
         pieces = [(i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
         self.b_bytes = [b"" if self.b.is_control(i) or self.b.is_unknown(i) else bytes([int(p[1:-1], 16)]) if self.b.is_byte(i)
                         else p.replace("▁", " ").encode() for i, p in pieces]
-        self.a_sizes, self.b_sizes = list(map(len, self.a_bytes)), list(map(len, self.b_bytes))
+        self.a_sizes, self.b_sizes = (np.array(list(map(len, tokens))) for tokens in (self.a_bytes, self.b_bytes))
+        self.a_names, self.b_names = _names(len(self.a_bytes), b"|"), _names(len(self.b_bytes), b";")
 
-    def spelt(self, ids: list[int], of: list[bytes]) -> bytes:
+    def spelt(self, ids, of: list[bytes]) -> bytes:
         return b"".join(map(of.__getitem__, ids))
 
     def alignments(self, texts: list[str | None]) -> Iterator[Alignment]:
-        given = [t or "" for t in texts]
-        both = zip(given, self.a.encode_batch([" " + t for t in given], add_special_tokens=False), self.b.encode(given, num_threads=1))
-        for text, a, b in both:
-            a, want = a.ids, (" " + text).encode("utf-8", "surrogatepass")
-            if text and self.spelt(a, self.a_bytes) == want and self.spelt(b, self.b_bytes) == want:
-                yield align(a, b, self.a_sizes, self.b_sizes)
-            else:
-                yield Alignment([], [], [], [])
+        for text, b in zip(texts, self.b.encode([t or "" for t in texts], num_threads=1)):
+            if text:
+                a, want = self.a_ids(" " + text), (" " + text).encode("utf-8", "surrogatepass")
+                if self.spelt(a, self.a_bytes) == want and self.spelt(b, self.b_bytes) == want:
+                    yield align(np.array(a), np.array(b), self.a_sizes, self.b_sizes)
+                    continue
+            yield NOTHING
 
     @functools.cached_property
     def linkable(self) -> np.ndarray:
@@ -151,12 +179,12 @@ def _aligned(docs: DataFrame, a_path: str, b_path: str, schema: str, types: list
 def token_groups(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """doc_id, the ids of both tokenizers, and per group the numbers of ids of A and of B up to its end."""
     return _aligned(docs, a_path, b_path, "doc_id long, a_ids array<int>, b_ids array<int>, a_ends array<int>, b_ends array<int>",
-                    [pa.list_(pa.int32())] * 4, lambda both, x: (x.a, x.b, x.a_ends, x.b_ends))
+                    [pa.list_(pa.int32())] * 4, lambda both, x: tuple(v.astype(np.int32) for v in (x.a, x.b, x.a_ends, x.b_ends)))
 
 
 def _digest(both: Pair, x: Alignment) -> tuple:
     links = np.searchsorted(both.linkable, x.links()).astype("<u4")
-    return len(x.a), len(x.b), len(x.a_ends), len(links), hashlib.sha256(x.groups().encode()).hexdigest() if x.a else "", links.tobytes()
+    return len(x.a), len(x.b), len(x.a_ends), len(links), hashlib.sha256(x.groups(both.a_names, both.b_names)).hexdigest() if len(x.a) else "", links.tobytes()
 
 
 def _counted(size: int):

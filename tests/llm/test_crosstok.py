@@ -94,3 +94,25 @@ def test_null_ids_repeats_and_an_empty_table(docs):
     got = crosstok.group_digests(docs([(None, "a b"), (1, "a b"), (1, "a b")]), A, B).collect()
     assert {(r.n_links, r.count_sum) for r in got} == {(2, 6)} and len(got) == 3
     assert crosstok.group_digests(docs([]), A, B).count() == 0
+
+
+def test_ids_of_a_like_the_tokenizers_library(tokens):
+    """The quick way to A's ids, over texts and over every token of the vocabulary."""
+    library = Tokenizer.from_file(A)
+    library.encode_special_tokens = True
+    spelt, ids = crosstok.byte_level(A)
+    for text in [t for t in texts() if t] + [t.decode() for t in spelt if t and _is_text(t)]:
+        assert list(ids(text)) == library.encode(text, add_special_tokens=False).ids
+
+
+def _is_text(b):
+    try:
+        return bool(b.decode())
+    except UnicodeDecodeError:
+        return False
+
+
+def test_a_file_of_another_kind_goes_through_the_library(tmp_path, monkeypatch):
+    monkeypatch.setattr(crosstok, "BYTE_LEVEL", None)
+    spelt, ids = crosstok.byte_level(A)
+    assert [spelt[i] for i in ids(" hello <|endoftext|>")] == [b" hello", b" <", b"|", b"end", b"of", b"text", b"|", b">"]
