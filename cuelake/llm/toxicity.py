@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuelake.llm.common import doc_fold, give_back, stage
+from cuelake.llm.common import doc_fold, give_back, slices, stage
 
 FIT_TOXIC, FIT_CLEAN = 6000, 12000
 TAGGED, UNTAGGED, SEGMENT_WORDS, SEGMENTS_PER_DOC = 24_000, 24_000, 24, 4
@@ -40,6 +40,7 @@ LEXICON, MIN_G2 = 20_000, 25.0
 BITS = 17
 EPOCHS, RATE, DECAY = 40, 0.5, 1e-6
 WORDS_KEPT = 200_000
+TEXT_BYTES = 1 << 20  # tagged at once
 _WORD = re.compile(r"\w+")
 _PREFIXES = (3, 4, 5, 6, 7, 8)
 OWN = 4 + len(_PREFIXES)
@@ -355,8 +356,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     def looks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tagger = Tagger(model)
         for pdf in batches:
-            rows = [summary(p) for p in tagger.tag([words_of(t) for t in pdf["text"]])]
-            yield pd.DataFrame(rows, columns=["amount", "top"]).assign(toxic=pdf["toxic"].to_numpy())
+            for start in range(0, len(pdf), 64):
+                some = pdf.iloc[start:start + 64]
+                rows = [summary(p) for p in tagger.tag([words_of(t) for t in some["text"]])]
+                yield pd.DataFrame(rows, columns=["amount", "top"]).assign(toxic=some["toxic"].to_numpy())
 
     seen = sample.mapInPandas(looks, "amount double, top double, toxic int").toPandas()  # FIT_TOXIC + FIT_CLEAN rows at most
     y = seen["toxic"].to_numpy(float)
@@ -366,6 +369,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 def score_documents(docs: DataFrame, model: Model, text: str = "text", score: str = "toxic_score", where: str = "toxic_spans") -> DataFrame:
     """All columns, the score (0 to 1) and the offending spans (start, end in code points)."""
+    docs = docs.withColumn(text, F.col(text).cast("string"))
     at = docs.columns.index(text)
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     arrow = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -373,8 +377,7 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text", score: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(model)
         for whole in batches:
-            for begin in range(0, whole.num_rows, 512):
-                batch = whole.slice(begin, 512)
+            for batch in slices(whole, at, TEXT_BYTES):
                 texts = [v.as_py() or "" for v in batch.column(at)]
                 marks = tagger.tag([words_of(t) for t in texts])
                 x = np.array([summary(p) for p in marks]).reshape(-1, 2)
