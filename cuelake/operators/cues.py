@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelake.functions import clock, text as T, values as V
@@ -140,12 +140,21 @@ def tail_text(cues: DataFrame, max_chars: int = V.TAIL_CHARS) -> DataFrame:
 
 
 def running_tails(cues: DataFrame, max_chars: int = V.TAIL_CHARS, rows: int = scan.BLOCK_ROWS) -> DataFrame:
-    """At each cue: the joined texts up to it, newest first until longer than ``max_chars``, wrapped to 2 lines."""
-    n = max_chars + 2
-    items = F.collect_list("text")
-    t = scan.trailing(cues, S, "cue_no", n, {"_items": items}, rows)
-    tail = _suffix(F.col("_items"), lambda k: k > max_chars)
-    return t.withColumn("lines", T.wrap_lines(tail, keep=V.MAX_LINES)).drop("_items")
+    """At each cue: the joined texts up to it, newest first until longer than ``max_chars``, wrapped to 2 lines.
+
+    Cues are placed by the characters of their session up to their end. What a tail shows lies within ``max_chars`` + 1 of there, so a window over
+    that range holds just these texts; a block of characters gets the texts within reach before it as well.
+    """
+    reach, size = max_chars + 1, max(rows, max_chars + 2)
+    c = scan.prefix(scan.seq_blocks(cues, "cue_no", rows), S, ["cue_no"], {"_upto": ("sum", F.coalesce(F.length("text"), F.lit(0)).cast("bigint") + 1)}, keep=True)
+    c = c.drop(scan.BLK)
+    own = F.expr(f"_upto div {size}")
+    near_end = F.expr(f"_upto % {size}") >= size - reach
+    here, there = (F.struct(b.alias(scan.BLK), F.lit(h).alias("_halo")) for b, h in ((own, False), (own + 1, True)))
+    wide = c.select("*", F.inline(F.when(near_end, F.array(here, there)).otherwise(F.array(here))))
+    frame = Window.partitionBy(*S, scan.BLK).orderBy("_upto").rangeBetween(-reach, Window.currentRow)
+    shown = wide.withColumn("_items", F.collect_list("text").over(frame)).filter(~F.col("_halo"))
+    return shown.withColumn("lines", T.wrap_lines(F.array_join("_items", " "), keep=V.MAX_LINES)).drop("_items", "_upto", "_halo", scan.BLK)
 
 
 def session_position(cues: DataFrame) -> DataFrame:

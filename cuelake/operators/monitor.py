@@ -115,6 +115,54 @@ def tail_rows(log: DataFrame, n: int, seq: str = "seq") -> DataFrame:
     return log.orderBy(F.col(seq).desc()).limit(n).orderBy(seq)
 
 
+class LatencyWindows:
+    """Reports of a session at the end of each window that had samples: samples and rate so far, and mean, p95 and max over the last ones.
+
+    State: the last ``recent`` values, how many there were, and the times of the first and newest.
+    """
+
+    columns = ("t_us", "latency_ms")
+    output = ("window_end_ms bigint", "n bigint", "mean_ms double", "p95_ms double", "max_ms double", "rate double")
+
+    def __init__(self, size_ms: int = 30_000, recent: int = V.LATENCY_WINDOW):
+        self.size_us, self.recent = size_ms * 1000, recent
+
+    def start(self):
+        return {"recent": [], "n": 0, "first": None, "newest": None}
+
+    def step(self, s, t_us, latency_ms):
+        made = self.finish(s) if s["n"] and t_us // self.size_us != s["newest"] // self.size_us else []
+        return {"recent": [*s["recent"], float(latency_ms)][-self.recent:], "n": s["n"] + 1, "first": int(t_us) if s["first"] is None else s["first"],
+                "newest": int(t_us)}, made
+
+    def finish(self, s):
+        if not s["n"]:
+            return []
+        x, span = sorted(s["recent"]), (s["newest"] - s["first"]) / 1e6
+        end = (s["newest"] // self.size_us + 1) * self.size_us // 1000
+        return [(end, s["n"], sum(x) / len(x), x[min(int(len(x) * 0.95), len(x) - 1)], x[-1], s["n"] / span if span > 0 else 0.0)]
+
+
+def latency_windows(samples: DataFrame, size_ms: int = 30_000, recent: int = V.LATENCY_WINDOW, rows: int = scan.BLOCK_ROWS) -> DataFrame:
+    """The rows of ``LatencyWindows`` over a table, with windows instead of a fold."""
+    order, x = ["ts", "event_id"], F.col("latency_ms")
+    s = scan.range_blocks(samples.select("session_id", *order, "latency_ms"), S, order)
+    s = scan.prefix(s, S, order, {"n": ("sum", F.lit(1).cast("bigint")), "_since": ("max", -F.unix_micros("ts"))}, keep=True)
+    s = scan.trailing(s, S, "n", recent, {"mean_ms": F.avg(x), "max_ms": F.max(x), "_x": F.collect_list(x)}, rows)
+    end = (F.expr(f"unix_micros(ts) div {size_ms * 1000}") + 1) * size_ms
+    last = s.groupBy("session_id", end.alias("window_end_ms")).agg(F.max_by(F.struct("n", "mean_ms", "_x", "max_ms", "_since", "ts"), "n").alias("r"))
+    span = (F.unix_micros("r.ts") + F.col("r._since")) / 1e6
+    return last.select("session_id", "window_end_ms", "r.n", "r.mean_ms", nearest_p95(F.col("r._x")).alias("p95_ms"), "r.max_ms",
+                       F.when(span > 0, F.col("r.n") / span).otherwise(0.0).alias("rate"))
+
+
+def fleet_windows(reports: DataFrame) -> DataFrame:
+    """One row per window over the sessions that report in it: the mean of their means, the worst p95 and max, and the sum of rates."""
+    return reports.groupBy("window_end_ms").agg(
+        F.count("*").alias("sessions"), F.avg("mean_ms").alias("mean_ms"), F.max("p95_ms").alias("p95_ms"), F.max("max_ms").alias("max_ms"),
+        F.sum("rate").alias("rate"))
+
+
 def windowed_latency(samples: DataFrame, size: str = "30 seconds", keys: tuple = ("session_id",)) -> DataFrame:
     """Tumbling metrics per session (or fleet with ``keys=()``), batch or stream."""
     return samples.groupBy(F.window("ts", size).alias("w"), *keys).agg(

@@ -6,6 +6,7 @@ from cuelake.functions import codec as C, text as T
 from cuelake.operators import packets as P, quality as W, sync as Y
 from cuelake.plans import views as v
 from cuelake.plans.registry import query
+from cuelake.plans.signal_queries import ticks
 from cuelake.plans.text_queries import LINES, lined
 from cuelake.plans.view_sql import tok, with_views
 
@@ -272,6 +273,22 @@ def paginate_blocks(spark, sf):
     return Y.paginate_blocks(fragments(spark, sf)).drop("lines")
 
 
+PAGE_TICKS = PAGES + """, v_page_ticks AS (SELECT session_id, unnest(range(0, m + 9000, 2300)) AS t_ms FROM (
+  SELECT session_id, max(end_ms) AS m FROM v_session_fragments GROUP BY 1))"""
+
+
+@query("display_at", with_views("v_session_fragments", """
+SELECT session_id, t_ms, CASE WHEN t_ms - e <= 6000 THEN b END AS block_no, CASE WHEN t_ms - e <= 6000 THEN x END AS shown FROM (
+  SELECT t.session_id, t.t_ms, max(p.block_no) AS b, max_by(p.end_ms, p.block_no) AS e, max_by(p.text, p.block_no) AS x
+  FROM v_page_ticks t LEFT JOIN v_pages p ON p.session_id = t.session_id AND p.start_ms <= t.t_ms GROUP BY 1, 2)""",
+                                recursive=True, extra=PAGE_TICKS))
+def display_at(spark, sf):
+    """The display blocks of every session at playhead ticks; lines are joined by blanks for the comparison."""
+    f = fragments(spark, sf)
+    shown = Y.display_at(ticks(spark, sf, f), Y.paginate_blocks(f))
+    return shown.select("session_id", "t_ms", "block_no", F.array_join("lines", " ").alias("shown"))
+
+
 # --- accuracy ---
 
 WORD_LETTERS = r"\p{L}\p{N}\p{M}_\s''"

@@ -438,20 +438,13 @@ TICKS = """v_ticks AS (SELECT session_id, unnest(range(0, m + 9000, 2300)) AS t_
   SELECT session_id, max(end_ms) AS m FROM v_cues GROUP BY 1))"""
 
 
-def ticks(spark, sf, cues=None):
-    m = (cues or v.cues(spark, sf)).groupBy("session_id").agg(F.max("end_ms").alias("m"))
-    return m.select("session_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") + 8999, F.lit(2300).cast("bigint"))).alias("t_ms"))
-
-
-@query("display_at", with_views("v_cues", """
-SELECT session_id, t_ms, CASE WHEN t_ms - e <= 6000 THEN b END AS block_no FROM (
-  SELECT t.session_id, t.t_ms, max(c.cue_no) AS b, max_by(c.end_ms, c.cue_no) AS e
-  FROM v_ticks t LEFT JOIN (SELECT *, start_ms + 3000 AS s FROM v_cues) c ON c.session_id = t.session_id AND c.s <= t.t_ms
-  GROUP BY 1, 2)""", extra=TICKS))
-def display_at(spark, sf):
-    b = v.cues(spark, sf).select("session_id", F.col("cue_no").alias("block_no"), (F.col("start_ms") + 3000).alias("start_ms"),
-                                 "end_ms", F.array("text").alias("lines"))
-    return Y.display_at(ticks(spark, sf), b).select("session_id", "t_ms", "block_no")
+def ticks(spark, sf, cues=None, step: int = 2300, at_once: int = 4096):
+    """Playhead times every ``step`` ms until nine seconds after the last cue, made range by range."""
+    end, span = F.col("m") + 8999, step * at_once
+    m = (cues if cues is not None else v.cues(spark, sf)).groupBy("session_id").agg(F.max("end_ms").alias("m"))
+    ranges = m.select("session_id", "m", F.explode(F.expr(f"sequence(0L, (m + 8999) div {span})")).alias("r"))
+    upto = F.least(end, (F.col("r") + 1) * span - 1)
+    return ranges.select("session_id", F.explode(F.sequence(F.col("r") * span, upto, F.lit(step).cast("bigint"))).alias("t_ms"))
 
 
 @query("replay_tail", with_views("v_cues", f"""

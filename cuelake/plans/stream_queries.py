@@ -1,5 +1,7 @@
 """Streaming twins, fed with the views as files in time order and drained; their SQL is that of the batch form."""
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from cuelake.functions import text as T
@@ -31,14 +33,22 @@ def sound_events_stream(spark, sf):
     return J.drain(X.sound_events_stream(w)).withColumn("prob", F.round("prob", 6))
 
 
-@query("paginate_stream", with_views("v_session_fragments", "SELECT session_id, start_ms, end_ms, length(text) AS chars FROM v_pages "
-                                     "WHERE closed OR block_no < (SELECT max(block_no) FROM v_pages q WHERE q.session_id = v_pages.session_id)",
+#: The closing heartbeat of a replayed feed: a session of its own, far later than all others.
+HEARTBEAT = {"session_id": -1, "ts": datetime(2100, 1, 1), "event_id": 1 << 60}
+
+
+def others(df):
+    return df.filter("session_id <> -1")
+
+
+@query("paginate_stream", with_views("v_session_fragments", "SELECT session_id, start_ms, end_ms, length(text) AS chars FROM v_pages",
                                      recursive=True, extra=K.PAGES))
 def paginate_stream(spark, sf):
-    """The last block of a session stays open until its pause is certain (the watermark here is a day)."""
+    """All blocks, the last ones of each session too: the heartbeat moves the watermark past their pause."""
     f = v.session_fragments(spark, sf).withColumn("ts", F.timestamp_millis("end_ms"))
-    s = J.replay(f, ["session_id"], "end_ms").withWatermark("ts", "1 day")
-    return J.drain(X.paginate_stream(s)).select("session_id", "start_ms", "end_ms", "chars")
+    closing = HEARTBEAT | {"frag_no": 0, "text": ".", "start_ms": 0, "end_ms": 0}
+    s = J.replay(f, ["session_id"], "end_ms", closing=closing).withWatermark("ts", "1 day")
+    return others(J.drain(X.paginate_stream(s))).select("session_id", "start_ms", "end_ms", "chars")
 
 
 @query("rollup_encode_stream", with_views("v_session_fragments", """
@@ -59,16 +69,53 @@ def lifecycle_stream(spark, sf):
     return last.select("session_id", "r.status", "r.error", ended.alias("ended_seq"))
 
 
-@query("signal_watchdog_stream", ORACLE["signal_gaps"])
+@query("signal_watchdog_stream", with_views("v_polls", """
+SELECT session_id, d AS t_ms, CASE WHEN seen THEN 'lost' ELSE 'never acquired' END AS what FROM (
+  SELECT session_id, ts, event_id, coalesce(max(CASE WHEN locked THEN t END) OVER w, min(t) OVER w) + 21600000 AS d,
+    bool_or(locked) OVER w AS seen, lead(t) OVER w AS next_t, lead(locked) OVER w AS next_locked
+  FROM (SELECT *, epoch_us(ts) // 1000 AS t FROM v_polls) WINDOW w AS (PARTITION BY session_id ORDER BY ts, event_id))
+WHERE next_t IS NULL OR next_t > d OR next_t = d AND NOT next_locked
+QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY ts, event_id) = 1"""))
 def signal_watchdog_stream(spark, sf):
-    p = J.replay(v.polls(spark, sf), ["session_id"], "event_id")
-    return J.drain(X.signal_watchdog_stream(p, 21_600_000))
+    """With the silence timer: a session whose polls stop is reported at its deadline."""
+    s = J.replay(v.polls(spark, sf), ["session_id"], "event_id", closing=HEARTBEAT | {"locked": True}).withWatermark("ts", "2 days")
+    return others(J.drain(X.signal_watchdog_stream(s, 21_600_000, 21_600_000, 3650 * X.DAY_MS)))
+
+
+REPORTS = """v_reports AS (SELECT session_id, (w + 1) * 30000 AS window_end_ms, n, mean_ms,
+    x[CAST(least(floor(len(x) * 0.95), len(x) - 1) AS INT) + 1] AS p95_ms, max_ms, CASE WHEN span > 0 THEN n / span ELSE 0 END AS rate
+  FROM (SELECT session_id, ts, event_id, epoch_us(ts) // 30000000 AS w, row_number() OVER o AS n, avg(latency_ms) OVER r AS mean_ms,
+      list_sort(list(latency_ms) OVER r) AS x, max(latency_ms) OVER r AS max_ms, (epoch_us(ts) - min(epoch_us(ts)) OVER o) / 1e6 AS span
+    FROM v_latency WINDOW o AS (PARTITION BY session_id ORDER BY ts, event_id), r AS (PARTITION BY session_id ORDER BY ts, event_id ROWS 49 PRECEDING))
+  QUALIFY row_number() OVER (PARTITION BY session_id, w ORDER BY ts DESC, event_id DESC) = 1)"""
+ROUNDED = "round(mean_ms, 8) AS mean_ms, p95_ms, max_ms, round(rate, 9) AS rate"
+
 
+def rounded(df):
+    return df.withColumns({"mean_ms": F.round("mean_ms", 8), "rate": F.round("rate", 9)})
 
-@query("streaming_latency", with_views("v_latency", """
+
+@query("latency_windows", with_views("v_latency", f"SELECT session_id, window_end_ms, n, {ROUNDED} FROM v_reports", extra=REPORTS))
+def latency_windows(spark, sf):
+    return rounded(M.latency_windows(v.latency(spark, sf)))
+
+
+@query("streaming_latency", with_views("v_latency", f"""
+SELECT session_id, window_end_ms, n, {ROUNDED} FROM v_reports UNION ALL
+SELECT NULL, window_end_ms, count(*), round(avg(mean_ms), 8), max(p95_ms), max(max_ms), round(sum(rate), 9) FROM v_reports GROUP BY 2""",
+                                       extra=REPORTS))
+def streaming_latency(spark, sf):
+    """Reports every 30 s per session, and of the fleet (no session)."""
+    s = J.replay(v.latency(spark, sf), ["session_id"], "event_id", closing=HEARTBEAT | {"latency_ms": 0.0}).withWatermark("ts", "2 days")
+    reports = others(J.drain(X.latency_stream(s, idle_ms=365 * X.DAY_MS)))
+    fleet = M.fleet_windows(reports).withColumnRenamed("sessions", "n")
+    return rounded(reports.unionByName(fleet, allowMissingColumns=True))
+
+
+@query("windowed_latency", with_views("v_latency", """
 SELECT session_id, epoch_us(ts) // 86400000000 AS day, count(*) AS n, round(sum(latency_ms), 4) AS total_ms, max(latency_ms) AS max_ms
 FROM v_latency GROUP BY 1, 2"""))
-def streaming_latency(spark, sf):
+def windowed_latency(spark, sf):
     """Daily windows with a watermark, update mode, newest row per window."""
     s = J.replay(v.latency(spark, sf), ["session_id"], "event_id").withWatermark("ts", "2 days")
     w = M.windowed_latency(s, "1 day")

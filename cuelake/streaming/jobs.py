@@ -5,26 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.sources.scratch import scratch_path
+from cuelake.sources.scratch import scratch_path, stage
 
 
-def replay(df: DataFrame, keys: list[str], time: str, slices: int = 3, files: int = 2) -> DataFrame:
-    """A table as a stream of files in time order: ``slices`` batches, each key in one file of a slice."""
+def replay(df: DataFrame, keys: list[str], time: str, slices: int = 3, files: int = 2, closing: dict | None = None) -> DataFrame:
+    """A table as a stream of files in time order: ``slices`` batches, each key in one file of a slice.
+
+    ``closing`` is a last row with far later times (a heartbeat of the feed), sent twice: the first moves the watermark past the end, so that timers
+    fire, and the second gives them a batch to fire in. It has columns by name; the others are null.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, "feed")
+    df = stage(df, "feed-rows")  # read once for each slice
     lo, hi = df.agg(F.min(time), F.max(time)).first()
     step = (hi - lo) / slices
     for i in range(slices):
         part = df.filter(F.col(time) >= lo + step * i) if i else df
         part = part.filter(F.col(time) < lo + step * (i + 1)) if i < slices - 1 else part
         part.repartition(files, *keys).write.mode("append").parquet(path)
+    for _ in range(2 if closing else 0):
+        row = spark.range(1).select(*[F.lit(closing.get(f.name)).cast(f.dataType).alias(f.name) for f in df.schema.fields])
+        row.repartition(files).write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def drain(stream: DataFrame) -> DataFrame:
+def drain(stream: DataFrame, mark: str | None = None) -> DataFrame:
     """Run an append-mode stream over all input, through a file sink with its checkpoint, and read the sink."""
     spark = stream.sparkSession
-    out, mark = scratch_path(spark, "out"), scratch_path(spark, "mark")
+    out, mark = scratch_path(spark, "out"), mark or scratch_path(spark, "mark")
     q = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark)
                .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()

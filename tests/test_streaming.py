@@ -1,5 +1,7 @@
 """Streams give the rows of the batch form, however the input is cut into micro-batches."""
 
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,3 +50,36 @@ def test_watchdog_reports_silence(spark):
     s = J.replay(df, ["session_id"], "event_id", 5, 1).withWatermark("ts", "1 second")
     got = {(r.session_id, r.t_ms, r.what) for r in J.drain(X.signal_watchdog_stream(s, 6000, 6000)).collect()}
     assert (1, 8000, "lost") in got and (2, 8500, "never acquired") in got
+
+
+def test_state_is_empty_after_all_utterances_ended(spark, sf, tmp_path):
+    h = v.hypotheses(spark, sf).filter("session_id < 3")
+    mark = str(tmp_path / "mark")
+    s = J.drain(X.local_agreement_stream(J.replay(h, ["session_id", "utterance_id"], "step", 3), 0), mark)
+    assert s.count() > 0
+    left = spark.read.format("statestore").option("path", mark).option("stateVarName", "fold").load()
+    assert left.count() == 0
+
+
+def test_rows_that_come_late_or_again_are_left_out(spark):
+    rows = [(1, 1, "live", None, 0), (1, 3, "end", "eos", 1), (1, 2, "live", None, 2), (1, 3, "end", "eos", 2), (2, 5, "live", None, 0), (2, 6, "end", "boom", 2)]
+    df = spark.createDataFrame(rows, "session_id int, seq bigint, kind string, reason string, arrived int")
+    got = J.drain(X.lifecycle_stream(J.replay(df, ["session_id"], "arrived", 3, 1)))
+    assert sorted((r.session_id, r.seq, r.status) for r in got.collect()) == [(1, 1, "live"), (1, 3, "ended"), (2, 5, "live"), (2, 6, "error")]
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    try:  # with a time to live the rows are the same
+        again = J.drain(X.lifecycle_stream(J.replay(df, ["session_id"], "arrived", 3, 1), ttl_ms=3_600_000))
+        assert again.count() == 4
+    finally:
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+
+
+def test_watchdog_with_silence_over_any_slices(spark):
+    polls = [(1, 0, True), (1, 3000, True), (1, 12_000, True), (2, 0, False), (2, 5000, False), (2, 6000, False), (3, 0, True), (3, 6000, True), (4, 100, False)]
+    df = spark.createDataFrame([(s, i, t + 1, k) for i, (s, t, k) in enumerate(polls)], "session_id int, event_id bigint, ms bigint, locked boolean")
+    df = df.withColumn("ts", F.timestamp_millis("ms"))
+    closing = {"session_id": -1, "event_id": 99, "ms": 0, "locked": True, "ts": datetime(2050, 1, 1)}
+    for slices in (1, 3):
+        s = J.replay(df, ["session_id"], "ms", slices, 1, closing).withWatermark("ts", "1 hour")
+        got = {(r.session_id, r.t_ms, r.what) for r in J.drain(X.signal_watchdog_stream(s, 6000, 6000)).collect() if r.session_id > 0}
+        assert got == {(1, 9001, "lost"), (2, 6001, "never acquired"), (3, 12_001, "lost"), (4, 6101, "never acquired")}
