@@ -130,6 +130,20 @@ def archive_sessions(spark, sf):
     return spark.read.parquet(index).select("id", "created_at", "status", "cue_count")
 
 
+@query("archive_stream", with_views("v_cues", """
+SELECT CAST(session_id AS VARCHAR) AS id, CAST(CASE WHEN session_id % 2 = 0 THEN session_id ELSE session_id + 10000 END AS DOUBLE) AS created_at,
+  CASE WHEN session_id % 2 = 0 THEN 'ended' ELSE 'error' END AS status, count(*) AS cue_count FROM v_cues GROUP BY session_id"""))
+def archive_stream(spark, sf):
+    """Ended sessions as a stream; sessions with an odd id end a second time, later."""
+    s, cues = _archived(spark, sf)
+    s = s.withColumn("id", F.regexp_replace("id", "[./]", ""))
+    again = s.filter(F.col("id").cast("int") % 2 == 1).withColumn("created_at", F.col("created_at") + 10000).withColumn("status", F.lit("error"))
+    path, index = scratch_path(spark, "archive"), scratch_path(spark, "index")
+    feed = J.replay(s.unionByName(again), ["id"], "created_at")
+    O.archive_stream(feed, cues, path, index, scratch_path(spark, "mark")).awaitTermination()
+    return O.read_archive_index(spark, index).select("id", "created_at", "status", "cue_count")
+
+
 @query("read_transcript", with_views("v_words", """
 SELECT CAST(session_id % 4 AS VARCHAR) AS file, row_number() OVER (PARTITION BY session_id % 4 ORDER BY session_id, utterance_id) - 1 AS line_no,
   string_agg(word, ' ' ORDER BY pos) AS text FROM v_words GROUP BY session_id, utterance_id"""))

@@ -13,7 +13,10 @@ ARCHIVE = ("id STRING, url STRING, video_id STRING, source_type STRING, created_
            "ref_words: BIGINT, substitutions: BIGINT, deletions: BIGINT, insertions: BIGINT, segment_count: BIGINT>, "
            "records ARRAY<STRING>, first_cue BIGINT, cues ARRAY<STRUCT<start: DOUBLE, end: DOUBLE, text: STRING>>")
 
-INDEX_FIELDS = ["id", "url", "video_id", "source_type", "created_at", "status", "accuracy", "segment_count", "cue_count"]
+INDEX = ("id STRING, url STRING, video_id STRING, source_type STRING, created_at DOUBLE, status STRING, accuracy DOUBLE, segment_count INT, "
+         "cue_count INT")
+
+INDEX_FIELDS = [field.split()[0] for field in INDEX.split(", ")]
 
 GPU_COLUMNS = ["index", "name", "util_gpu", "util_mem", "mem_used_mb", "mem_total_mb", "temp_c", "power_w",
                "power_limit_w", "fan_pct", "clock_sm_mhz", "clock_mem_mhz"]

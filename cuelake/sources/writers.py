@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cuelake import schemas
 from cuelake.operators import cues as Q, packets as P, sessions as A
+from cuelake.sources.scratch import stage
 
 
 def write_webvtt(cues: DataFrame, path: str, part_cues: int = Q.PART_CUES) -> None:
@@ -91,6 +92,61 @@ def archive_sessions(sessions: DataFrame, cues: DataFrame, path: str, index_path
     index.write.mode("overwrite").parquet(index_path)
 
 
+def _counted(sessions: DataFrame, cues: DataFrame) -> DataFrame:
+    """Index rows of sessions, with the number of their cues unless it is given."""
+    n = cues.groupBy(F.col("session_id").cast("string").alias("id")).agg(F.count("*").cast("int").alias("_n"))
+    given = F.col("cue_count") if "cue_count" in sessions.columns else F.lit(None).cast("int")
+    return sessions.join(n, "id", "left").withColumn("cue_count", F.coalesce(given, "_n", F.lit(0))).select(*schemas.INDEX_FIELDS)
+
+
+def archive_batch(sessions: DataFrame, cues: DataFrame, path: str, index_path: str, batch: int, buckets: int = 64) -> None:
+    """Add one batch of ended sessions to the archive. A batch may come again with the same rows: it only writes over what it wrote before.
+
+    Documents go to a folder of the batch. The index is kept in buckets of ids, each in versions: only the buckets that the batch touches are
+    written, from their versions before the batch, and a ledger row per bucket, written last, makes the new versions count.
+    """
+    spark = sessions.sparkSession
+    ids = sessions.select(F.col("id").alias("_id")).distinct()
+    own = cues.join(ids, F.col("session_id").cast("string") == F.col("_id"), "left_semi")
+    archive_documents(sessions, own).write.mode("overwrite").json(f"{path}/batch={batch}")
+    bucket = F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")
+    fresh = stage(_counted(sessions, own).withColumn("bucket", bucket), "archive-fresh")
+    touched = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # buckets at most
+    if not touched:
+        return
+    before = _index_folders(spark, index_path, batch, touched)
+    if before:
+        fresh = fresh.unionByName(spark.read.schema(fresh.drop("bucket").schema).parquet(*before).withColumn("bucket", bucket))
+    newest = A.upsert_index(fresh.limit(0), fresh, order=("created_at",))
+    newest.write.mode("overwrite").partitionBy("bucket").parquet(f"{index_path}/version={batch}")
+    ledger = spark.createDataFrame([(b, batch) for b in touched], "bucket int, version long")
+    ledger.coalesce(1).write.mode("overwrite").parquet(f"{index_path}/ledger/batch={batch}")
+
+
+def _index_folders(spark, index_path: str, before: int | None = None, touched: list[int] | None = None) -> list[str]:
+    """The newest version of each bucket, of batches before a given one."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{index_path}/ledger")
+    if not root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root):
+        return []
+    ledger = spark.read.schema("bucket int, version long, batch long").parquet(f"{index_path}/ledger")
+    if before is not None:
+        ledger = ledger.filter(F.col("batch") < before)
+    if touched is not None:
+        ledger = ledger.filter(F.col("bucket").isin(*touched))
+    rows = ledger.groupBy("bucket").agg(F.max("version").alias("version")).collect()  # buckets at most
+    return [f"{index_path}/version={r.version}/bucket={r.bucket}" for r in rows]
+
+
+def read_archive_index(spark, index_path: str) -> DataFrame:
+    """The index that ``archive_batch`` keeps: one row per session id."""
+    return spark.read.schema(schemas.INDEX).parquet(*_index_folders(spark, index_path))
+
+
+def archive_stream(sessions: DataFrame, cues: DataFrame, path: str, index_path: str, checkpoint: str, buckets: int = 64):
+    """Archive ended sessions as they come; ``cues`` is the table of all cues."""
+    return on_cue(sessions, lambda batch, number: archive_batch(batch, cues, path, index_path, number, buckets), checkpoint)
+
+
 def on_cue(cues: DataFrame, hook: Callable[[DataFrame, int], None], checkpoint: str):
     """Run a user callable on every micro-batch of a cue stream."""
     return (cues.writeStream.foreachBatch(hook).option("checkpointLocation", checkpoint)

@@ -136,3 +136,45 @@ def test_gpu_line_with_an_empty_last_field(spark, tmp_path):
     (tmp_path / "g.csv").write_text("0, a, 1, 2, 3, 4, 5, 6, 7, 8, 9,\n1, b, 1, 2, 3, 4, 5, 6, 7, 8, 9\n")
     (r,) = R.read_gpu_samples(spark, str(tmp_path)).collect()
     assert (r.name, r.util_gpu, r.clock_mem_mhz) == ("a", 1.0, None)
+
+
+def test_archive_batches_may_come_again(spark, tmp_path):
+    path, index = str(tmp_path / "a"), str(tmp_path / "i")
+    cues = spark.createDataFrame([(i % 7, i, i * 10, i * 10 + 5, f"t{i}") for i in range(1, 40)],
+                                 "session_id bigint, cue_no bigint, start_ms bigint, end_ms bigint, text string")
+
+    def sessions(ids, at, status):
+        return spark.createDataFrame([(str(i), "u", "", "stream", float(at), status, None, 0) for i in ids],
+                                     "id string, url string, video_id string, source_type string, created_at double, status string, accuracy double, segment_count int")
+
+    batches = [sessions(range(7), 1, "ended"), sessions([2, 3], 5, "error"), sessions([3, 99], 0, "late")]
+    for n in (0, 1, 1, 2, 1, 2):  # a batch may come again, also after later ones
+        O.archive_batch(batches[n], cues, path, index, n, buckets=4)
+    got = {r.id: (r.created_at, r.status, r.cue_count) for r in O.read_archive_index(spark, index).collect()}
+    want = {str(i): (1.0, "ended", sum(k % 7 == i for k in range(1, 40))) for i in range(7)}
+    want |= {"2": (5.0, "error", want["2"][2]), "3": (5.0, "error", want["3"][2]), "99": (0.0, "late", 0)}
+    assert got == want
+    touched = {p.name for p in (tmp_path / "i" / "version=1").iterdir() if p.name.startswith("bucket")}
+    assert len(touched) <= 2  # only the buckets of the batch's two sessions
+    assert {r.id for r in R.read_session_archive(spark, path)[0].collect()} == set(want)
+
+
+def test_batches_of_a_scorer(spark):
+    from cuelake.operators import scoring as H
+
+    def load():
+        def score(samples):
+            if any(len(x) == 1 for x in samples):
+                raise RuntimeError("short sample")
+            return [[{"text": str(len(samples)), "start_ms": 0, "end_ms": len(x)}] for x in samples]
+        return score
+
+    df = spark.createDataFrame([(i, [0.1] * (1 if i == 5 else 2)) for i in range(8)], "session_id int, samples array<float>").coalesce(1)
+    got = {r.session_id: (r.ok, r.error, [w.text for w in r.words]) for r in H.score_words(df, load, batch_size=3).collect()}
+    assert got[5] == (False, "RuntimeError: short sample", [])
+    assert got[0] == (True, None, ["3"]) and got[3] == (True, None, ["1"]) and got[7] == (True, None, ["2"])
+
+    def broken():
+        raise OSError("no model")
+
+    assert {r.error for r in H.score_words(df, broken).collect()} == {"OSError: no model"}
