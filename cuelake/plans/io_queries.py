@@ -10,6 +10,7 @@ from cuelake.operators import cues as Q, scoring as H, sessions as A
 from cuelake.plans import packet_queries as K, views as v
 from cuelake.plans.registry import query
 from cuelake.plans.signal_queries import RMS
+from cuelake.plans.text_queries import VTT
 from cuelake.plans.view_sql import tok, with_views
 from cuelake.sources import readers as R, writers as O
 from cuelake.sources.scratch import scratch_path
@@ -187,16 +188,18 @@ def read_gpu_samples(spark, sf):
     return R.read_gpu_samples(spark, path).select("index", "util_gpu", "temp_c", "clock_mem_mhz")
 
 
-@query("write_webvtt", with_views("v_cues", """
-SELECT session_id, count(*) * 4 + 2 AS lines FROM (SELECT session_id, unnest(string_split(text, chr(10))) FROM v_cues WHERE false
-  UNION ALL SELECT session_id, text FROM v_cues) GROUP BY 1"""))
+@query("write_webvtt", with_views("v_cues", f"""
+SELECT session_id, 'WEBVTT' || chr(10) || chr(10) || string_agg({VTT.format("regexp_replace(text, '\\s+', ' ', 'g')")}, chr(10) ORDER BY cue_no)
+  || chr(10) AS document FROM v_cues GROUP BY session_id"""))
 def write_webvtt(spark, sf):
-    """Files read back: lines per session (texts flattened to one line; the last cue's blank line ends the file)."""
+    """The text of each session's files, read back whole in the order of their names."""
     c = v.cues(spark, sf).withColumn("text", F.regexp_replace("text", r"\s+", " "))
     path = scratch_path(spark, "webvtt")
     O.write_webvtt(c, path)
-    return spark.read.text(path).groupBy(F.col("session_id").cast("bigint").alias("session_id")).agg(
-        F.count("*").alias("lines"))
+    files = spark.read.text(path, wholetext=True).select("session_id", F.col("_metadata.file_name").alias("name"), "value")
+    parts = F.array_sort(F.collect_list(F.struct("name", "value")))
+    return files.groupBy(F.col("session_id").cast("bigint").alias("session_id")).agg(
+        F.array_join(F.transform(parts, lambda x: x["value"]), "").alias("document"))
 
 
 @query("write_packet_log", with_views("v_cues", "SELECT session_id * 1000 + cue_no AS ts, count(*) AS pairs FROM v_p608 GROUP BY 1",

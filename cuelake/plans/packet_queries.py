@@ -377,10 +377,12 @@ def pair_transcripts(spark, sf):
         alone.withColumn("paired", F.lit(False)))
 
 
-@query("words_intact", with_views("v_words", """
+@query("words_intact", with_views("v_words v_session_fragments", f"""
 SELECT e.session_id, count(*) AS expected, count(h.word) AS intact FROM v_words e LEFT JOIN (
-  SELECT DISTINCT session_id, lower(word) AS word FROM v_words WHERE pos % 3 <> 1) h
-ON e.session_id = h.session_id AND lower(e.word) = h.word GROUP BY 1"""))
+  SELECT DISTINCT session_id, lower(unnest(string_split(text, ' '))) AS word FROM ({SHOWN})) h
+ON e.session_id = h.session_id AND lower(e.word) = h.word GROUP BY 1""", recursive=True, extra=ROLL))
 def words_intact(spark, sf):
-    w = v.words(spark, sf)
-    return W.words_intact(w, w.filter("pos % 3 <> 1"))
+    """Words that come out of the roll-up stream as they went in; long ones are cut, some letters replaced."""
+    shown = P.decode_rollup(rollup_pairs(spark, sf))
+    decoded = shown.select("session_id", F.explode(T.space_words(F.col("text"))).alias("word"))
+    return W.words_intact(v.words(spark, sf), decoded)

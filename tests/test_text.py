@@ -131,3 +131,32 @@ def test_unknown_probability_or_text_is_kept(spark):
 def test_escaped_video_id(spark):
     df = spark.createDataFrame([("https://www.youtube.com/watch?v=a%20b&t=3",)], "u string")
     assert [r[0] for r in df.select(T.youtube_id(F.col("u"))).collect()] == ["a b"]
+
+
+@pytest.mark.parametrize("rows", [1, 3, 100, 1 << 20])
+def test_running_tails_over_any_blocks(spark, rows):
+    """Texts newest first until they are longer than the limit, as a loop does it; empty texts and very long ones as well."""
+    r = random.Random(4)
+    cues = [(s, i, " ".join("x" * r.randint(1, 9) for _ in range(r.choice([0, 0, 1, 2, 5, 40])))) for s in range(4) for i in range(1, 60)]
+    df = spark.createDataFrame(cues, "session_id int, cue_no bigint, text string")
+    got = {(x.session_id, x.cue_no): x.lines for x in Q.running_tails(df, rows=rows).collect()}
+    want = {}
+    for s in range(4):
+        texts = [t for k, _, t in cues if k == s]
+        for i in range(len(texts)):
+            parts = []
+            for t in reversed(texts[:i + 1]):
+                parts.append(t)
+                if len(" ".join(parts)) > 80:
+                    break
+            want[s, i + 1] = " ".join(reversed(parts)).split()
+    assert got.keys() == want.keys()
+    for k, words in want.items():
+        lines, line = [], ""
+        for w in words:
+            if line and len(line) + 1 + len(w) > 32:
+                lines.append(line)
+                line = w
+            else:
+                line = f"{line} {w}" if line else w
+        assert got[k] == (lines + [line] * bool(line))[-2:]
