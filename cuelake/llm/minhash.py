@@ -36,7 +36,7 @@ SHINGLE, PERCENT = 5, 75
 SYMBOLS, CHUNKS, DISTANCE = 64, 16, 31
 PER_CHUNK, ERRORS = SYMBOLS // CHUNKS, DISTANCE // CHUNKS
 SYMBOL_BITS, LANE = 14, 15  # a chunk is a long of PER_CHUNK lanes: 14 bits and a spare one
-BLOCK = 128
+BLOCK, SALTS = 128, 16
 MAP_BITS = 1 << 23
 TALLY = 1 << 18
 _CARRY = sum(((1 << SYMBOL_BITS) - 1) << LANE * i for i in range(PER_CHUNK))
@@ -250,9 +250,13 @@ def near_groups(docs: DataFrame) -> DataFrame:
     rest = stage(placed.join(mixed.hint("merge"), "key", "left_semi").select("cls", "root").distinct(), "near-rest")
     sets = full_sets(classes, docs, rest.select("cls"))
     roots = components(links.unionByName(confirm(_across(rest, sets, classes), sets)))
-    least = (classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")))
-    ids = least.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = stage(least.join(ids.hint("merge"), "root").select(F.col("cls").alias("_cls"), "component_id"), "near-named")
+    # few classes have links; one component may have most of these, so its smallest id is dealt over salts
+    roots = stage(roots.withColumnRenamed("node", "cls"), "near-roots")
+    linked = classes.join(roots, "cls").withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int"))
+    ids = linked.groupBy("root").agg(F.min("rep").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    alone = classes.join(roots.hint("merge"), "cls", "left_anti").select("cls", F.col("rep").alias("component_id"))
+    named = linked.join(ids.hint("merge"), ["root", "salt"]).select("cls", "component_id").unionByName(alone)
+    named = stage(named.withColumnRenamed("cls", "_cls"), "near-named")
     found = signed.select("doc_id", "n", "cls").join(named.hint("merge"), (F.col("cls") == F.col("_cls")) & (F.col("n") > 0), "left")
     return found.select("doc_id", "n", "cls", F.coalesce("component_id", "doc_id").alias("component_id"))
 
