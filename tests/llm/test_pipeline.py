@@ -25,3 +25,19 @@ def test_stages(shipped, sf):
     assert max(Counter(r.doc_id for r in mixed).values()) <= 3 and {tuple(r) for r in mixed} <= {tuple(r) for r in few}
     texts = Counter(hashlib.sha256((r.text or "").encode()).hexdigest() for r in mixed)
     assert Counter(r.decoded_sha256 for r in ids) == texts
+
+
+def test_nulls_empty_texts_repeats_and_an_empty_table(shipped, sf):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    long = " ".join(f"word{i}" for i in range(30))
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (None, "Some words here", None, None, 3), (3, long, "en", "a", 9), (3, long, "en", "a", 9),
+            (4, long.upper(), "en", None, 9), (5, long + " more", "en", "b", 9), (6, "other words entirely", "en", "b", 9)]
+    for given in (rows, []):
+        docs = shipped.createDataFrame(given, schema)
+        ids = []
+        for _, step in corpus_pipeline.STAGES:
+            docs = stage(step(shipped, docs, sf), "test-stage")
+            ids.append(Counter(r.doc_id for r in docs.collect()))
+        # 1 and 2 are equal without a text, 3 and 4 are equal, 5 is near 4; what has no words is in no mix, and the mix need not take all
+        assert ids[2] == Counter([2, None, 4, 6] if given else [])
+        assert set(ids[4]) <= {None, 4, 6} and max(ids[4].values(), default=0) <= 3 and bool(ids[4]) == bool(given)
