@@ -1,4 +1,9 @@
-"""From raw documents to token ids: toxicity, exact and near dedup, mixing, BPE. Each stage is written and read again."""
+"""From raw documents to token ids: toxicity, exact and near dedup, mixing, BPE. Each stage is written and read again.
+
+Defined cases: a null or empty text is a clean document without words. All such texts are equal, so the one with the largest doc_id stays (a null id is
+the smallest); it has no size, so the mix takes no copy of it. Repeated rows count as copies. Rows of a null source form a source of their own. An
+empty table gives no rows. The last stage returns doc_id, lang and source with the token ids; the others the columns of documents.
+"""
 
 from __future__ import annotations
 
