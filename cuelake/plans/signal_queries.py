@@ -78,7 +78,7 @@ def sliding_windows(spark, sf):
 SELECT session_id, utterance_id, pos, word, 1000 * utterance_id + 400 * pos AS start_ms,
   1000 * utterance_id + 400 * pos + 400 AS end_ms FROM v_words"""))
 def absolute_words(spark, sf):
-    h = v.hypotheses(spark, sf).filter("utterance_end").withColumn(
+    h = v.hypotheses(spark, sf, last_only=True).withColumn(
         "buffer_len_ms", F.col("buffer_end_ms")).withColumn("buffer_end_ms", F.col("buffer_end_ms") + 1000 * F.col("utterance_id"))
     w = G.absolute_words(h).select("session_id", "utterance_id", F.posexplode("words").alias("pos", "w"))
     return w.select("session_id", "utterance_id", F.col("pos").cast("bigint").alias("pos"),
