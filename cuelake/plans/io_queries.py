@@ -145,32 +145,39 @@ def archive_stream(spark, sf):
     return O.read_archive_index(spark, index).select("id", "created_at", "status", "cue_count")
 
 
-@query("read_transcript", with_views("v_words", """
+#: Lines of a transcript joined into one value; a source of fewer lines is one row with its whole transcript.
+PART_LINES = 100_000
+TRANSCRIPTS = f"""
+SELECT file, line_no // {PART_LINES} AS part_no, string_agg(text, ' ' ORDER BY line_no) AS transcript FROM ({{0}}) GROUP BY 1, 2"""
+
+
+@query("read_transcript", with_views("v_words", TRANSCRIPTS.format("""
 SELECT CAST(session_id % 4 AS VARCHAR) AS file, row_number() OVER (PARTITION BY session_id % 4 ORDER BY session_id, utterance_id) - 1 AS line_no,
-  string_agg(word, ' ' ORDER BY pos) AS text FROM v_words GROUP BY session_id, utterance_id"""))
+  string_agg(word, ' ' ORDER BY pos) AS text FROM v_words GROUP BY session_id, utterance_id""")))
 def read_transcript(spark, sf):
-    """Conversations as the transcripts of four sources, each in numbered text files, a line per turn with blank lines between."""
+    """Conversations as the transcripts of four sources, each in numbered text files, a line per turn with blank lines between; read back as
+    whole transcripts, in ordered parts where a source is long."""
     value = F.concat(F.regexp_replace("text", r"\s*\n\s*", " "), F.lit("\n\n"))
-    return _source_lines(spark, sf, value, "transcripts")
+    return _source_transcripts(spark, sf, value, "transcripts")
 
 
-@query("read_transcript_jsonl", with_views("v_words", """
+@query("read_transcript_jsonl", with_views("v_words", TRANSCRIPTS.format("""
 SELECT CAST(session_id % 4 AS VARCHAR) AS file, row_number() OVER (PARTITION BY session_id % 4 ORDER BY session_id, utterance_id) - 1 AS line_no,
   coalesce(string_agg(word, ' ' ORDER BY pos), '') AS text
 FROM (SELECT conv_id AS session_id, turn AS utterance_id FROM conversations) LEFT JOIN v_words USING (session_id, utterance_id)
-GROUP BY session_id, utterance_id"""))
+GROUP BY session_id, utterance_id""")))
 def read_transcript_jsonl(spark, sf):
     value = F.to_json(F.struct(F.array_join(v.tokens(F.col("text")), " ").alias("text")))
-    return _source_lines(spark, sf, value, "jsonl", jsonl=True)
+    return _source_transcripts(spark, sf, value, "jsonl", jsonl=True)
 
 
-def _source_lines(spark, sf, value, name, jsonl=False):
+def _source_transcripts(spark, sf, value, name, jsonl=False):
     """Turns range-sorted into as many numbered files per source as there are tasks, and read back in order."""
     c = v.table(spark, sf, "conversations").select((F.col("conv_id") % 4).alias("src"), "conv_id", "turn", value.alias("value"))
     path, order = scratch_path(spark, name), ["src", "conv_id", "turn"]
     c.repartitionByRange(*order).sortWithinPartitions(*order).select("src", "value").write.partitionBy("src").text(path)
-    lines = R.read_transcript_lines(spark, path, jsonl=jsonl, folders=True)
-    return lines.select(F.regexp_extract("file", r"src=(\d+)", 1).alias("file"), "line_no", "text")
+    whole = R.read_transcript(spark, path, jsonl=jsonl, part_lines=PART_LINES, folders=True)
+    return whole.select(F.regexp_extract("file", r"src=(\d+)", 1).alias("file"), "part_no", "transcript")
 
 
 @query("read_gpu_samples", """
