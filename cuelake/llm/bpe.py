@@ -42,13 +42,14 @@ class RankMerger:
         self.ranks = ranks
         self.buckets: list[list[int]] = [[] for _ in range(max(ranks.values()) + 1)]
         self.words = [0] * ((max(ranks.values()) >> 8) + 1)
+        self.of_two = [ranks.get(bytes((a, b))) for a in range(256) for b in range(256)]
 
     def tokens(self, piece: bytes) -> list[bytes]:
-        get, words, buckets, bits = self.ranks.get, self.words, self.buckets, _BITS
         if piece in self.ranks:
             return [piece]
+        get, words, buckets, bits, of_two = self.ranks.get, self.words, self.buckets, _BITS, self.of_two
         n, top = len(piece), 0
-        rank_at = [get(piece[i:i + 2]) for i in range(n - 1)]
+        rank_at = [of_two[a << 8 | b] for a, b in zip(piece, piece[1:])]
         rank_at.append(None)
         for i, r in enumerate(rank_at):
             if r is not None:
@@ -65,39 +66,38 @@ class RankMerger:
             low = word & -word
             r = (w << 8) + low.bit_length() - 1
             bucket = buckets[r]
-            if len(bucket) > 1:
-                i = heappop(bucket)
-            else:
-                i = bucket.pop()
-                word ^= low
-                words[w] = word
+            i = heappop(bucket)
+            if not bucket:
+                words[w] = word = word ^ low
                 if not word:
                     top ^= 1 << w
             if rank_at[i] != r:
                 continue
             j = after[i]
             k = after[i] = after[j]
-            rank_at[j] = rank_at[i] = None
-            made = []
+            rank_at[j] = None
             if k < n:
                 before[k] = i
                 r = rank_at[i] = get(piece[i:after[k]])
                 if r is not None:
-                    made.append((r, i))
-            p = before[i]
-            if p >= 0:
+                    bucket = buckets[r]
+                    if not bucket:
+                        w = r >> 8
+                        words[w] |= bits[r & 255]
+                        top |= 1 << w
+                    heappush(bucket, i)
+            else:
+                rank_at[i] = None
+            if i:
+                p = before[i]
                 r = rank_at[p] = get(piece[p:k])
                 if r is not None:
-                    made.append((r, p))
-            for r, at in made:
-                bucket = buckets[r]
-                if bucket:
-                    heappush(bucket, at)
-                else:
-                    bucket.append(at)
-                    w = r >> 8
-                    words[w] |= bits[r & 255]
-                    top |= 1 << w
+                    bucket = buckets[r]
+                    if not bucket:
+                        w = r >> 8
+                        words[w] |= bits[r & 255]
+                        top |= 1 << w
+                    heappush(bucket, p)
         out, i = [], 0
         while i < n:
             k = after[i]
@@ -113,7 +113,8 @@ class Codec:
         self.merger = RankMerger(ranks)
         self.packed = {token: rank.to_bytes(4, "little") for token, rank in ranks.items()}
         self.pieces = Recent(self._piece, REMEMBERED, REMEMBERED_CHARS)
-        self.tokens = {rank: token for token, rank in ranks.items()}
+        self.tokens = np.full(max(ranks.values()) + 1, None, object)
+        self.tokens[list(ranks.values())] = np.array([*ranks, None], object)[:-1]  # None keeps NumPy from making byte strings of fixed width
 
     def _piece(self, piece: str) -> bytes:
         return b"".join(map(self.packed.__getitem__, self.merger.tokens(piece.encode())))
@@ -122,7 +123,7 @@ class Codec:
         return (b"".join(map(self.pieces.__getitem__, self.split(text))) if text else b""),
 
     def decode(self, ids: bytes | None) -> tuple[bytes]:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids or b"", "<u4").tolist())),
+        return b"".join(self.tokens[np.frombuffer(ids or b"", "<u4")].tolist()),
 
     def both(self, text: str | None) -> tuple[bytes, bytes]:
         return *(ids := self.encode(text)), *self.decode(*ids)

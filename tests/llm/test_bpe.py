@@ -32,3 +32,11 @@ def test_forgetting_pieces_changes_nothing(monkeypatch):
     want = codec.encode(text)
     monkeypatch.setattr(bpe, "REMEMBERED", 7)
     assert bpe.Codec(PATH, public_tokenizers.PATTERN).encode(text) == want
+
+
+def test_decoding_takes_every_id_there_is():
+    codec = bpe.Codec(PATH, public_tokenizers.PATTERN)
+    ranks = bpe.read_ranks(PATH)
+    ids = np.array(sorted(ranks.values()), "<u4").tobytes()
+    assert codec.decode(ids) == (b"".join(sorted(ranks, key=ranks.get)),) and codec.decode(None) == (b"",)
+    assert isinstance(codec.tokens, np.ndarray)  # all ids of a text are looked up at once
