@@ -51,45 +51,51 @@ class Merger:
     def __init__(self, vocabulary: dict[str, int], merges: list, suffix: str):
         self.vocabulary, self.suffix = vocabulary, suffix
         self.pairs: dict[int, int] = {}  # two ids -> rank and the id that the merge makes
+        self.made: list[int] = []  # rank -> the id that the merge makes
         for rank, pair in enumerate(merges):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.pairs[vocabulary[a] << SHIFT | vocabulary[b]] = rank << SHIFT | vocabulary[a + b]
+            self.made.append(vocabulary[a + b])
+        self.ranks = {pair: m >> SHIFT for pair, m in self.pairs.items()}
 
     def ids(self, word: str) -> list[int]:
-        get, merge = self.vocabulary.get, self.pairs.get
+        get, merge, made_by = self.vocabulary.get, self.ranks.get, self.made
         symbols = list(map(get, word))
         symbols[-1] = get(word[-1] + self.suffix)
         if None in symbols:
             symbols = [s for s in symbols if s is not None]
         n = len(symbols)
-        merge_at = [merge(a << SHIFT | b) for a, b in zip(symbols, symbols[1:])]  # of a symbol and the next one, if they can merge
-        queue = [m << 32 | i for i, m in enumerate(merge_at) if m is not None]
+        place = 8 if n <= 256 else 32  # entries of short words are small integers
+        mask = (1 << place) - 1
+        rank_at = [merge(a << SHIFT | b) for a, b in zip(symbols, symbols[1:])]  # of a symbol and the next one, if they can merge
+        queue = [r << place | i for i, r in enumerate(rank_at) if r is not None]
         if not queue:
             return symbols
         heapify(queue)
-        merge_at.append(None)
+        rank_at.append(None)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while queue:
             entry = heappop(queue)
-            i = entry & 0xFFFFFFFF
-            if merge_at[i] != entry >> 32:
+            i = entry & mask
+            r = entry >> place
+            if rank_at[i] != r:
                 continue  # stale: a neighbour took part in another merge
-            made = entry >> 32 & (1 << SHIFT) - 1
             j = after[i]
-            symbols[i], symbols[j], merge_at[j] = made, None, None
+            made = symbols[i] = made_by[r]
+            symbols[j] = rank_at[j] = None
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                m = merge_at[i] = merge(made << SHIFT | symbols[k])
-                if m is not None:
-                    heappush(queue, m << 32 | i)
+                r = rank_at[i] = merge(made << SHIFT | symbols[k])
+                if r is not None:
+                    heappush(queue, r << place | i)
             else:
-                merge_at[i] = None
-            p = before[i]
-            if p >= 0:
-                m = merge_at[p] = merge(symbols[p] << SHIFT | made)
-                if m is not None:
-                    heappush(queue, m << 32 | p)
+                rank_at[i] = None
+            if i:
+                p = before[i]
+                r = rank_at[p] = merge(symbols[p] << SHIFT | made)
+                if r is not None:
+                    heappush(queue, r << place | p)
         return [s for s in symbols if s is not None]
 
 
@@ -118,6 +124,8 @@ class Codec:
         self.ascii_words = None
         if config["normalizer"] == NORMALIZER and config["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] == WORDS:
             self.ascii_words = re.compile(ASCII_WORDS).findall  # the same for ASCII runs, without the library
+        self.packed = {i: i.to_bytes(4, "little") for i in self.strings}
+        self.spaced = {i: b" " + s for i, s in self.strings.items()}
         self.runs = re.compile(f"[^{SPACE}]+").findall
         self.of_word = Recent(self._word, REMEMBERED, REMEMBERED_CHARS)
         self.of_run = Recent(self._run, REMEMBERED, REMEMBERED_CHARS)
@@ -133,7 +141,7 @@ class Codec:
         return self.of_word[words[0]] if len(words) == 1 else _joined([self.of_word[word] for word in words])
 
     def _packed(self, ids: list[int]) -> tuple[bytes, bytes]:
-        return b"".join([i.to_bytes(4, "little") for i in ids]), b"".join([b" " + self.strings[i] for i in ids])
+        return b"".join([self.packed[i] for i in ids]), b"".join([self.spaced[i] for i in ids])
 
     def both(self, text: str | None) -> tuple[bytes, bytes]:
         """The ids as little-endian 32-bit integers, and what they decode to, in UTF-8."""

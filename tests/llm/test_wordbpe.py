@@ -80,3 +80,11 @@ def test_null_ids_repeats_and_an_empty_table(docs):
     assert [(r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got if r.doc_id is None] == [(0, empty, empty)]
     assert len(got) == 3 and got[1] == got[2]
     assert wordbpe.token_digests(docs([]), PATH).count() == 0
+
+
+def test_short_and_long_words_take_the_same_way(library):
+    codec = wordbpe.codec(public_tokenizers.path("word_bpe_49k.json"))
+    for n in (1, 2, 255, 256, 257, 600):
+        word = ("theinrst" * 100)[:n]
+        assert codec.merger.ids(word) == library.encode(word, add_special_tokens=False).ids
+    assert max(codec.merger.ranks.values()) < 1 << 22  # a merge is its rank alone, so entries of short words stay small
