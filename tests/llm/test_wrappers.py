@@ -184,3 +184,33 @@ def test_hostile_pages_take_little_time():
     wrappers.infer([tags(), tags(), tags()])
     assert alone("<div>" * 20_000 + "</x>" * 20_000 + "</section>" * 20_000 + LONG) == TEXT
     assert time.time() - start < 60
+
+
+def test_wrappers_come_from_all_pages(shipped, monkeypatch):
+    """A host whose first hundred pages have one structure and one note, and as many with another structure: both notes are known."""
+    one = lambda k: f"<div><h3>The same note on each of the pages here.</h3><p>Own text of page {k} that nobody else has at all.</p></div>"
+    rare = lambda k: f"<table><tr><td>Only {k} tables have this one row</td></tr></table>{one(k)}"
+    rows = [(k, "https://all.example.com", one(k) if k % 40 else rare(k)) for k in range(200)]
+    frames = frame(shipped, rows).repartition(3)
+    wrapper = wrappers.host_wrappers(frames).first()["wrapper"]
+    assert "table" in wrapper and wrapper == wrappers.infer([r[2] for r in rows])  # 5 of 200 pages have the table
+    monkeypatch.setattr(wrappers, "FAN", 2)
+    got = {r.page_id: r.text for r in wrappers.main_texts(frames).collect()}
+    assert len(got) == 200 and all(got[k] == f"Own text of page {k} that nobody else has at all." for k in range(200) if k % 40)
+
+
+def test_merging_is_the_same_in_any_order():
+    rng = random.Random(8)
+    pages = ["<div>" + "".join(rng.choice(["<p>a</p>", "<h2>b</h2>", "<ul><li>c<li>d</ul>", "<hr>"]) for _ in range(6)) + f"<p>{k % 2}</p></div>" for k in range(60)]
+    want = wrappers.infer(pages)
+    for _ in range(3):
+        rng.shuffle(pages)
+        assert wrappers.infer(pages) == want
+
+
+def test_a_usual_text_outlives_odd_pages():
+    note = "<div><h3>{}</h3><p>Own text of page {} that nobody else has at all.</p></div>"
+    pages = [note.format("The same note on each of the pages seen." if k % 30 else "An odd note that one page in thirty has.", k) for k in range(90)]
+    for shift in (0, 1, 7):
+        e = wrappers.Extractor(wrappers.infer(pages[shift:] + pages[:shift]))
+        assert e.candidates(pages[1]) == {wrappers.digest("The same note on each of the pages seen.")} and not e.candidates(pages[30])
