@@ -1,9 +1,9 @@
 """A hashed maximum-entropy language model over words, and the smoothed unigram it starts from.
 
-P(word | context) = P(class | context) P(word | class, context). The FREQUENT most frequent words form classes of MEMBERS words each,
-all other words (unseen ones too) fall into RARE classes by their last two bytes. The class is a softmax over hashed features of
-the context (previous word, the word before it, both, and a skip over the nearest); inside a frequent class the word is a second softmax over
-hashed features, inside a rare class it is the smoothed unigram of that class. Weights start at the unigram model and are
+P(word | context) = P(class | context) P(group | class, context) P(word | group, context). The FREQUENT most frequent words form classes of MEMBERS groups
+of MEMBERS words each, all other words (unseen ones too) fall into RARE classes by their last two bytes. The class is a softmax over hashed features of
+the context (previous word, the word before it, both, and a skip over the nearest); inside a frequent class the group is a second softmax over
+hashed features and the word a third one, inside a rare class it is the smoothed unigram of that class. Weights start at the unigram model and are
 trained in ROUNDS, which share out the positions of the training text so that each is visited once: every partition runs Adagrad on its
 positions of the round from the common weights, and the row-wise mean of the changes is the update.
 
@@ -33,14 +33,16 @@ from pyspark.sql import functions as F
 
 from cuelake.llm.common import doc_fold, give_back, slices, stage
 
-CLASSES, MEMBERS, RARE = 24, 64, 8
-FREQUENT = CLASSES * MEMBERS
+CLASSES, MEMBERS, RARE = 24, 32, 8
+GROUPS = CLASSES * MEMBERS
+FREQUENT = GROUPS * MEMBERS
 START = FREQUENT + RARE  # the code before a text
 BLOCK_TOKENS = 1_200_000
 CONTEXTS = 64  # previous words that place a word in a class
-BUCKETS = 1 << 12
+BUCKETS = 1 << 13
 ROUNDS, RATE, BATCH = 2, 0.15, 8192
 SCORE_BATCH = 16_384
+AHEAD = 8
 HELD = 1
 
 
@@ -222,10 +224,11 @@ def _tables(kind: int, *sizes: int) -> list[np.ndarray]:
     return [rng.integers(0, HASHED, n, dtype=np.int32) for n in sizes]
 
 
-BIASES = 256  # rows below are biases
+BIASES = 1024  # rows below are biases: of classes, and behind them of groups
 HASHED = BUCKETS - BIASES
 _LAST, _SECOND, _BOTH, _SKIP = (_tables(kind, START + 1, START + 1) for kind in (1, 2, 3, 4))
 _LAST_IN, _SECOND_IN = (_tables(kind, START + 1, CLASSES + RARE) for kind in (5, 6))
+_LAST_OF = _tables(7, START + 1, GROUPS)
 
 
 def _row(tables: list[np.ndarray], *parts: np.ndarray) -> np.ndarray:
@@ -249,6 +252,11 @@ def member_features(back: np.ndarray, cls: np.ndarray) -> np.ndarray:
     return np.column_stack([_row(_LAST_IN, a, cls), _row(_SECOND_IN, b, cls)])
 
 
+def group_features(back: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Rows of the hashed features; the bias is the row behind the classes' with the group's number."""
+    return _row(_LAST_OF, back[:, 0], group)[:, None]
+
+
 def _summed(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
     x = np.take(weights, features[:, 0], axis=0)
     for k in range(1, features.shape[1]):
@@ -276,7 +284,7 @@ def _excess(x: np.ndarray, target: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Where each code stands (class, member), and the weights of both softmaxes, a row per feature."""
+    """Where each code stands (class, group in it, member), and the weights: of the class, and of group and member, a row per feature."""
 
     place: np.ndarray
     by_class: np.ndarray
@@ -287,11 +295,14 @@ class Model:
         out = np.empty(len(codes))
         for i in range(0, len(codes), SCORE_BATCH):
             s = slice(i, i + SCORE_BATCH)
-            c, member = self.place[codes[s]].T
+            c, group, member = self.place[codes[s]].T
             got = _log_of(_summed(self.by_class, None, class_features(back[s])), c)
             own = np.flatnonzero(c < CLASSES)
             if len(own):
-                got[own] += _log_of(_summed(self.by_member, c[own], member_features(back[s][own], c[own])), member[own])
+                near, c, group = back[s][own], c[own], group[own]
+                got[own] += _log_of(_summed(self.by_member, c, member_features(near, c)), group)
+                group = c * MEMBERS + group
+                got[own] += _log_of(_summed(self.by_member, CLASSES + group, group_features(near, group)), member[own])
             out[s] = got / math.log(10)
         return out
 
@@ -312,11 +323,11 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def place_words(table: np.ndarray) -> np.ndarray:
-    """Class and member of each code: words with alike predecessors together, by balanced splits along the main direction."""
+    """Class, group in it and member of each code: words with alike predecessors together, by balanced splits along the main direction."""
     x = np.sqrt(table)
     x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
     groups = [np.arange(FREQUENT)]
-    for ways in (3, 2, 2, 2):
+    for ways in (3, 2, 2, 2, 2, 2, 2, 2, 2):  # classes, and groups in them
         cut = []
         for g in groups:
             y = x[g] - x[g].mean(axis=0)
@@ -324,42 +335,69 @@ def place_words(table: np.ndarray) -> np.ndarray:
             along = y @ v[0] * np.sign(v[0][np.argmax(np.abs(v[0]))])
             cut += np.array_split(g[np.argsort(along, kind="stable")], ways)
         groups = cut
-    place = np.zeros((START + 1, 2), np.int64)
-    for c, g in enumerate(groups):
-        place[g] = np.column_stack([np.full(len(g), c), np.arange(len(g))])
+    place = np.zeros((START + 1, 3), np.int64)
+    for k, g in enumerate(groups):
+        place[g] = np.column_stack([np.full(len(g), k // MEMBERS), np.full(len(g), k % MEMBERS), np.arange(len(g))])
     place[FREQUENT:START, 0] = CLASSES + np.arange(RARE)
     return place
 
 
 def start_model(place: np.ndarray, counts: np.ndarray, totals: Totals) -> Model:
-    """The unigram model in both softmaxes."""
+    """The unigram model in all softmaxes."""
     by_class, by_member = np.zeros((BUCKETS, CLASSES + RARE), np.float32), np.zeros((BUCKETS, MEMBERS), np.float32)
     known = np.zeros(FREQUENT)
     known[:len(counts)] = counts
     sums = np.bincount(place[:FREQUENT, 0], known + 0.5 * (np.arange(FREQUENT) < len(counts)), CLASSES)
     rare = np.array(totals.rare_tokens) + 0.5 * (np.array(totals.rare_words) + 1)
     by_class[0] = np.log(np.maximum(np.concatenate([sums, rare]), 1e-3))
-    by_member[place[:FREQUENT, 0], place[:FREQUENT, 1]] = np.log(np.maximum(known, 1e-3))
+    group = place[:FREQUENT, 0] * MEMBERS + place[:FREQUENT, 1]
+    by_member[:CLASSES] = np.log(np.maximum(np.bincount(group, known, GROUPS), 1e-3)).reshape(CLASSES, MEMBERS)
+    by_member[CLASSES + group, place[:FREQUENT, 2]] = np.log(np.maximum(known, 1e-3))
     return Model(place, by_class, by_member)
 
 
+def _row_sums(x: np.ndarray, at: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of the rows `at` of x from each start to the next, those of most rows first, with their order and their numbers of rows.
+
+    The first AHEAD rows are added for all sums at once, as `reduceat` makes a call per column of every sum; it is left the rest of the long ones.
+    """
+    sizes = np.diff(np.r_[starts, len(at)])
+    order = np.argsort(-sizes, kind="stable")
+    first, sizes = starts[order], sizes[order]
+    out = np.take(x, at[first], axis=0)
+    for k in range(1, AHEAD + 1):
+        m = int(np.searchsorted(-sizes, -k))  # sums of more than k rows
+        if not m:
+            break
+        if k < AHEAD:
+            out[:m] += np.take(x, at[first[:m] + k], axis=0)
+        else:
+            rest = sizes[:m] - k
+            begin = np.cumsum(rest) - rest
+            left = np.arange(rest.sum()) + np.repeat(first[:m] + k - begin, rest)
+            out[:m] += np.add.reduceat(np.take(x, at[left], axis=0), begin, axis=0)
+    return out, order, sizes
+
+
 def _descend(weights, sums, touched, features, bias, wrong):
     """One Adagrad step on the rows of a batch; features repeat, so their gradients are added first. Bias rows come sorted, or are row 0 alone."""
     if bias is None:
         rows, g, n = np.zeros(1, np.int64), wrong.sum(axis=0, keepdims=True), np.array([len(wrong)])
     else:
         first = np.flatnonzero(np.r_[True, bias[1:] != bias[:-1]])
-        rows, g, n = bias[first], np.add.reduceat(wrong, first, axis=0), np.diff(np.r_[first, len(bias)])
+        g, order, n = _row_sums(wrong, np.arange(len(bias)), first)
+        rows = bias[first[order]]
     flat = features.astype(np.uint16).ravel()
-    order = np.argsort(flat, kind="stable")
-    at = flat[order]
+    by_row = np.argsort(flat, kind="stable")
+    at = flat[by_row]
     starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    rows = np.r_[rows, at[starts]]
-    g = np.concatenate([g, np.add.reduceat(np.take(wrong, order // features.shape[1], axis=0), starts, axis=0)])
+    more, order, times = _row_sums(wrong, by_row // features.shape[1], starts)
+    rows = np.r_[rows, at[starts[order]]]
+    g = np.concatenate([g, more])
     s = sums[rows] + g * g
     sums[rows] = s
     weights[rows] -= RATE * g / np.sqrt(s)
-    touched[rows] += np.r_[n, np.diff(np.r_[starts, len(at)])]
+    touched[rows] += np.r_[n, times]
 
 
 def positions(sizes: np.ndarray, held: np.ndarray, turn: int) -> np.ndarray:
@@ -381,15 +419,18 @@ def _train(model: Model, turn: int):
                 at = at[np.random.default_rng(turn).permutation(len(at))]
                 for k in range(0, len(at), BATCH):
                     b = at[k:k + BATCH]
-                    cls, member = model.place[codes[b]].T
+                    cls, group, member = model.place[codes[b]].T
                     f = class_features(back[b])
                     _descend(*tables[0], f, None, _excess(_summed(tables[0][0], None, f), cls))
                     own = np.flatnonzero(cls < CLASSES)
                     if len(own):
-                        own = own[np.argsort(cls[own].astype(np.uint8), kind="stable")]
-                        c = cls[own]
-                        f = member_features(back[b[own]], c)
-                        _descend(*tables[1], f, c, _excess(_summed(tables[1][0], c, f), member[own]))
+                        own = own[np.argsort((cls[own] * MEMBERS + group[own]).astype(np.uint16), kind="stable")]
+                        c, g, near = cls[own], group[own], back[b[own]]
+                        f = member_features(near, c)
+                        _descend(*tables[1], f, c, _excess(_summed(tables[1][0], c, f), g))
+                        g = c * MEMBERS + g
+                        f = group_features(near, g)
+                        _descend(*tables[1], f, CLASSES + g, _excess(_summed(tables[1][0], CLASSES + g, f), member[own]))
         for which, (now, _, touched), was in zip((0, 1), tables, (model.by_class, model.by_member)):
             rows = np.flatnonzero(touched)
             change = np.zeros((len(rows), MEMBERS))

@@ -67,3 +67,25 @@ def test_every_training_position_is_visited_once():
         (by_class, _) = maxent._train(model, turn)[0](iter([block]))
         seen += dict(zip(by_class.column("row").to_pylist(), by_class.column("n").to_pylist()))[0]  # row 0 is the bias
     assert seen == sizes[~held].sum()
+
+
+def test_thousands_of_words_are_told_apart(docs):
+    """Words beyond the first 1,536 have codes, and so a place in the softmaxes, of their own."""
+    words = [f"word{i}" for i in range(5000)]
+    coded, _, counts = maxent.coded_blocks(docs([(i, " ".join(words[i % 2500:] + words[:i % 2500])) for i in range(4)]))
+    found = set()
+    for batch in coded.toArrow().to_batches():
+        for i in range(batch.num_rows):
+            found |= set(maxent._unpack(batch, i)[0].tolist())
+    assert len(counts) == 5001 and found == set(range(5001))
+
+
+def test_row_sums():
+    rng = np.random.default_rng(4)
+    for most in (1, 3, 200):
+        sizes = rng.integers(1, most + 1, 50)
+        at, x = rng.integers(0, 90, sizes.sum()), rng.normal(size=(90, 5))
+        starts = np.cumsum(sizes) - sizes
+        got, order, times = maxent._row_sums(x, at, starts)
+        assert times.tolist() == sizes[order].tolist() and sorted(order.tolist()) == list(range(50))
+        assert np.allclose(got, np.add.reduceat(x[at], starts, axis=0)[order])
