@@ -1,14 +1,14 @@
 """Alignment of two tokenizers' tokens over the same bytes.
 
-Both token lists of a text spell a blank and the text. Each list becomes a dictionary from the byte offset where a token ends to the number of tokens up to
-there. The offsets that both dictionaries have, sorted, cut the two lists into groups; the tokens that end at such an offset are linked. Tokens are never empty,
-so each group has exactly one link, of its last tokens.
+Both token lists of a text spell a blank and the text. The list of B becomes a dictionary from the byte offset where a token ends to the number of tokens up
+to there, in which the offsets where tokens of A end are looked up. Those that both have cut the two lists into groups; the tokens that end at such an
+offset are linked. Tokens are never empty, so each group has exactly one link, of its last tokens.
 
 How often a pair of ids is linked in the whole corpus is counted by a number per pair. Only pairs of which one's bytes end with the other's can
 be linked; these follow from the two vocabularies alone (some hundred thousand), so the table of all pairs is of fixed size, whatever the
 corpus. A text's links are written as numbers of that table, counted per task, summed by Spark, and the sums go back to every task.
 
-The offsets that are common to both dictionaries come out sorted, because both are filled in rising order. A is a byte-level BPE file of the
+A is a byte-level BPE file of the
 `tokenizers` library, B a `sentencepiece` model that puts a blank before the text. Special tokens are not used, their strings
 inside texts are ordinary text.
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
 import os
 from collections.abc import Iterator
@@ -74,10 +75,10 @@ NOTHING = Alignment(*[np.zeros(0, np.int64)] * 4)
 
 def align(a: np.ndarray, b: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray) -> Alignment:
     """Groups of two id lists over the same bytes; sizes by id."""
-    a_at = dict(zip(np.cumsum(a_sizes[a]).tolist(), range(1, len(a) + 1)))
     b_at = dict(zip(np.cumsum(b_sizes[b]).tolist(), range(1, len(b) + 1)))
-    common = list(filter(b_at.__contains__, a_at))  # the intersection of the keys, sorted as offsets rise
-    return Alignment(a, b, np.array(list(map(a_at.__getitem__, common)), np.int64), np.array(list(map(b_at.__getitem__, common)), np.int64))
+    found = np.fromiter(map(b_at.get, np.cumsum(a_sizes[a]).tolist(), itertools.repeat(0)), np.int64, len(a))  # offsets rise, so these do too
+    a_ends = np.flatnonzero(found)
+    return Alignment(a, b, a_ends + 1, found[a_ends])
 
 
 def _names(size: int, end: bytes) -> tuple[np.ndarray, np.ndarray]:
