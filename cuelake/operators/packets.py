@@ -237,33 +237,53 @@ class RollUp:
     def entries(self):
         return F.array(F.lit("col"), F.lit("rows"))
 
-    @staticmethod
-    def _chars(text: str) -> list[tuple[int, int]]:
-        raw = [ord(c) if 0x20 <= ord(c) <= 0x7F else 0x3F for c in text]
-        full = [b if b.bit_count() % 2 else b + 128 for b in raw] + [V.NULL] * (len(raw) % 2)
+    #: Seven-bit codes with odd parity; anything outside 0x20-0x7F is a question mark.
+    BYTES = [c if c.bit_count() % 2 else c + 128 for c in (x if x >= 0x20 else 0x3F for x in range(128))]
+
+    @classmethod
+    def _chars(cls, text: str) -> list[tuple[int, int]]:
+        table, other = cls.BYTES, cls.BYTES[0x3F]
+        full = [table[c] if c < 128 else other for c in map(ord, text)] + [V.NULL] * (len(text) % 2)
         return list(zip(full[::2], full[1::2]))
 
-    def pairs(self, s, words):
-        out, line = [], ""
-        for _, _, w, spaced, roll, first, _ in Columns().step(s, 0, words)[1]:
+    def pairs(self, s, words) -> tuple[dict, list[tuple[int, int]]]:
+        """State after a fragment, and its pairs."""
+        out, line, rows = [], "", s["rows"]
+        after, placed = Columns().step({"col": s["col"], "rows": 0}, 0, words)
+        for _, _, w, spaced, roll, first, _ in placed:
             if roll:
                 out += self._chars(line) + [(V.CONTROL, V.CARRIAGE_RETURN)] * 2
-                line, s["rows"] = "", s["rows"] + 1
-            if first or (roll and s["rows"] % V.REINIT_ROWS == 0):
+                line, rows = "", rows + 1
+            if first or (roll and rows % V.REINIT_ROWS == 0):
                 out += self.setup
             line += " " * spaced + w
-        return out + self._chars(line)
+        return {"col": after["col"], "rows": rows}, out + self._chars(line)
 
     def step(self, s, frag_no, words):
-        words = list(words)
-        after = Columns().step(s, frag_no, words)[0]["col"]
-        out = self.pairs(s, words)
-        return {"col": after, "rows": s["rows"]}, [(int(frag_no), i, *p) for i, p in enumerate(out)]
+        after, out = self.pairs(s, words)
+        return after, [(int(frag_no), i, *p) for i, p in enumerate(out)]
 
     def finish(self, s):
         return []
 
 
+class PackedRollUp(RollUp):
+    """The same pairs, one row per fragment: a pair is ``256 * b1 + b2``."""
+
+    output = ("frag_no bigint", "codes array<int>")
+
+    def step(self, s, frag_no, words):
+        after, out = self.pairs(s, words)
+        return after, [(int(frag_no), [256 * b1 + b2 for b1, b2 in out])]
+
+
+def unpacked(fragments: DataFrame) -> DataFrame:
+    """Rows of ``PackedRollUp`` to one row per pair, numbered ``k`` from 0 in its fragment."""
+    code = F.col("_code")
+    return fragments.select("session_id", "frag_no", F.posexplode("codes").alias("k", "_code")).select(
+        "session_id", "frag_no", "k", F.shiftright(code, 8).alias("b1"), code.bitwiseAND(F.lit(255)).alias("b2"))
+
+
 class Backlog(RollUp):
     """Queue with a limit: a push that would pass it clears the queue, leaves two erase codes, resets the encoder."""
 
