@@ -78,7 +78,8 @@ WHERE next_t IS NULL OR next_t > d OR next_t = d AND NOT next_locked
 QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY ts, event_id) = 1"""))
 def signal_watchdog_stream(spark, sf):
     """With the silence timer: a session whose polls stop is reported at its deadline."""
-    s = J.replay(v.polls(spark, sf), ["session_id"], "event_id", closing=HEARTBEAT | {"locked": True}).withWatermark("ts", "2 days")
+    p = v.polls(spark, sf).withColumn("t_us", F.unix_micros("ts"))  # ids need not be in the order of time
+    s = J.replay(p, ["session_id"], "t_us", closing=HEARTBEAT | {"locked": True}).withWatermark("ts", "2 days")
     return others(J.drain(X.signal_watchdog_stream(s, 21_600_000, 21_600_000, 3650 * X.DAY_MS)))
 
 
