@@ -203,7 +203,7 @@ def write_webvtt(spark, sf):
     c = v.cues(spark, sf).withColumn("text", F.regexp_replace("text", r"\s+", " "))
     path = scratch_path(spark, "webvtt")
     O.write_webvtt(c, path)
-    files = spark.read.text(path, wholetext=True).select("session_id", F.col("_metadata.file_name").alias("name"), "value")
+    files = R.read_session_files(spark, path)
     parts = F.array_sort(F.collect_list(F.struct("name", "value")))
     return files.groupBy(F.col("session_id").cast("bigint").alias("session_id")).agg(
         F.array_join(F.transform(parts, lambda x: x["value"]), "").alias("document"))
