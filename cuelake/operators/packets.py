@@ -199,9 +199,25 @@ def frame_grid(paced: DataFrame, chunk: int = 4096) -> DataFrame:
         F.greatest("lo", F.col("c") * chunk), F.least("hi", F.col("c") * chunk + chunk - 1))).alias("frame_no"))
 
 
-def frame_lock(paced: DataFrame, frames: DataFrame | None = None) -> DataFrame:
-    """Exactly one pair per video frame; idle frames carry the null pair."""
-    grid = frame_grid(paced) if frames is None else frames.select("session_id", "frame_no")
+def _filled(paced: DataFrame, rows: int, chunk: int = 4096) -> DataFrame:
+    """Pairs with the null pairs of the idle frames before each. A gap is told by the frame before, so no grid of frames is made, sorted and joined;
+    it is written out chunk by chunk, and no value is longer than a chunk."""
+    p = scan.seq_blocks(paced.select("session_id", "frame_no", "b1", "b2"), "frame_no", rows)
+    p = scan.prefix(p, S, ["frame_no"], {"_prev": ("last", F.col("frame_no"))}, before=True, keep=True)
+    first = F.least(F.coalesce(F.col("_prev") + 1, F.col("frame_no")), F.col("frame_no"))
+    p = p.select("session_id", "frame_no", "b1", "b2", first.alias("_lo"))
+    p = p.select("*", F.explode(F.sequence(F.expr(f"_lo div {chunk}"), F.expr(f"frame_no div {chunk}"))).alias("_c"))
+    at = F.sequence(F.greatest("_lo", F.col("_c") * chunk), F.least("frame_no", F.col("_c") * chunk + chunk - 1))
+    sent, null = F.col("_at") == F.col("frame_no"), F.lit(V.NULL)
+    return p.select("*", F.explode(at).alias("_at")).select(
+        "session_id", F.col("_at").alias("frame_no"), F.when(sent, F.col("b1")).otherwise(null).alias("b1"), F.when(sent, F.col("b2")).otherwise(null).alias("b2"))
+
+
+def frame_lock(paced: DataFrame, frames: DataFrame | None = None, rows: int = scan.BLOCK_ROWS) -> DataFrame:
+    """Exactly one pair per video frame, from the first scheduled one to the last or of given ``frames``; idle frames carry the null pair."""
+    if frames is None:
+        return _filled(paced, rows)
+    grid = frames.select("session_id", "frame_no")
     null = F.lit(V.NULL)
     return grid.join(paced.select("session_id", "frame_no", "b1", "b2"), ["session_id", "frame_no"], "left").select(
         "session_id", "frame_no", F.coalesce("b1", null).alias("b1"), F.coalesce("b2", null).alias("b2"))

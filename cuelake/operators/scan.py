@@ -37,6 +37,11 @@ def range_blocks(df: DataFrame, keys: list[str], order: list[str], partitions: i
     return spark.read.parquet(path)
 
 
+def one_block(staged: DataFrame) -> bool:
+    """Whether no key of a staged table has a second block (its files tell: no rows are read where all blocks are 0)."""
+    return staged.filter(F.col(BLK).isNull() | (F.col(BLK) != 0)).isEmpty()
+
+
 def _frame(keys: list[str], order: list[str], before: bool) -> Window:
     end = -1 if before else Window.currentRow
     return Window.partitionBy(*keys, BLK).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
@@ -51,10 +56,13 @@ def prefix(df: DataFrame, keys: list[str], order: list[str],
 
     Rows and block summaries both read ``df``. For a table scan that is two narrow scans; where ``df`` is itself
     the result of joins, windows or Python, pass ``keep``: it is then written once to the shared scratch folder, so
-    a chain of scans neither computes its beginning again at every link nor builds an ever larger plan.
+    a chain of scans neither computes its beginning again at every link nor builds an ever larger plan. Where every key of a written table
+    has one block, nothing is carried and nothing joined.
     """
+    alone = False
     if keep:
         df = stage(df)
+        alone = one_block(df)
     for name, (_, expr) in specs.items():
         df = df.withColumn(f"_v_{name}", expr)
     summaries, carries, inner = [], {}, {}
@@ -79,10 +87,14 @@ def prefix(df: DataFrame, keys: list[str], order: list[str],
     rows = df.select("*", *[c.alias(n) for n, c in inner.items()])
     carry = (df.groupBy(*keys, BLK).agg(*summaries)
                .select(*keys, BLK, *[c.alias(n) for n, c in carries.items()]))
-    out = rows.join(carry, [*keys, BLK], "left")
+    out = rows if alone else rows.join(carry, [*keys, BLK], "left")
     cols = []
     for name, (kind, _) in specs.items():
-        run, car = F.col(f"_r_{name}"), F.col(f"_c_{name}")
+        run = F.col(f"_r_{name}")
+        if alone:
+            cols.append(run.alias(name))
+            continue
+        car = F.col(f"_c_{name}")
         if kind == "sum":
             both = F.coalesce(run, F.lit(0)) + F.coalesce(car, F.lit(0))
             cols.append(F.when(run.isNotNull() | car.isNotNull(), both).alias(name))
