@@ -347,6 +347,7 @@ def _decoded(pairs: DataFrame, rows: int) -> DataFrame:
     c1, c2 = F.col("b1").bitwiseAND(F.lit(127)), F.col("b2").bitwiseAND(F.lit(127))
     p = pairs.select("session_id", "pair_no", c1.alias("c1"), c2.alias("c2")).filter(F.col("c1") != 0)
     p = stage(scan.seq_blocks(p, "pair_no", rows))
+    alone = scan.one_block(p)  # then nothing is carried from block to block
     is_control = (F.col("c1") >= 16) & (F.col("c1") <= 31)
     key = F.when(is_control, F.col("c1") * 128 + F.col("c2")).otherwise(-1).cast("int")
     code = F.when(is_control & ~((F.col("c1") <= 23) & (F.col("c2") >= 64)), F.col("c2"))  # no preambles
@@ -378,8 +379,11 @@ def _decoded(pairs: DataFrame, rows: int) -> DataFrame:
             F.coalesce(b["depth"], depth(led), c["depth"]).alias("depth"))
 
     nothing = F.struct(F.lit(-1).alias("key"), F.lit(0).alias("size"), F.lit(0).alias("rolls"), F.lit(0).alias("erases"), F.lit(None).cast("int").alias("depth"))
-    carry = scan.carries(blocks, S, "struct<key:int,size:bigint,rolls:bigint,erases:bigint,depth:int>", nothing, combine)
-    d = p.join(carry, [*S, scan.BLK])
+    state = "struct<key:int,size:bigint,rolls:bigint,erases:bigint,depth:int>"
+    if alone:
+        d = p.withColumn("_carry", nothing.cast(state))
+    else:
+        d = p.join(scan.carries(blocks, S, state, nothing, combine), [*S, scan.BLK])
     joined = leads & F.col("is_control") & (F.col("_carry.key") == F.col("_key"))
     place = F.col("_n") - F.col("_run") + F.when(joined, F.col("_carry.size")).otherwise(0)
     upto = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -395,22 +399,22 @@ def dedupe_control(pairs: DataFrame, rows: int = scan.BLOCK_ROWS) -> DataFrame:
     return _decoded(pairs, rows).select("session_id", "pair_no", "c1", "c2", "is_control")
 
 
-def _row_texts(screen: DataFrame) -> DataFrame:
+def _row_texts(screen: DataFrame, *more: Column) -> DataFrame:
     shown = lambda c: F.when(F.col(c) >= 32, F.char(F.col(c))).otherwise("")  # codes below 0x20 are never printed
     t = F.concat(shown("c1"), shown("c2"))
     t = F.when(F.col("is_control"), "").otherwise(t)
     items = F.array_sort(F.collect_list(F.struct("pair_no", t.alias("t"))))
     return screen.groupBy("session_id", "row_no").agg(
         F.array_join(F.transform(items, lambda x: x["t"]), "").alias("text"), F.max("erases").alias("erases"),
-        F.min(F.coalesce("depth", F.lit(2))).alias("depth"))
+        F.min(F.coalesce("depth", F.lit(2))).alias("depth"), *more)
 
 
 def decode_rollup(pairs: DataFrame, rows: int = scan.BLOCK_ROWS) -> DataFrame:
     """Transcript rows of a pair stream; rows wiped by an erase code before they rolled up are left out."""
-    screen = _decoded(pairs, rows)
-    wiped = screen.filter(F.col("code") == 0x2C).select("session_id", (F.col("row_no") - 1).alias("row_no"))
-    texts = _row_texts(screen).filter(F.col("text") != "").select("session_id", "row_no", "text")
-    return texts.join(wiped, ["session_id", "row_no"], "left_anti")
+    own, above = (F.struct(r.alias("row_no"), F.lit(w).alias("wiped")) for r, w in ((F.col("row_no"), False), (F.col("row_no") - 1, True)))
+    marked = F.when(F.col("code") == 0x2C, F.array(own, above)).otherwise(F.array(own))  # an erase code tells the row above that it is wiped
+    screen = _decoded(pairs, rows).select("session_id", "pair_no", "c1", "c2", "is_control", "erases", "depth", F.inline(marked))
+    return _row_texts(screen, F.max("wiped").alias("wiped")).filter(~F.col("wiped") & (F.col("text") != "")).select("session_id", "row_no", "text")
 
 
 def visible_rows(pairs: DataFrame, rows: int = scan.BLOCK_ROWS) -> DataFrame:

@@ -20,6 +20,14 @@ def test_prefix_of_single_blocks_has_no_join(spark):
         assert sorted(map(tuple, one.select(*cols).collect())) == sorted(map(tuple, many.select(*cols).collect()))
 
 
+def test_decoder_reads_its_rows_once(spark):
+    df = spark.createDataFrame([(1, k, 0x94, 0xAD) if k % 4 == 0 else (1, k, 0xC8, 0xE9) for k in range(20)],
+                               "session_id int, pair_no bigint, b1 int, b2 int")
+    rows = P.decode_rollup(df)
+    assert "Join" not in plan(rows)
+    assert rows.count() == 5
+
+
 @pytest.mark.parametrize("block", [3, 5000, 1 << 20])
 def test_frames_from_gaps(spark, block):
     at = {1: [5, 6, 9, 10_000], 2: [0], 3: [7, 4100, 4101, 12_300]}
