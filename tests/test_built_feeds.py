@@ -62,6 +62,15 @@ def test_agreement_query_stages_no_copy_of_its_hypotheses(spark, talk):
     assert rows(got) == rows(G.local_agreement(v.hypotheses(spark, talk), 0).select(*got.columns))
 
 
+def test_late_words_query_stages_no_copy_and_packs_its_words(spark, talk):
+    before = staged(spark)
+    got = Q.late_words_stream(spark, talk)
+    assert staged(spark) == before
+    assert got.inputFiles() and all(f.endswith(".zstd.parquet") for f in got.inputFiles())
+    want = G.late_words(v.hypotheses(spark, talk), 0).groupBy(*KEYS, "step").agg(F.count("*").alias("late"))
+    assert rows(got) == rows(want)
+
+
 @pytest.mark.parametrize("most", [1, 40, 1 << 20])
 def test_every_batch_is_one_slice(spark, talk, monkeypatch, most):
     """Each slice is one batch, in order of time, however few tasks have rows of it; light steps share a slice."""
