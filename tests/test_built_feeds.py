@@ -71,6 +71,16 @@ def test_late_words_query_stages_no_copy_and_packs_its_words(spark, talk):
     assert rows(got) == rows(want)
 
 
+def test_live_captions_keep_neither_a_copy_nor_the_shuffles_of_what_they_stage(spark, talk):
+    before, got = staged(spark), []
+    h = v.hypotheses(spark, talk).filter("utterance_end")
+    want = {(r.session_id, r.utterance_id): r.n for r in h.select(*KEYS, F.size("words").alias("n")).collect()}
+    old = spark.conf.get(J.CLEANUP, None)
+    assert not left_after(spark, lambda: got.append(Q.live_captions(spark, talk)))
+    assert staged(spark) == before and spark.conf.get(J.CLEANUP, None) == old
+    assert {(r.session_id, r.utterance_id): r.words for r in got[0].collect()} == want
+
+
 @pytest.mark.parametrize("most", [1, 40, 1 << 20])
 def test_every_batch_is_one_slice(spark, talk, monkeypatch, most):
     """Each slice is one batch, in order of time, however few tasks have rows of it; light steps share a slice."""
