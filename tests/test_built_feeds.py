@@ -14,11 +14,19 @@ from cuelake.streaming import jobs as J, processors as X
 KEYS = ["session_id", "utterance_id"]
 
 
+COLUMNS = "conv_id bigint, turn bigint, role string, text string"
+
+
+def turns(nth: int | None) -> list[tuple]:
+    """Turns of 0 to 60 words; only those of one session are long, so later slices have rows in few tasks. Every ``nth`` has no number."""
+    said = [(c, t, "user", " ".join(f"w{c}x{i % 7}" for i in range(60 if c == 5 else (c * 5 + t * 3) % 14))) for c in range(12) for t in range(4)]
+    return [(c, None if nth and i % nth == 0 else t, *rest) for i, (c, t, *rest) in enumerate(said)] + [(3, 9, "user", None)]
+
+
 @pytest.fixture
-def talk(spark, tmp_path):
-    """Turns of 0 to 60 words; only one of them is long, so later slices have rows in few tasks."""
-    turns = [(c, t, "user", " ".join(f"w{c}x{i % 7}" for i in range(60 if c == 5 else (c * 5 + t * 3) % 14))) for c in range(12) for t in range(4)]
-    spark.createDataFrame([*turns, (3, 9, "user", None)], "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+def talk(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(J, "SMALL_WEIGHT", 0)
+    spark.createDataFrame(turns(None), COLUMNS).write.parquet(f"{tmp_path}/conversations.parquet")
     return str(tmp_path)
 
 
@@ -91,7 +99,7 @@ def test_every_batch_is_one_slice(spark, talk, monkeypatch, most):
     def look(batch, number):
         seen.append(sorted({r.step for r in batch.select("step").collect()}))
 
-    feed = J.replay_built(h, "step", F.size("words"))
+    feed = J.replay_built(h, KEYS, "step", F.size("words"))
     q = feed.writeStream.foreachBatch(look).trigger(availableNow=True).start()
     q.awaitTermination()
     steps = sorted({r.step for r in h.select("step").collect()})
@@ -99,11 +107,20 @@ def test_every_batch_is_one_slice(spark, talk, monkeypatch, most):
     sizes = {r.step: r.n for r in h.groupBy("step").agg(F.sum(F.size("words")).alias("n")).collect()}
     assert all(len(part) == 1 or sum(sizes[s] for s in part) <= most for part in seen)
     assert len(seen) >= 3
-    got = J.drain(X.local_agreement_stream(J.replay_built(h, "step", F.size("words")), 0))
+    got = J.drain(X.local_agreement_stream(J.replay_built(h, KEYS, "step", F.size("words")), 0))
     want = G.local_agreement(h, 0)
     assert rows(got.select(*want.columns)) == rows(want)
 
 
+def test_small_feeds_are_dealt_as_before(spark, tmp_path):
+    spark.createDataFrame(turns(7), COLUMNS).write.parquet(f"{tmp_path}/conversations.parquet")
+    before = staged(spark)
+    got = rows(Q.local_agreement_stream(spark, str(tmp_path)))
+    assert len(staged(spark) - before) == 1
+    h = J.replay(v.hypotheses(spark, str(tmp_path)), KEYS, "step")
+    assert got == rows(J.drain(X.local_agreement_stream(h, 0)).select(*KEYS, "n", "step", "text", "start_ms", "end_ms"))
+
+
 def test_empty_feeds(spark, talk):
     h = v.hypotheses(spark, talk).filter("step < 0")
-    assert J.drain(X.local_agreement_stream(J.replay_built(h, "step", F.size("words")), 0)).count() == 0
+    assert J.drain(X.local_agreement_stream(J.replay_built(h, KEYS, "step", F.size("words")), 0)).count() == 0
