@@ -112,6 +112,21 @@ def test_every_batch_is_one_slice(spark, talk, monkeypatch, most):
     assert rows(got.select(*want.columns)) == rows(want)
 
 
+def test_texts_cross_as_one_value_and_come_back_as_they_were(spark):
+    """No stream shuffles an array of strings per hypothesis; marks, escapes and other scripts survive."""
+    said = ['say "so"', "back\\slash", "tab\tnew\nline", "", "é漢😀", "#1~", "null", "a,b"]
+    words = lambda n: [(w, i * 400, i * 400 + 400) for i, w in enumerate(said[:n])]
+    steps = [(1, 1, n, words(n), n * 400, n == len(said)) for n in range(1, len(said) + 1)]
+    schema = "session_id int, utterance_id int, step int, words array<struct<text string, start_ms bigint, end_ms bigint>>, buffer_end_ms bigint, utterance_end boolean"
+    h = spark.createDataFrame(steps, schema)
+    assert X.packed_words(h).schema["texts"].dataType.simpleString() == "string"
+    feed = lambda: J.replay(h, KEYS, "step", 2)
+    got, want = J.drain(X.local_agreement_stream(feed(), 0)), G.local_agreement(h, 0)
+    assert rows(got.select(*want.columns)) == rows(want) and {r.text for r in got.collect()} == set(said)
+    late, want = J.drain(X.late_words_stream(feed(), 0)), G.late_words(h, 0)
+    assert rows(late.select(*want.columns)) == rows(want) and want.count()
+
+
 def test_small_feeds_are_dealt_as_before(spark, tmp_path):
     spark.createDataFrame(turns(7), COLUMNS).write.parquet(f"{tmp_path}/conversations.parquet")
     before = staged(spark)
